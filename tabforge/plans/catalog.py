@@ -43,3 +43,15 @@ def r6(expr: str, alias: str) -> str:
 def load_all() -> None:
     """Import every query module so its registrations run."""
     from . import q_profile, q_eda, q_prep, q_learn  # noqa: F401
+
+
+def sig(c, digits: int = 10):
+    """Round to significant digits (large-magnitude sums differ in the last bits)."""
+    e = F.floor(F.log10(F.abs(c)))
+    return (F.when(c == 0, F.lit(0.0))
+             .otherwise(F.round(c / F.pow(F.lit(10.0), e), digits - 1) * F.pow(F.lit(10.0), e)))
+
+
+def sig_sql(x: str, digits: int = 10) -> str:
+    e = f"floor(log10(abs({x})))"
+    return f"(CASE WHEN ({x}) = 0 THEN 0.0 ELSE round(({x}) / pow(10, {e}), {digits - 1}) * pow(10, {e}) END)"
