@@ -79,7 +79,8 @@ def knn(query: DataFrame, ref: DataFrame, features: list[str], k: int, qkey: lis
     # one row per group: bounded by the number of groups (classes)
     gs = F.broadcast(gs.select("_g", "_lo", "_w", "_cmax"))
     cell = F.floor((F.col("_p") - F.col("_lo")) / F.col("_w")).cast("bigint")
-    R = R.join(gs, "_g").withColumn("_cell", cell).drop("_lo", "_w", "_cmax", "_p")
+    R = (R.join(gs, "_g").withColumn("_cell", cell).drop("_lo", "_w", "_cmax", "_p")
+          .withColumnRenamed("_g", "_rg").withColumnRenamed("_cell", "_rcell"))
     Q = query.select(g.alias("_g"), F.struct(*[F.col(c) for c in qkey]).alias("_qk"),
                      *[_feat(f, vector).alias("q_" + f) for f in features], proj.alias("_p"))
     Q = Q.join(gs, "_g").withColumn("_cell", cell)
@@ -87,7 +88,7 @@ def knn(query: DataFrame, ref: DataFrame, features: list[str], k: int, qkey: lis
 
     def pairs(qq: DataFrame, lo: Column, hi: Column) -> DataFrame:
         e = qq.withColumn("_c", F.explode(F.sequence(F.greatest(lo, F.lit(0)), F.least(hi, F.col("_cmax")))))
-        j = e.join(R, (e["_g"] == R["_g"]) & (e["_c"] == R["_cell"])).drop(R["_g"]).drop(R["_cell"])
+        j = e.join(R, (F.col("_g") == F.col("_rg")) & (F.col("_c") == F.col("_rcell"))).drop("_rg", "_rcell")
         j = j.withColumn("dist", _dist(features, vector, metric))
         if exclude_self:
             j = j.where(F.to_json("_qk") != F.to_json("_rk")) if qkey != rkey else j.where(F.col("_qk") != F.col("_rk"))
@@ -142,14 +143,15 @@ def knn_predict(df: DataFrame, m) -> DataFrame:
     """Vote (classification) or mean (regression) over the k nearest training rows."""
     p = m.params
     key, k = p["key"], p["k"]
+    qkey = key + [c for c in ("_f", "_r", "_s") if c in df.columns]
     ref = m.model
-    nn = knn(df, ref, m.features, k, key, key, metric=p["metric"])
+    nn = knn(df, ref, m.features, k, qkey, key, metric=p["metric"])
     lab = ref.select(*[F.col(c).alias("r_" + c) for c in key], "_y")
     nn = nn.join(lab, ["r_" + c for c in key])
     wgt = (F.lit(1.0) if p["weights"] == "uniform"
            else F.when(F.col("dist") == 0, F.lit(1e300)).otherwise(1.0 / F.col("dist")))
     nn = nn.withColumn("_wt", wgt)
-    qk = ["q_" + c for c in key]
+    qk = ["q_" + c for c in qkey]
     if m.problem_type == "classification":
         votes = nn.groupBy(*qk).agg(*[F.sum(F.when(F.col("_y") == j, F.col("_wt")).otherwise(0.0)).alias(f"v{j}")
                                       for j in range(m.n_classes)], F.sum("_wt").alias("_tw"))
@@ -160,8 +162,8 @@ def knn_predict(df: DataFrame, m) -> DataFrame:
                              F.transform("_v", lambda x: x / F.col("_tw")).alias("probability"))
     else:
         votes = nn.groupBy(*qk).agg((F.sum(F.col("_y") * F.col("_wt")) / F.sum("_wt")).alias("prediction"))
-    out = df.join(votes.select(*[F.col("q_" + c).alias(c) for c in key], *[c for c in votes.columns
-                                                                             if not c.startswith("q_")]), key, "left")
+    out = df.join(votes.select(*[F.col("q_" + c).alias(c) for c in qkey], *[c for c in votes.columns
+                                                                              if not c.startswith("q_")]), qkey, "left")
     if m.problem_type == "classification":
         from .learners import _finish_cls
         out = _finish_cls(out, m.n_classes)

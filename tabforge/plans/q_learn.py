@@ -1,0 +1,215 @@
+"""Queries: learners, metrics, neighbours, resampling, CV and tuning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import cv, learners, metrics, neighbors, scale, split
+from ..sources.fixtures import LINEITEM_KEY, fixture, fixture_cte
+from ..sources.tables import Tables
+from .catalog import finish, query, sig, sig_sql
+from .q_prep import BIN_FEATS, KEY_SQL, encoded, encoded_sql
+from .sqlgen import lit, union_all
+
+
+# ---- shared: fx_binary split + Gaussian naive Bayes predictions --------------
+def _binary_split(spark, sf_dir):
+    out, feats, _ = encoded(spark, sf_dir, "fx_binary")
+    d = split.split(out.select(*LINEITEM_KEY, *feats, "label"), LINEITEM_KEY, "label")
+    return d, feats
+
+
+def _gnb_pred(spark, sf_dir):
+    d, feats = _binary_split(spark, sf_dir)
+    tr, te = d.where(~F.col("is_test")), d.where("is_test")
+    m = learners.fit("Naive Bayes", tr, feats, "classification", n_classes=2)
+    p = m.transform(te)
+    return p.withColumn("score", F.round("score", 9))
+
+
+def _gnb_sql(feats=BIN_FEATS):
+    n = len(feats)
+    st = ", ".join(f"avg({f}) AS m{i}, var_pop({f}) AS v{i}" for i, f in enumerate(feats))
+    tv = ", ".join(f"var_pop({f}) AS t{i}" for i, f in enumerate(feats))
+    lg = " + ".join(f"ln(2 * pi() * (v{i} + e))" for i in range(n))
+    cl = ", ".join(f"m{i}, v{i} + e AS s{i}" for i in range(n))
+    q = " + ".join(f"pow(te.{f} - cl.m{i}, 2) / cl.s{i}" for i, f in enumerate(feats))
+    return encoded_sql("fx_binary") + f""", sp AS {split.split_sql('enc', LINEITEM_KEY, 'label')},
+tr AS (SELECT * FROM sp WHERE NOT is_test), te AS (SELECT * FROM sp WHERE is_test),
+st AS (SELECT label AS cls, count(*) AS n, {st} FROM tr GROUP BY label),
+eps AS (SELECT 1e-9 * greatest({', '.join(f't{i}' for i in range(n))}) AS e FROM (SELECT {tv} FROM tr)),
+cl AS (SELECT cls, ln(n / (SELECT count(*) FROM tr)) - 0.5 * ({lg}) AS c, {cl} FROM st, eps),
+jl AS (SELECT {', '.join('te.' + k for k in LINEITEM_KEY)}, te.label, cl.cls, cl.c - 0.5 * ({q}) AS j FROM te, cl),
+pr AS (SELECT {KEY_SQL}, label, arg_max(cls, j) AS prediction,
+              max(j) AS mx, max(j) FILTER (WHERE cls = 1) AS j1, max(j) FILTER (WHERE cls = 0) AS j0
+       FROM jl GROUP BY {KEY_SQL}, label),
+pred AS (SELECT {KEY_SQL}, label, prediction, round(exp(j1 - mx) / (exp(j0 - mx) + exp(j1 - mx)), 9) AS score FROM pr)
+"""
+
+
+@query("l3i_naive_bayes", sql=_gnb_sql() + f"SELECT {KEY_SQL}, label, prediction, round(score, 6) AS score FROM pred",
+       headline=True)
+def l3i_naive_bayes(spark, sf_dir):
+    p = _gnb_pred(spark, sf_dir)
+    return finish(p.select(*LINEITEM_KEY, "label", "prediction", "score"))
+
+
+_PC_SQL = """, pc AS (SELECT label AS actual, prediction AS predicted, count(*) AS cnt FROM pred GROUP BY ALL),
+cls AS (SELECT actual AS c FROM pc UNION SELECT predicted FROM pc),
+pcl AS (SELECT c AS cls, coalesce((SELECT sum(cnt) FROM pc WHERE actual = c), 0) AS support,
+               coalesce((SELECT sum(cnt) FROM pc WHERE actual = c AND predicted = c), 0) AS tp,
+               coalesce((SELECT sum(cnt) FROM pc WHERE predicted = c), 0) AS n_pred FROM cls),
+pcm AS (SELECT cls, support, coalesce(tp / nullif(n_pred, 0), 0.0) AS precision, coalesce(tp / nullif(support, 0), 0.0) AS recall FROM pcl),
+pcf AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM pcm)
+"""
+
+
+@query("m5_confusion_matrix", sql=_gnb_sql() + _PC_SQL + """
+SELECT a.c AS actual, b.c AS predicted, CAST(coalesce(pc.cnt, 0) AS BIGINT) AS count
+FROM cls a JOIN cls b ON true LEFT JOIN pc ON pc.actual = a.c AND pc.predicted = b.c""")
+def m5_confusion_matrix(spark, sf_dir):
+    return metrics.confusion_matrix(_gnb_pred(spark, sf_dir))
+
+
+@query("m6_class_report", sql=_gnb_sql() + _PC_SQL + """
+SELECT cls AS class, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1,
+       CAST(support AS BIGINT) AS support FROM pcf""")
+def m6_class_report(spark, sf_dir):
+    return finish(metrics.per_class(_gnb_pred(spark, sf_dir)))
+
+
+@query("m1_holdout_metrics", sql=_gnb_sql() + _PC_SQL + """
+SELECT round(sum(recall * support) / sum(support), 6) AS accuracy, round(sum(precision * support) / sum(support), 6) AS precision,
+       round(sum(recall * support) / sum(support), 6) AS recall, round(sum(f1 * support) / sum(support), 6) AS f1,
+       round(avg(f1), 6) AS f1_macro, round(coalesce(max(f1) FILTER (WHERE cls = 1), 0.0), 6) AS f1_binary FROM pcf""")
+def m1_holdout_metrics(spark, sf_dir):
+    return finish(metrics.classification_metrics(_gnb_pred(spark, sf_dir)))
+
+
+_ROC_SQL = """, g AS (SELECT score, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS neg
+       FROM pred GROUP BY score),
+c AS (SELECT score, pos, neg, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp FROM g),
+t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM g)
+"""
+
+
+@query("m7_roc_curve", sql=_gnb_sql() + _ROC_SQL + """
+SELECT 'inf'::DOUBLE AS threshold, 0.0 AS fpr, 0.0 AS tpr
+UNION ALL SELECT round(score, 6), round(fp / N, 6), round(tp / P, 6) FROM c, t""")
+def m7_roc_curve(spark, sf_dir):
+    return finish(metrics.roc_curve(_gnb_pred(spark, sf_dir)))
+
+
+@query("m8_roc_auc", sql=_gnb_sql() + _ROC_SQL + """
+SELECT round((P * N - sum(pos * ((fp - neg) + neg / 2.0))) / (P * N), 6) AS roc_auc FROM c, t GROUP BY P, N""")
+def m8_roc_auc(spark, sf_dir):
+    return finish(metrics.roc_auc(_gnb_pred(spark, sf_dir)))
+
+
+# ---- one-feature linear regression and regression metrics ------------------
+def _lin_pred(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    d = fixture(t, "fx_regression").select(*LINEITEM_KEY, "l_extendedprice", F.col("net").alias("label"))
+    d = split.split(d, LINEITEM_KEY, None)
+    m = learners.fit("Linear Regression", d.where(~F.col("is_test")), ["l_extendedprice"], "regression")
+    return m.transform(d.where("is_test"))
+
+
+_LIN_SQL = fixture_cte("fx_regression") + f""", sp AS {split.split_sql('(SELECT ' + KEY_SQL + ', l_extendedprice, net AS label FROM fx_regression)', LINEITEM_KEY, None)},
+co AS (SELECT regr_slope(label, l_extendedprice) AS b, regr_intercept(label, l_extendedprice) AS a FROM sp WHERE NOT is_test),
+pred AS (SELECT {KEY_SQL}, label, a + b * l_extendedprice AS prediction FROM sp, co WHERE is_test)
+"""
+
+
+@query("l3b_linear_regression", sql=_LIN_SQL + f"SELECT {KEY_SQL}, round(label, 6) AS label, {sig_sql('prediction', 9)} AS prediction FROM pred")
+def l3b_linear_regression(spark, sf_dir):
+    p = _lin_pred(spark, sf_dir)
+    return finish(p.select(*LINEITEM_KEY, "label", sig(F.col("prediction"), 9).alias("prediction")))
+
+
+@query("m10_regression_metrics", sql=_LIN_SQL + f"""
+SELECT {sig_sql('avg(abs(label - prediction))', 7)} AS mae, {sig_sql('avg(pow(label - prediction, 2))', 7)} AS mse,
+       {sig_sql('sqrt(avg(pow(label - prediction, 2)))', 7)} AS rmse,
+       round(1 - sum(pow(label - prediction, 2)) / (var_pop(label) * count(label)), 6) AS r2 FROM pred""")
+def m10_regression_metrics(spark, sf_dir):
+    m = metrics.regression_metrics(_lin_pred(spark, sf_dir))
+    return m.select(*[sig(F.col(c), 7).alias(c) for c in ("mae", "mse", "rmse")], F.round("r2", 6).alias("r2"))
+
+
+@query("m11_pred_vs_actual", sql=_LIN_SQL + """, r AS (SELECT least(min(label), min(prediction)) AS lo,
+   greatest(max(label), max(prediction)) AS hi, min(label) AS dmin, max(label) AS dmax FROM pred)
+SELECT CAST(least(floor((label - lo) / ((hi - lo) / 50)), 49) AS INTEGER) AS actual_bin,
+       CAST(least(floor((prediction - lo) / ((hi - lo) / 50)), 49) AS INTEGER) AS predicted_bin,
+       count(*) AS count, round(any_value(dmin), 6) AS diag_min, round(any_value(dmax), 6) AS diag_max
+FROM pred, r GROUP BY ALL""")
+def m11_pred_vs_actual(spark, sf_dir):
+    return finish(metrics.prediction_vs_actual(_lin_pred(spark, sf_dir)))
+
+
+# ---- J4 / L3h: exact neighbours on the embeddings ---------------------------
+_DIST_SQL = ("sqrt(list_reduce(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), "
+             "lambda t: (t[1] - t[2]) * (t[1] - t[2])), lambda x, y: x + y))")
+
+
+@query("j4_neighbor_join", sql=fixture_cte("fx_vectors") + f"""
+SELECT q_vec_id, label, CAST(nn_rank AS INTEGER) AS nn_rank, r_vec_id, round(dist, 6) AS dist FROM (
+  SELECT a.vec_id AS q_vec_id, a.label, b.vec_id AS r_vec_id, {_DIST_SQL} AS dist,
+         row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST_SQL}, b.vec_id) AS nn_rank
+  FROM fx_vectors a JOIN fx_vectors b ON a.label = b.label AND a.vec_id <> b.vec_id) WHERE nn_rank <= 5""",
+       headline=True)
+def j4_neighbor_join(spark, sf_dir):
+    v = fixture(Tables(spark, sf_dir), "fx_vectors")
+    return finish(neighbors.knn(v, v, ["embedding"], 5, ["vec_id"], ["vec_id"], group="label", exclude_self=True))
+
+
+@query("l3h_knn_classifier", sql=fixture_cte("fx_vectors") + f""", sp AS {split.split_sql('fx_vectors', ['vec_id'], 'label')},
+nn AS (SELECT a.vec_id AS q, b.label AS y, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_DIST_SQL}, b.vec_id) AS rn
+       FROM sp a JOIN sp b ON a.is_test AND NOT b.is_test),
+v AS (SELECT q, y, count(*) AS c FROM nn WHERE rn <= 5 GROUP BY q, y),
+w AS (SELECT q, y, row_number() OVER (PARTITION BY q ORDER BY c DESC, y) AS r FROM v)
+SELECT sp.vec_id, CAST(sp.label AS DOUBLE) AS label, CAST(w.y AS DOUBLE) AS prediction FROM sp JOIN w ON sp.vec_id = w.q AND w.r = 1""")
+def l3h_knn_classifier(spark, sf_dir):
+    v = fixture(Tables(spark, sf_dir), "fx_vectors").withColumn("label", F.col("label").cast("double"))
+    d = split.split(v, ["vec_id"], "label")
+    m = learners.fit("KNN", d.where(~F.col("is_test")), ["embedding"], "classification", params={"key": ["vec_id"]},
+                     n_classes=10)
+    return m.transform(d.where("is_test")).select("vec_id", "label", "prediction")
+
+
+# ---- X10: robust scaling --------------------------------------------------------
+_SC = ["l_quantity", "l_extendedprice"]
+
+
+@query("x10_robust_scale", sql=fixture_cte("fx_regression") + f""", sp AS {split.split_sql('fx_regression', LINEITEM_KEY, None)},
+q AS (SELECT {', '.join(f'quantile_cont({c}, 0.25) AS a{i}, quantile_cont({c}, 0.5) AS m{i}, quantile_cont({c}, 0.75) AS b{i}' for i, c in enumerate(_SC))}
+      FROM sp WHERE NOT is_test)
+SELECT {KEY_SQL}, {', '.join(f'round(({c} - m{i}) / CASE WHEN b{i} - a{i} = 0 THEN 1 ELSE b{i} - a{i} END, 6) AS {c}' for i, c in enumerate(_SC))}
+FROM sp, q""")
+def x10_robust_scale(spark, sf_dir):
+    d = split.split(fixture(Tables(spark, sf_dir), "fx_regression").select(*LINEITEM_KEY, *_SC), LINEITEM_KEY, None)
+    p = scale.fit_robust(d.where(~F.col("is_test")), _SC, exact=True)
+    return finish(scale.apply_robust(d, p).select(*LINEITEM_KEY, *_SC))
+
+
+# ---- L2: metric choice -------------------------------------------------------------
+_L2 = [("fx_imbalanced", "doc_id", "toxic"), ("fx_binary", None, "high_value"), ("fx_multiclass", "o_orderkey", "o_orderstatus")]
+
+
+def _l2_sql():
+    parts = []
+    for f, k, t in _L2:
+        key = [k] if k else LINEITEM_KEY
+        parts.append(f"""SELECT {lit(f)} AS fixture, CASE WHEN min(c) / sum(c) * 100 < 20 THEN CASE WHEN count(*) <= 2 THEN 'f1' ELSE 'f1_macro' END
+  ELSE 'f1_weighted' END AS metric FROM (SELECT {t}, count(*) AS c FROM {split.split_sql(f, key, t)} WHERE NOT is_test GROUP BY {t})""")
+    return fixture_cte("fx_imbalanced", "fx_binary", "fx_multiclass") + union_all(parts)
+
+
+@query("l2_scoring_metric", sql=_l2_sql())
+def l2_scoring_metric(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    rows = []
+    for f, k, tgt in _L2:
+        key = [k] if k else LINEITEM_KEY
+        d = split.split(fixture(t, f), key, tgt)
+        rows.append((f, cv.scoring_metric(d.where(~F.col("is_test")), tgt, "classification")))
+    return spark.createDataFrame(rows, "fixture string, metric string")
