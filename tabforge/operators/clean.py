@@ -160,7 +160,9 @@ def apply_encoding(df: DataFrame, enc: Encoding, target: str | None = None,
     return out
 
 
-def bool_to_int(df: DataFrame) -> DataFrame:
-    """P7."""
-    return df.withColumns({f.name: F.col(f.name).cast("int") for f in df.schema.fields
-                           if f.dataType.typeName() == "boolean"}) if df.schema else df
+def bool_to_int(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+    """Boolean feature columns become 0/1 integers."""
+    cols = set(cols if cols is not None else df.columns)
+    conv = {f.name: F.col(f.name).cast("int") for f in df.schema.fields
+            if f.dataType.typeName() == "boolean" and f.name in cols}
+    return df.withColumns(conv) if conv else df

@@ -73,8 +73,8 @@ def preprocess(df: DataFrame, target: str, key: list[str], kinds: dict, problem_
     d3 = clean.apply_encoding(d2, enc, target)
     if problem_type != "classification":
         d3 = d3.withColumn("label", F.col(target).cast("double"))
-    d3 = clean.bool_to_int(d3)
     feats_all = enc.feature_columns(raw)
+    d3 = clean.bool_to_int(d3, feats_all)
     fit_rows = d3.where(~F.col("is_test")) if fit_on == "train" else d3
     sel = select.select_features(fit_rows, feats_all, "label", problem_type, k)
     feats = sel.selected
