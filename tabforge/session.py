@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
-              app: str = "tabforge") -> SparkSession:
+              app: str = "tabforge", driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with AQE on and the UI off."""
     b = SparkSession.builder.appName(app)
     if master:
@@ -24,6 +24,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
           .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        b = b.config("spark.driver.memory", driver_memory)
     spark = b.getOrCreate()
     checkpoint_dir(spark)
     return spark

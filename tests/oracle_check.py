@@ -73,7 +73,7 @@ def main(argv=None):
     a = ap.parse_args(argv)
     import __spark_entry__ as E
     from tabforge.session import get_spark
-    spark = get_spark("local[8]", 8)
+    spark = get_spark("local[8]", 8, driver_memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(a.sf)
