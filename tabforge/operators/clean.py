@@ -64,7 +64,10 @@ def fit_impute(df: DataFrame, kinds: dict[str, str], cols: list[str]) -> dict[st
         return {}
     a = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)],
                *[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    need = [(i, c) for i, c in enumerate(cols) if a[f"m{i}"] > 0]
+    # a categorical column above the encoding screen is dropped by the encoder,
+    # so its mode (a value->count map as large as its cardinality) is never built
+    need = [(i, c) for i, c in enumerate(cols) if a[f"m{i}"] > 0 and
+            (kinds.get(c) == "numerical" or a[f"d{i}"] <= CATEGORY_SCREEN)]
     if not need:
         return {}
     aggs = []

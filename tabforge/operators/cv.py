@@ -63,24 +63,38 @@ def fold_scores(data: DataFrame, features: list[str], problem_type: str, metric:
         n_classes = int(data.agg(F.max(label)).first()[0]) + 1
     counts = {r["fold"]: r["c"] for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("c")).collect()}
     total = sum(counts.values())
+    # each fold's training rows (resampled inside the fold when asked) are built
+    # once and shared by every candidate; synthetic rows never reach the scoring fold
+    train_sets = {}
+    if resample is not None:
+        def build(f):
+            t = resample(data.where(F.col("fold") != f)).persist(StorageLevel.MEMORY_AND_DISK)
+            return f, t, t.count()
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+            for f, t, n in ex.map(build, range(n_folds)):
+                train_sets[f] = (t, n)
 
     def run(job):
         ci, f = job
         name, params = candidates[ci]
-        tr = data.where(F.col("fold") != f)
-        if resample is not None:
-            tr = resample(tr)
+        if f in train_sets:
+            tr, n_tr = train_sets[f]
+        else:
+            tr, n_tr = data.where(F.col("fold") != f), total - counts.get(f, 0)
         va = data.where(F.col("fold") == f)
         p = dict(params)
         if name == "KNN":
             p["key"] = key
-        m = learners.fit(name, tr, features, problem_type, label, p, n_rows=total - counts.get(f, 0),
-                         n_classes=n_classes)
+        m = learners.fit(name, tr, features, problem_type, label, p, n_rows=n_tr, n_classes=n_classes)
         return ci, f, evaluate(m.transform(va), metric, label)
 
     jobs = [(ci, f) for ci in range(len(candidates)) for f in range(n_folds)]
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        return list(ex.map(run, jobs))
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+            return list(ex.map(run, jobs))
+    finally:
+        for t, _ in train_sets.values():
+            t.unpersist()
 
 
 def cross_validate(data: DataFrame, features: list[str], problem_type: str, metric: str,

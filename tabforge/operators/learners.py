@@ -20,11 +20,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
 MAX_DEPTH = 30          # MLlib's ceiling; stands in for "unlimited"
+SMALL_TRAIN_ROWS = 50_000
 CLASSIFIERS = ["Logistic Regression", "Decision Tree", "Random Forest", "Gradient Boosting", "SVM", "KNN",
                "Naive Bayes"]
 REGRESSORS = ["Linear Regression", "Decision Tree", "Random Forest", "Gradient Boosting", "SVM", "KNN"]
@@ -61,7 +63,11 @@ class Fitted:
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.kind == "mllib":
-            out = self.model.transform(df)
+            rff = self.params.get("rff")
+            src = df.withColumns(rff_columns(self.features, rff)) if rff else df
+            out = self.model.transform(src)
+            if rff:
+                out = out.drop(*[f"_rff{j}" for j in range(rff["dim"])])
             drop = [c for c in ("features", "rawPrediction") if c in out.columns]
             if self.problem_type == "classification":
                 if "platt" in self.params:
@@ -97,6 +103,46 @@ class Fitted:
         save_fitted(self, path)
 
 
+# ---- RBF kernel by random Fourier features (Rahimi & Recht, 2007) ----------------
+RFF_DIM = 64
+
+
+def rff_params(features: list[str], gamma: float, dim: int = RFF_DIM, seed: int = SEED) -> dict:
+    """W ~ N(0, 2*gamma), b ~ U[0, 2pi): z(x) = sqrt(2/D) cos(W x + b) approximates exp(-gamma |x-y|^2)."""
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    w = rng.normal(0.0, math.sqrt(2.0 * gamma), size=(dim, len(features)))
+    b = rng.uniform(0.0, 2 * math.pi, size=dim)
+    return {"w": w.tolist(), "b": b.tolist(), "dim": dim}
+
+
+def rff_columns(features: list[str], rff: dict) -> dict:
+    scale = math.sqrt(2.0 / rff["dim"])
+    cols = {}
+    for j in range(rff["dim"]):
+        lin = F.lit(rff["b"][j])
+        for i, f in enumerate(features):
+            lin = lin + F.lit(rff["w"][j][i]) * F.col(f).cast("double")
+        cols[f"_rff{j}"] = F.lit(scale) * F.cos(lin)
+    return cols
+
+
+def _gamma(train: DataFrame, features: list[str], how) -> float:
+    """sklearn's 'scale' = 1 / (n_features * X.var()); 'auto' = 1 / n_features."""
+    if how == "auto":
+        return 1.0 / len(features)
+    if isinstance(how, (int, float)):
+        return float(how)
+    # X.var() over all values: E[x^2] - E[x]^2 pooled across features
+    a = train.agg(*[F.avg(F.col(f).cast("double")).alias(f"m{i}") for i, f in enumerate(features)],
+                  *[F.avg(F.col(f).cast("double") ** 2).alias(f"q{i}") for i, f in enumerate(features)]).first()
+    d = len(features)
+    mean = sum(a[f"m{i}"] for i in range(d)) / d
+    sq = sum(a[f"q{i}"] for i in range(d)) / d
+    var = sq - mean * mean
+    return 1.0 / (d * var) if var > 0 else 1.0
+
+
 # ---- MLlib estimators ---------------------------------------------------------
 def mllib_estimator(name: str, problem_type: str, n_rows: int, n_classes: int, params: dict | None = None):
     """The MLlib stage for one zoo entry with the reference's defaults mapped over."""
@@ -129,9 +175,9 @@ def mllib_estimator(name: str, problem_type: str, n_rows: int, n_classes: int, p
     if name == "SVM":
         c = float(p.get("C", 1.0))
         if cls:
-            s = LinearSVC(regParam=1.0 / (c * max(n_rows, 1)), maxIter=200, standardization=True)
+            s = LinearSVC(regParam=1.0 / (c * max(n_rows, 1)), maxIter=100, standardization=True)
             return s if n_classes <= 2 else OneVsRest(classifier=s)
-        return LinearRegression(loss="huber", regParam=1.0 / (c * max(n_rows, 1)), maxIter=200)
+        return LinearRegression(loss="huber", regParam=1.0 / (c * max(n_rows, 1)), maxIter=100)
     raise ValueError(name)
 
 
@@ -143,18 +189,34 @@ def fit(name: str, train: DataFrame, features: list[str], problem_type: str, lab
         n_rows = n_rows if n_rows is not None else a["n"]
         n_classes = n_classes if n_classes is not None else int((a["m"] or 0) + 1)
     n_classes = n_classes or 0
+    if n_rows <= SMALL_TRAIN_ROWS:
+        # iterative learners launch one job per pass; on a small input one task
+        # per job is cheaper than spreading a few hundred rows over many
+        train = train.coalesce(1)
     if name == "Naive Bayes":
         return gnb_fit(train, features, label, float((params or {}).get("var_smoothing", 1e-9)), n_classes)
     if name == "KNN":
         from .neighbors import knn_fit
         return knn_fit(train, features, label, problem_type, params or {}, n_classes)
     est = mllib_estimator(name, problem_type, n_rows, n_classes, params)
-    stages = [_assembler(features), est.setFeaturesCol("features").setLabelCol(label)
+    fitted_params = dict(params or {})
+    in_cols = list(features)
+    if name == "SVM" and (params or {}).get("kernel", "rbf") == "rbf":
+        # the RBF kernel through an explicit random feature map, then a linear model
+        rff = rff_params(features, _gamma(train, features, (params or {}).get("gamma", "scale")))
+        fitted_params["rff"] = rff
+        in_cols = [f"_rff{j}" for j in range(rff["dim"])]
+        # the mapped rows are read by every optimizer pass: build them once
+        train = train.select(F.col(label), *[c.alias(n) for n, c in rff_columns(features, rff).items()])
+        train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    stages = [_assembler(in_cols), est.setFeaturesCol("features").setLabelCol(label)
               if hasattr(est, "setLabelCol") else est]
     pm = Pipeline(stages=stages).fit(train)
-    fitted = Fitted(name, problem_type, list(features), "mllib", pm, dict(params or {}), n_classes)
+    fitted = Fitted(name, problem_type, list(features), "mllib", pm, fitted_params, n_classes)
     if name == "SVM" and problem_type == "classification" and n_classes == 2:
         fitted.params["platt"] = _platt(pm, train, label)
+    if "rff" in fitted_params:
+        train.unpersist()
     return fitted
 
 

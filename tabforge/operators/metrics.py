@@ -82,13 +82,18 @@ def _score_table(pred: DataFrame, label: str, score: str, buckets: int) -> DataF
     g = (pred.groupBy(F.col(score).cast("double").alias("score"))
              .agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
                   F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("neg")))
-    lo_hi = g.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
-    lo, hi = lo_hi["lo"], lo_hi["hi"]
-    span = (hi - lo) if (lo is not None and hi > lo) else 1.0
+    # bucket boundaries at approximate quantiles of the distinct scores, so
+    # buckets stay balanced however the scores concentrate
+    qs = g.agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 10 * buckets)
+               .alias("q")).first()["q"] or []
+    splits = sorted(set(float(x) for x in qs if x is not None))
+    from pyspark.ml.feature import Bucketizer
+    if splits:
+        bz = Bucketizer(splits=[float("-inf")] + splits + [float("inf")], inputCol="score", outputCol="_bk")
+        g = bz.transform(g).withColumn("bucket", (F.lit(len(splits)) - F.col("_bk")).cast("int")).drop("_bk")
+    else:
+        g = g.withColumn("bucket", F.lit(0))
     # bucket 0 holds the highest scores
-    b = F.least(F.floor((F.lit(hi if hi is not None else 0.0) - F.col("score")) / F.lit(span) * buckets),
-                F.lit(buckets - 1)).cast("int")
-    g = g.withColumn("bucket", b)
     tot = g.groupBy("bucket").agg(F.sum("pos").alias("bp"), F.sum("neg").alias("bn"))
     wb = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)   # <= buckets rows
     off = (tot.withColumn("op", F.coalesce(F.sum("bp").over(wb), F.lit(0)))

@@ -106,6 +106,8 @@ def knn(query: DataFrame, ref: DataFrame, features: list[str], k: int, qkey: lis
         c = (pairs(todo, lo, hi).withColumn("_rn", F.row_number().over(wq)).where(F.col("_rn") <= k)
              .groupBy("_qk").agg(F.count(F.lit(1)).alias("_cnt"), F.max("dist").alias("_R")))
         c = todo.select("_qk", "_g", "_p", "_lo", "_w", "_cmax").join(c, "_qk", "left")
+        # one row per query; cut the lineage so later steps do not re-run the chain
+        c = c.checkpoint(eager=True)
         done = c.where((F.col("_cnt") >= k) | F.lit(last))
         radius = done if radius is None else radius.unionByName(done)
         todo = c.where(~((F.col("_cnt") >= k) | F.lit(last))).drop("_cnt", "_R").join(

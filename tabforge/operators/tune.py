@@ -70,7 +70,7 @@ def candidates_for(name: str, problem_type: str) -> tuple[list[dict], str]:
 
 def tune_model(name: str, data: DataFrame, features: list[str], problem_type: str, metric: str,
                label: str = "label", key=None, parallelism: int = 4, n_classes=None,
-               cv_mean: float | None = None):
+               cv_mean: float | None = None, resample=None):
     """Search one model's space with 5-fold CV; returns (best_params, best_score, table).
 
     An empty space (linear regression) is not searched; its CV mean stands
@@ -90,7 +90,7 @@ def tune_model(name: str, data: DataFrame, features: list[str], problem_type: st
         eff.setdefault(k, []).append(i)
     reps = [combos[v[0]] for v in eff.values()]
     res = fold_scores(data, features, problem_type, metric, [(name, p) for p in reps], label=label, key=key,
-                      parallelism=parallelism, n_classes=n_classes)
+                      parallelism=parallelism, n_classes=n_classes, resample=resample)
     run = _summarise(spark, [(name, 0, ci, f, s) for ci, f, s in res])
     means = {r["candidate"]: r["mean_score"] for r in run.summary.collect()}
     rows = []
@@ -104,7 +104,7 @@ def tune_model(name: str, data: DataFrame, features: list[str], problem_type: st
 
 def run_tuning(data: DataFrame, features: list[str], problem_type: str, metric: str, top: list[str],
                label: str = "label", key=None, parallelism: int = 4, n_classes=None,
-               cv_means: dict | None = None):
+               cv_means: dict | None = None, resample=None):
     """Tune each of the top models; best = first maximum of the tuned score."""
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     results, tables = {}, []
@@ -113,7 +113,7 @@ def run_tuning(data: DataFrame, features: list[str], problem_type: str, metric:
             if name not in param_grids(problem_type):
                 continue
             p, s, t = tune_model(name, data, features, problem_type, metric, label, key, parallelism, n_classes,
-                                 (cv_means or {}).get(name))
+                                 (cv_means or {}).get(name), resample)
             results[name] = {"best_params": p, "best_score": s}
             tables.append(t)
     finally:

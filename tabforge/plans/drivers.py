@@ -145,7 +145,7 @@ def tune_top(prep: Prepared, trained: dict, top_n: int = 3, parallelism: int = 4
     means = {r["model"]: r["mean_score"] for r in board.collect()}
     best, results, table = tuning.run_tuning(trained["folds"], prep.features, prep.problem_type, trained["metric"],
                                              top, key=[KEY], parallelism=parallelism, n_classes=prep.n_classes,
-                                             cv_means=means)
+                                             cv_means=means, resample=_resampler(prep))
     tr = prep.data.where(~F.col("is_test")).drop("is_test")
     final_train = _resampler(prep)(tr) if prep.problem_type == "classification" else tr
     params = dict(results[best]["best_params"])
@@ -189,15 +189,16 @@ def explain(model, prep: Prepared) -> dict:
 
 
 def run_all(df: DataFrame, target: str, key: list[str], model_dir: str | None = None,
-            names: list[str] | None = None, tune: bool = True, parallelism: int = 4) -> dict:
+            names: list[str] | None = None, tune: bool = True, parallelism: int = 4,
+            prep: Prepared | None = None, trained: dict | None = None) -> dict:
     """Ingest -> quality -> EDA -> preprocess -> train -> tune -> evaluate ->
-    importance -> save -> report tables."""
+    importance -> save -> report tables.  ``prep`` / ``trained`` reuse earlier stages."""
     from ..operators import report
     typed, kinds, problem = schema.ingest_frame(df, target)
     q = qual.run_quality_check(typed, kinds, target, problem)
     e = run_eda(typed, kinds, target, problem)
-    prep = preprocess(typed, target, key, kinds, problem)
-    tr = train_models(prep, names, parallelism)
+    prep = prep or preprocess(typed, target, key, kinds, problem)
+    tr = trained or train_models(prep, names, parallelism)
     tu = tune_top(prep, tr, parallelism=parallelism) if tune else None
     model = tu["model"] if tu else tr["model"]
     ev = evaluate(model, prep)

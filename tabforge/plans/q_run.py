@@ -18,7 +18,7 @@ from ..streaming import score_stream
 from . import drivers
 from .catalog import finish, query
 
-PARALLELISM = 4
+PARALLELISM = 6
 _CACHE: dict = {}
 _LOCK = threading.RLock()
 
@@ -51,7 +51,8 @@ def _imb_train(spark, sf_dir):
 def _imb_run(spark, sf_dir):
     def b():
         return drivers.run_all(_imb_raw(spark, sf_dir), "toxic", ["doc_id"],
-                               model_dir=scratch_path(spark, "model-run"), parallelism=PARALLELISM)
+                               model_dir=scratch_path(spark, "model-run"), parallelism=PARALLELISM,
+                               prep=_imb_prep(spark, sf_dir), trained=_imb_train(spark, sf_dir))
     return _cached("imb_run", spark, sf_dir, b)
 
 
