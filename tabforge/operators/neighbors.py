@@ -24,7 +24,7 @@ CELL_FACTOR = 4
 MAX_WIDEN = 6
 
 
-def _dist(features, vector: bool, metric: str, q="q_", r="r_") -> Column:
+def _dist(features, vector: bool, metric: str, q="q_", r="r_") -> Column:  # noqa: C901
     if vector:
         a, b = F.col(q + features[0]), F.col(r + features[0])
         if metric == "manhattan":
@@ -45,87 +45,123 @@ def _feat(f: str, vector: bool) -> Column:
     return F.col(f).cast("array<double>") if vector else F.col(f)
 
 
-def _projection(ref: DataFrame, features, vector: bool) -> Column:
-    """The coordinate with the largest variance in the reference set."""
+def _projection(ref: DataFrame, features, vector: bool):
+    """(feature, array position) of the coordinate with the largest variance."""
     if vector:
         f = features[0]
         v = (ref.select(F.posexplode(F.col(f)).alias("pos", "x")).groupBy("pos")
                 .agg(F.var_pop("x").alias("v")).orderBy(F.desc("v"), "pos").first())
-        pos = int(v["pos"]) if v else 0
-        return F.col(f)[pos].cast("double")
+        return f, (int(v["pos"]) if v else 0)
     a = ref.agg(*[F.var_pop(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(features)]).first()
     best = max(range(len(features)), key=lambda i: (a[f"v{i}"] or 0.0, -i))
-    return F.col(features[best]).cast("double")
+    return features[best], None
+
+
+def _proj_col(prefix: str, spec) -> Column:
+    f, pos = spec
+    c = F.col(prefix + f)
+    return (c[pos] if pos is not None else c).cast("double")
 
 
 def knn(query: DataFrame, ref: DataFrame, features: list[str], k: int, qkey: list[str], rkey: list[str],
         group: str | None = None, exclude_self: bool = False, metric: str = "euclidean") -> DataFrame:
-    """For every query row, its k nearest reference rows.
+    """For every query row, its k nearest reference rows, ties broken by reference key.
 
     Returns (q_<qkey>..., [group], nn_rank, r_<rkey>..., dist).  ``group``
     restricts neighbours to the same group value (e.g. the class for SMOTE);
-    ``exclude_self`` drops the pair whose keys are equal.
+    ``exclude_self`` (query rows drawn from ``ref``) drops each row itself.
+
+    The search runs over distinct points: identical feature vectors collapse
+    into one point with a multiplicity and its k+1 smallest keys (a salted
+    two-level window, so a point shared by a third of the rows never sits in
+    one task).  Rows are expanded again only for the final ranking.
     """
     vector = len(features) == 1 and ref.schema[features[0]].dataType.typeName() == "array"
-    proj = _projection(ref, features, vector)
+    spec = _projection(ref, features, vector)
     g = F.col(group) if group else F.lit(0)
-    R = ref.select(g.alias("_g"), F.struct(*[F.col(c) for c in rkey]).alias("_rk"),
-                   *[F.col(c).alias("r_" + c) for c in rkey if c not in features],
-                   *[_feat(f, vector).alias("r_" + f) for f in features], proj.alias("_p"))
-    gs = R.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"), F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
+    fr = ["r_" + f for f in features]
+    fq = ["q_" + f for f in features]
+    top = k + 1
+
+    # distinct reference points: multiplicity and the k+1 smallest keys
+    R0 = ref.select(g.alias("_rg"), F.struct(*[F.col(c) for c in rkey]).alias("_rk"),
+                    *[_feat(f, vector).alias("r_" + f) for f in features])
+    n_ref = R0.count()
+    salts = int(min(4096, max(1, n_ref // 200_000)))
+    R0 = R0.withColumn("_salt", F.abs(F.xxhash64("_rk")) % salts)
+    w1 = Window.partitionBy("_rg", *fr, "_salt")
+    s1 = (R0.withColumn("_rn", F.row_number().over(w1.orderBy("_rk")))
+            .withColumn("_cnt", F.count(F.lit(1)).over(w1)).where(F.col("_rn") <= top))
+    RP = (s1.groupBy("_rg", *fr)
+            .agg(F.sum(F.when(F.col("_rn") == 1, F.col("_cnt"))).alias("_m"),
+                 F.slice(F.array_sort(F.collect_list("_rk")), 1, top).alias("_keys"))
+            .withColumn("_rp", _proj_col("r_", spec)))
+    gs = RP.groupBy("_rg").agg(F.count(F.lit(1)).alias("_n"), F.min("_rp").alias("_lo"), F.max("_rp").alias("_hi"))
     gs = gs.withColumn("_w", F.greatest((F.col("_hi") - F.col("_lo")) * F.lit(CELL_FACTOR * k) / F.col("_n"),
                                         F.lit(1e-12)))
     gs = gs.withColumn("_cmax", F.floor((F.col("_hi") - F.col("_lo")) / F.col("_w")).cast("bigint"))
-    # one row per group: bounded by the number of groups (classes)
-    gs = F.broadcast(gs.select("_g", "_lo", "_w", "_cmax"))
-    cell = F.floor((F.col("_p") - F.col("_lo")) / F.col("_w")).cast("bigint")
-    R = (R.join(gs, "_g").withColumn("_cell", cell).drop("_lo", "_w", "_cmax", "_p")
-          .withColumnRenamed("_g", "_rg").withColumnRenamed("_cell", "_rcell"))
-    Q = query.select(g.alias("_g"), F.struct(*[F.col(c) for c in qkey]).alias("_qk"),
-                     *[_feat(f, vector).alias("q_" + f) for f in features], proj.alias("_p"))
-    Q = Q.join(gs, "_g").withColumn("_cell", cell)
-    Q = Q.withColumn("_cell", F.least(F.greatest(F.col("_cell"), F.lit(0)), F.col("_cmax")))
+    # one row per group (class): bounded
+    gs = F.broadcast(gs.select(F.col("_rg").alias("_g"), "_lo", "_w", "_cmax"))
+    RP = (RP.join(gs.withColumnRenamed("_g", "_rg"), "_rg")
+            .withColumn("_rcell", F.floor((F.col("_rp") - F.col("_lo")) / F.col("_w")).cast("bigint"))
+            .drop("_lo", "_w", "_cmax", "_rp"))
+
+    # distinct query points
+    Q0 = query.select(g.alias("_g"), F.struct(*[F.col(c) for c in qkey]).alias("_qk"),
+                      *[_feat(f, vector).alias("q_" + f) for f in features])
+    QP = (Q0.select("_g", *fq).distinct().withColumn("_p", _proj_col("q_", spec)).join(gs, "_g")
+            .withColumn("_cell", F.floor((F.col("_p") - F.col("_lo")) / F.col("_w")).cast("bigint")))
+    QP = QP.withColumn("_cell", F.least(F.greatest(F.col("_cell"), F.lit(0)), F.col("_cmax")))
+    qp_cols = ["_g", *fq]
 
     def pairs(qq: DataFrame, lo: Column, hi: Column) -> DataFrame:
         e = qq.withColumn("_c", F.explode(F.sequence(F.greatest(lo, F.lit(0)), F.least(hi, F.col("_cmax")))))
-        j = e.join(R, (F.col("_g") == F.col("_rg")) & (F.col("_c") == F.col("_rcell"))).drop("_rg", "_rcell")
+        j = e.join(RP, (F.col("_g") == F.col("_rg")) & (F.col("_c") == F.col("_rcell"))).drop("_rg", "_rcell")
         j = j.withColumn("dist", _dist(features, vector, metric))
-        if exclude_self:
-            j = j.where(F.to_json("_qk") != F.to_json("_rk")) if qkey != rkey else j.where(F.col("_qk") != F.col("_rk"))
-        return j
+        # rows available at this point: the query row itself is one of its own point's members
+        avail = F.col("_m") - F.when(F.lit(exclude_self) & (F.col("dist") == 0), 1).otherwise(0)
+        return j.withColumn("_avail", avail)
 
-    # 1. candidate radius, widening for the queries still short of k candidates
-    wq = Window.partitionBy("_qk").orderBy("dist", "_rk")
+    # 1. candidate radius per query point, widening for points still short of k rows
+    wq = Window.partitionBy(*qp_cols).orderBy("dist").rowsBetween(Window.unboundedPreceding, 0)
     radius = None
-    todo = Q
+    todo = QP
     span = 1
     for it in range(MAX_WIDEN + 1):
         last = it == MAX_WIDEN
         lo = F.lit(0) if last else F.col("_cell") - span
         hi = F.col("_cmax") if last else F.col("_cell") + span
-        c = (pairs(todo, lo, hi).withColumn("_rn", F.row_number().over(wq)).where(F.col("_rn") <= k)
-             .groupBy("_qk").agg(F.count(F.lit(1)).alias("_cnt"), F.max("dist").alias("_R")))
-        c = todo.select("_qk", "_g", "_p", "_lo", "_w", "_cmax").join(c, "_qk", "left")
-        # one row per query; cut the lineage so later steps do not re-run the chain
+        c = (pairs(todo, lo, hi).withColumn("_cum", F.sum("_avail").over(wq))
+             .groupBy(*qp_cols).agg(F.sum("_avail").alias("_tot"),
+                                    F.min(F.when(F.col("_cum") >= k, F.col("dist"))).alias("_R")))
+        c = todo.select(*qp_cols, "_p", "_lo", "_w", "_cmax", "_cell").join(c, qp_cols, "left")
+        # one row per query point; cut the lineage so later steps do not re-run the chain
         c = c.checkpoint(eager=True)
-        done = c.where((F.col("_cnt") >= k) | F.lit(last))
+        ok = F.col("_R").isNotNull() | F.lit(last)
+        done = c.where(ok)
         radius = done if radius is None else radius.unionByName(done)
-        todo = c.where(~((F.col("_cnt") >= k) | F.lit(last))).drop("_cnt", "_R").join(
-            Q.select("_qk", *[F.col("q_" + f) for f in features], "_cell"), "_qk")
+        todo = c.where(~ok).drop("_tot", "_R")
         if last or todo.limit(1).count() == 0:
             break
         span *= 4
+    # a point with fewer than k rows in reach keeps all of them
+    radius = radius.withColumn("_R", F.coalesce("_R", F.lit(float("inf")))).where(F.col("_tot") > 0)
     # 2. exact pass over the band [p - R, p + R]
-    band = radius.where(F.col("_cnt") > 0).join(Q.select("_qk", *[F.col("q_" + f) for f in features]), "_qk")
-    blo = F.floor((F.col("_p") - F.col("_R") - F.col("_lo")) / F.col("_w")).cast("bigint")
-    bhi = F.floor((F.col("_p") + F.col("_R") - F.col("_lo")) / F.col("_w")).cast("bigint")
-    pr = pairs(band, blo, bhi).where(F.col("dist") <= F.col("_R"))
-    top = pr.withColumn("nn_rank", F.row_number().over(wq)).where(F.col("nn_rank") <= k)
-    out = top.select(*[F.col("_qk")[c].alias("q_" + c) for c in qkey],
-                     *([F.col("_g").alias(group)] if group else []),
-                     F.col("nn_rank").cast("int"),
-                     *[F.col("_rk")[c].alias("r_" + c) for c in rkey], "dist")
-    return out
+    blo = F.when(F.col("_R") == float("inf"), F.lit(0)).otherwise(
+        F.floor((F.col("_p") - F.col("_R") - F.col("_lo")) / F.col("_w"))).cast("bigint")
+    bhi = F.when(F.col("_R") == float("inf"), F.col("_cmax")).otherwise(
+        F.floor((F.col("_p") + F.col("_R") - F.col("_lo")) / F.col("_w"))).cast("bigint")
+    cand = (pairs(radius.drop("_tot"), blo, bhi).where(F.col("dist") <= F.col("_R"))
+            .select(*qp_cols, "dist", F.explode("_keys").alias("_rk")))
+    rows = Q0.join(cand, qp_cols)
+    if exclude_self:
+        rows = rows.where(F.to_json("_qk") != F.to_json("_rk"))
+    wr = Window.partitionBy("_qk").orderBy("dist", "_rk")
+    topk = rows.withColumn("nn_rank", F.row_number().over(wr)).where(F.col("nn_rank") <= k)
+    return topk.select(*[F.col("_qk")[c].alias("q_" + c) for c in qkey],
+                       *([F.col("_g").alias(group)] if group else []),
+                       F.col("nn_rank").cast("int"),
+                       *[F.col("_rk")[c].alias("r_" + c) for c in rkey], "dist")
 
 
 # ---- KNN learner (L3h) -----------------------------------------------------------

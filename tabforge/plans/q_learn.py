@@ -213,3 +213,41 @@ def l2_scoring_metric(spark, sf_dir):
         d = split.split(fixture(t, f), key, tgt)
         rows.append((f, cv.scoring_metric(d.where(~F.col("is_test")), tgt, "classification")))
     return spark.createDataFrame(rows, "fixture string, metric string")
+
+
+# ---- I3 with a SQL twin: permutation importance of the naive Bayes model ---------
+def _perm_sql(feats=BIN_FEATS, repeats=10):
+    from ..functions.hashing import hash_hex_sql
+    n = len(feats)
+    base_h = hash_hex_sql(LINEITEM_KEY, 42, "perm-base")
+    perm_h = hash_hex_sql(LINEITEM_KEY + ["_s"], 42, "perm")
+    # replicas: every test row once per (feature, repeat); row i takes feature f from the row ranked i
+    pick = ", ".join(f"CASE WHEN r._f = {i} THEN d._v ELSE r.{f} END AS {f}" for i, f in enumerate(feats))
+    donor_v = "CASE " + " ".join(f"WHEN _f = {i} THEN {f}" for i, f in enumerate(feats)) + " END"
+    q = " + ".join(f"pow(x.{f} - cl.m{i}, 2) / cl.s{i}" for i, f in enumerate(feats))
+    return _gnb_sql(feats) + f""", idx AS (SELECT *, row_number() OVER (ORDER BY {base_h}) AS _i FROM te),
+combos AS (SELECT f AS _f, r AS _r, f * 1000 + r AS _s FROM range(0, {n}) a(f), range(0, {repeats}) b(r)),
+rep AS (SELECT idx.*, combos._f, combos._r, combos._s FROM idx, combos),
+rk AS (SELECT _s, _f, row_number() OVER (PARTITION BY _s ORDER BY {perm_h}) AS _j, {donor_v} AS _v FROM rep),
+perm AS (SELECT r._i, r.label, r._f, r._r, {pick} FROM rep r JOIN rk d ON r._s = d._s AND r._i = d._j),
+pj AS (SELECT x._i, x._f, x._r, x.label, cl.cls, cl.c - 0.5 * ({q}) AS j FROM perm x, cl),
+pp AS (SELECT _f, _r, _i, label, arg_max(cls, j) AS prediction FROM pj GROUP BY _f, _r, _i, label),
+base AS (SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS b FROM pred)
+"""
+
+
+def _perm_sql_final():
+    names = "[" + ", ".join(lit(f) for f in BIN_FEATS) + "]"
+    return _perm_sql() + f"""
+SELECT {names}[_f + 1] AS feature, round(avg(b - acc), 6) AS importance_mean, round(stddev_pop(b - acc), 6) AS importance_std
+FROM (SELECT _f, _r, avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS acc FROM pp GROUP BY _f, _r), base
+GROUP BY _f"""
+
+
+@query("i3_permutation_gnb", sql=_perm_sql_final())
+def i3_permutation_gnb(spark, sf_dir):
+    from ..operators import importance
+    d, feats = _binary_split(spark, sf_dir)
+    tr, te = d.where(~F.col("is_test")), d.where("is_test")
+    m = learners.fit("Naive Bayes", tr, feats, "classification", n_classes=2)
+    return finish(importance.permutation_importance(m, te, feats, LINEITEM_KEY, "classification"))

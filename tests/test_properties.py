@@ -151,3 +151,16 @@ def test_permutation_importance_ranks_signal_first(spark, binary):
     imp = importance.permutation_importance(m, d.where("is_test"), ["l_extendedprice", "l_tax"], LINEITEM_KEY,
                                             "classification").collect()
     assert imp[0]["feature"] == "l_extendedprice" and imp[0]["importance_mean"] > 0.1
+
+
+def test_knn_hot_duplicate_point(spark):
+    # a third of the rows share one feature vector; ties resolve by key
+    pts = [(i, i % 2, 1.0, 2.0) for i in range(30)] + [(100 + i, i % 2, float(i % 9), float(i // 9)) for i in range(60)]
+    df = spark.createDataFrame(pts, "k long, g int, x double, y double")
+    got = neighbors.knn(df, df, ["x", "y"], 5, ["k"], ["k"], group="g", exclude_self=True)
+    rows = [(p[0], p[1], [p[2], p[3]]) for p in pts]
+    want = _brute_knn(rows, 5)
+    have = {}
+    for r in got.orderBy("q_k", "nn_rank").collect():
+        have.setdefault(r["q_k"], []).append(r["r_k"])
+    assert have == want
