@@ -2,10 +2,9 @@
 
 Permutation importance is one Spark job, not features x repeats jobs: the
 test rows are replicated per (feature, repeat); inside each replica the
-feature column is replaced through an equi-join on rank (row i takes the
-value of the row whose hash rank for that replica is i); the model scores
-all replicas in one ``transform`` and a grouped aggregation yields every
-score at once.
+feature column is replaced through an equi-join on a permuted row index
+(computed arithmetically, no sort); the model scores all replicas in one
+``transform`` and a grouped aggregation yields every score at once.
 """
 
 from __future__ import annotations
@@ -58,33 +57,60 @@ def _grouped_score(pred: DataFrame, problem_type: str, groups: list[str], label:
                     .otherwise(1 - F.col("ss_res") / F.col("ss_tot")).alias("score"))
 
 
+def _primes(lo: int, count: int) -> list[int]:
+    """The first ``count`` primes at or above ``lo`` (trial division; a rule, not a table)."""
+    out, x = [], lo
+    while len(out) < count:
+        if all(x % d for d in range(2, int(x ** 0.5) + 1)):
+            out.append(x)
+        x += 1
+    return out
+
+
+PERM_PRIMES = _primes(1_000_003, 256)
+
+
+def replica_params(n_replicas: int, seed=SEED) -> list[tuple[int, int, int, int]]:
+    """Per replica s: three candidate primes and a raw offset, all from md5(s|seed)."""
+    import hashlib
+    out = []
+    for s in range(n_replicas):
+        h = hashlib.md5(f"{s}|{seed}|perm".encode()).hexdigest()
+        k = int(h[:8], 16) % (len(PERM_PRIMES) - 3)
+        out.append((PERM_PRIMES[k], PERM_PRIMES[k + 1], PERM_PRIMES[k + 2], int(h[8:20], 16)))
+    return out
+
+
 def permutation_importance(model, test: DataFrame, features: list[str], key: list[str], problem_type: str,
                            label: str = "label", n_repeats: int = N_REPEATS, seed=SEED) -> DataFrame:
-    """Mean and population std of (baseline - permuted score) per feature."""
+    """Mean and population std of (baseline - permuted score) per feature.
+
+    Rows get an index i in [0, n) by hash rank.  Replica s = (feature, repeat)
+    gives row i the feature value of row (p_s * i + b_s) mod n, where p_s is a
+    prime not dividing n: a bijection, so each value is used exactly once.
+    """
     spark = test.sparkSession
     base = test.select(*key, *features, label)
     n = base.count()
     base_score = _grouped_score(model.transform(base).withColumn("_g", F.lit(0)), problem_type, ["_g"],
                                 label).first()["score"]
-    reps = spark.createDataFrame([(fi, r) for fi in range(len(features)) for r in range(n_repeats)],
-                                 "_f int, _r int")
-    # identity index of each row, shared by all replicas
-    idx = rank_within(base, key, None, seed, "perm-base", n, "_i")
-    # replicas: every row once per (feature, repeat); a bounded literal table drives the explode
-    combos = F.array(*[F.struct(F.lit(fi).alias("_f"), F.lit(r).alias("_r"))
-                       for fi in range(len(features)) for r in range(n_repeats)])
-    rep = idx.withColumn("_fr", F.explode(combos)).select("*", "_fr._f", "_fr._r").drop("_fr")
-    rep = rep.withColumn("_s", F.col("_f") * 1000 + F.col("_r"))
-    # permuted rank of each row within its replica
-    pr = rank_within(rep.select(*key, "_s", *features), key + ["_s"], "_s", seed, "perm", n * len(features) * n_repeats,
-                     "_j")
-    # the donor value: for replica s, row i receives feature f from the row ranked i
-    donor = pr.select("_s", F.col("_j").alias("_i"),
-                      F.element_at(F.array(*[F.col(f).cast("double") for f in features]),
-                                   (F.col("_s") / 1000).cast("int") + 1).alias("_v"))
-    j = rep.join(donor, ["_s", "_i"])
-    permuted = j.withColumns({f: F.when(F.col("_f") == fi, F.col("_v")).otherwise(F.col(f).cast("double"))
-                              for fi, f in enumerate(features)}).drop("_v", "_i")
+    idx = rank_within(base, key, None, seed, "perm-base", n, "_r").withColumn("_i", F.col("_r") - 1).drop("_r")
+    n_rep = len(features) * n_repeats
+    structs = []
+    for sidx, (p1, p2, p3, braw) in enumerate(replica_params(n_rep, seed)):
+        p = next(q for q in (p1, p2, p3) if n % q != 0)
+        structs.append(F.struct(F.lit(sidx // n_repeats).alias("_f"), F.lit(sidx % n_repeats).alias("_r"),
+                                F.lit(p).cast("decimal(38,0)").alias("_p"),
+                                F.lit(braw % n).cast("decimal(38,0)").alias("_b")))
+    rep = idx.withColumn("_fr", F.explode(F.array(*structs))).select("*", "_fr.*").drop("_fr")
+    donor_idx = F.pmod(F.col("_p") * F.col("_i").cast("decimal(38,0)") + F.col("_b"),
+                       F.lit(n).cast("decimal(38,0)")).cast("bigint")
+    rep = rep.withColumn("_j", donor_idx).drop("_p", "_b")
+    donor = idx.select(F.col("_i").alias("_j"), F.array(*[F.col(f).cast("double") for f in features]).alias("_vals"))
+    j = rep.join(donor, "_j")
+    permuted = j.withColumns({f: F.when(F.col("_f") == fi, F.element_at("_vals", fi + 1))
+                              .otherwise(F.col(f).cast("double")) for fi, f in enumerate(features)}) \
+                .drop("_vals", "_i", "_j")
     scored = model.transform(permuted)
     s = _grouped_score(scored, problem_type, ["_f", "_r"], label)
     imp = s.withColumn("drop", F.lit(base_score) - F.col("score"))

@@ -55,9 +55,9 @@ def preprocess(df: DataFrame, target: str, key: list[str], kinds: dict, problem_
     fits them on every row, before the split, as the reference does).
     Resampling is left to training so it can run inside each fold.
     """
-    n_all = df.count()
+    cnt = df.agg(F.count(F.lit(1)).alias("n_all"), F.count(F.col(target)).alias("n")).first()
+    n_all, n = cnt["n_all"], cnt["n"]
     df = df.where(F.col(target).isNotNull())
-    n = df.count()
     useless = clean.useless_columns(df, target, kinds, exclude=key).collect()
     drop = [r["column_name"] for r in useless]
     raw = [c for c in df.columns if c not in drop and c != target and c not in key and

@@ -218,18 +218,20 @@ def l2_scoring_metric(spark, sf_dir):
 # ---- I3 with a SQL twin: permutation importance of the naive Bayes model ---------
 def _perm_sql(feats=BIN_FEATS, repeats=10):
     from ..functions.hashing import hash_hex_sql
+    from ..operators.importance import replica_params
     n = len(feats)
     base_h = hash_hex_sql(LINEITEM_KEY, 42, "perm-base")
-    perm_h = hash_hex_sql(LINEITEM_KEY + ["_s"], 42, "perm")
-    # replicas: every test row once per (feature, repeat); row i takes feature f from the row ranked i
-    pick = ", ".join(f"CASE WHEN r._f = {i} THEN d._v ELSE r.{f} END AS {f}" for i, f in enumerate(feats))
-    donor_v = "CASE " + " ".join(f"WHEN _f = {i} THEN {f}" for i, f in enumerate(feats)) + " END"
+    params = ", ".join(f"({sidx}, {sidx // repeats}, {sidx % repeats}, {p1}, {p2}, {p3}, {braw})"
+                       for sidx, (p1, p2, p3, braw) in enumerate(replica_params(n * repeats)))
+    pick = ", ".join(f"CASE WHEN r._f = {i} THEN d.{f} ELSE r.{f} END AS {f}" for i, f in enumerate(feats))
     q = " + ".join(f"pow(x.{f} - cl.m{i}, 2) / cl.s{i}" for i, f in enumerate(feats))
-    return _gnb_sql(feats) + f""", idx AS (SELECT *, row_number() OVER (ORDER BY {base_h}) AS _i FROM te),
-combos AS (SELECT f AS _f, r AS _r, f * 1000 + r AS _s FROM range(0, {n}) a(f), range(0, {repeats}) b(r)),
-rep AS (SELECT idx.*, combos._f, combos._r, combos._s FROM idx, combos),
-rk AS (SELECT _s, _f, row_number() OVER (PARTITION BY _s ORDER BY {perm_h}) AS _j, {donor_v} AS _v FROM rep),
-perm AS (SELECT r._i, r.label, r._f, r._r, {pick} FROM rep r JOIN rk d ON r._s = d._s AND r._i = d._j),
+    return _gnb_sql(feats) + f""", idx AS (SELECT *, row_number() OVER (ORDER BY {base_h}) - 1 AS _i FROM te),
+nn AS (SELECT count(*) AS n FROM te),
+combos AS (SELECT _s, _f, _r, CASE WHEN n % p1 <> 0 THEN p1 WHEN n % p2 <> 0 THEN p2 ELSE p3 END AS _p, braw % n AS _b
+           FROM (VALUES {params}) v(_s, _f, _r, p1, p2, p3, braw), nn),
+rep AS (SELECT idx.*, combos._f, combos._r, CAST((CAST(combos._p AS HUGEINT) * idx._i + combos._b) % nn.n AS BIGINT) AS _j
+        FROM idx, combos, nn),
+perm AS (SELECT r._i, r.label, r._f, r._r, {pick} FROM rep r JOIN idx d ON r._j = d._i),
 pj AS (SELECT x._i, x._f, x._r, x.label, cl.cls, cl.c - 0.5 * ({q}) AS j FROM perm x, cl),
 pp AS (SELECT _f, _r, _i, label, arg_max(cls, j) AS prediction FROM pj GROUP BY _f, _r, _i, label),
 base AS (SELECT avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS b FROM pred)
