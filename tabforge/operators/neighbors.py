@@ -76,6 +76,8 @@ def knn(query: DataFrame, ref: DataFrame, features: list[str], k: int, qkey: lis
     two-level window, so a point shared by a third of the rows never sits in
     one task).  Rows are expanded again only for the final ranking.
     """
+    from ..session import checkpoint_dir
+    checkpoint_dir(ref.sparkSession)          # the shared folder the widening steps are cut into
     vector = len(features) == 1 and ref.schema[features[0]].dataType.typeName() == "array"
     spec = _projection(ref, features, vector)
     g = F.col(group) if group else F.lit(0)
