@@ -1,7 +1,7 @@
 """Exact k-nearest-neighbour join (J4) and the KNN learner (L3h).
 
-No cross join: points are placed in cells along one coordinate (the one
-with the largest variance), |x_j - y_j| <= ||x - y|| bounds the search.
+No cross join: points are placed in cells along one unit direction u that
+mixes all coordinates; |u.(x - y)| <= ||x - y|| bounds the search.
 
 1. Candidate radius: each query is joined (equi-join on cell) with the
    reference points of its own and adjacent cells; windows widen by x4 for
@@ -45,22 +45,44 @@ def _feat(f: str, vector: bool) -> Column:
     return F.col(f).cast("array<double>") if vector else F.col(f)
 
 
-def _projection(ref: DataFrame, features, vector: bool):
-    """(feature, array position) of the coordinate with the largest variance."""
+def _projection(ref: DataFrame, features, vector: bool) -> list[float]:
+    """A unit direction mixing every coordinate, weighted by its spread.
+
+    Weights are sd_j * (1 + jitter_j) with a fixed hash-derived jitter, so
+    distinct discrete points (one-hot or binary features) rarely share a
+    projection value and cells stay small.  For a unit u,
+    |u.(x - y)| <= ||x - y||_2 <= ||x - y||_1, which keeps the band exact.
+    """
+    import hashlib
     if vector:
         f = features[0]
-        v = (ref.select(F.posexplode(F.col(f)).alias("pos", "x")).groupBy("pos")
-                .agg(F.var_pop("x").alias("v")).orderBy(F.desc("v"), "pos").first())
-        return f, (int(v["pos"]) if v else 0)
-    a = ref.agg(*[F.var_pop(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(features)]).first()
-    best = max(range(len(features)), key=lambda i: (a[f"v{i}"] or 0.0, -i))
-    return features[best], None
+        rows = (ref.select(F.posexplode(F.col(f)).alias("pos", "x")).groupBy("pos")
+                   .agg(F.stddev_pop("x").alias("s")).collect())       # one row per dimension
+        dim = max((r["pos"] for r in rows), default=-1) + 1
+        sd = [0.0] * dim
+        for r in rows:
+            sd[r["pos"]] = float(r["s"] or 0.0)
+    else:
+        a = ref.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(features)]).first()
+        sd = [float(a[f"s{i}"] or 0.0) for i in range(len(features))]
+    w = []
+    for j, v in enumerate(sd):
+        jit = int(hashlib.md5(f"{j}|proj".encode()).hexdigest()[:8], 16) / 4294967296.0
+        w.append((v + 1e-12) * (1.0 + 0.5 * jit))
+    norm = sum(x * x for x in w) ** 0.5 or 1.0
+    return [x / norm for x in w]
 
 
-def _proj_col(prefix: str, spec) -> Column:
-    f, pos = spec
-    c = F.col(prefix + f)
-    return (c[pos] if pos is not None else c).cast("double")
+def _proj_col(prefix: str, features, vector: bool, u: list[float]) -> Column:
+    if vector:
+        x = F.col(prefix + features[0])
+        ua = F.array(*[F.lit(v) for v in u])
+        return F.aggregate(F.zip_with(x, ua, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    out = None
+    for f, v in zip(features, u):
+        t = F.lit(v) * F.col(prefix + f).cast("double")
+        out = t if out is None else out + t
+    return out
 
 
 def knn(query: DataFrame, ref: DataFrame, features: list[str], k: int, qkey: list[str], rkey: list[str],
@@ -79,7 +101,7 @@ def knn(query: DataFrame, ref: DataFrame, features: list[str], k: int, qkey: lis
     from ..session import checkpoint_dir
     checkpoint_dir(ref.sparkSession)          # the shared folder the widening steps are cut into
     vector = len(features) == 1 and ref.schema[features[0]].dataType.typeName() == "array"
-    spec = _projection(ref, features, vector)
+    u = _projection(ref, features, vector)
     g = F.col(group) if group else F.lit(0)
     fr = ["r_" + f for f in features]
     fq = ["q_" + f for f in features]
@@ -97,7 +119,7 @@ def knn(query: DataFrame, ref: DataFrame, features: list[str], k: int, qkey: lis
     RP = (s1.groupBy("_rg", *fr)
             .agg(F.sum(F.when(F.col("_rn") == 1, F.col("_cnt"))).alias("_m"),
                  F.slice(F.array_sort(F.collect_list("_rk")), 1, top).alias("_keys"))
-            .withColumn("_rp", _proj_col("r_", spec)))
+            .withColumn("_rp", _proj_col("r_", features, vector, u)))
     gs = RP.groupBy("_rg").agg(F.count(F.lit(1)).alias("_n"), F.min("_rp").alias("_lo"), F.max("_rp").alias("_hi"))
     gs = gs.withColumn("_w", F.greatest((F.col("_hi") - F.col("_lo")) * F.lit(CELL_FACTOR * k) / F.col("_n"),
                                         F.lit(1e-12)))
@@ -111,7 +133,7 @@ def knn(query: DataFrame, ref: DataFrame, features: list[str], k: int, qkey: lis
     # distinct query points
     Q0 = query.select(g.alias("_g"), F.struct(*[F.col(c) for c in qkey]).alias("_qk"),
                       *[_feat(f, vector).alias("q_" + f) for f in features])
-    QP = (Q0.select("_g", *fq).distinct().withColumn("_p", _proj_col("q_", spec)).join(gs, "_g")
+    QP = (Q0.select("_g", *fq).distinct().withColumn("_p", _proj_col("q_", features, vector, u)).join(gs, "_g")
             .withColumn("_cell", F.floor((F.col("_p") - F.col("_lo")) / F.col("_w")).cast("bigint")))
     QP = QP.withColumn("_cell", F.least(F.greatest(F.col("_cell"), F.lit(0)), F.col("_cmax")))
     qp_cols = ["_g", *fq]

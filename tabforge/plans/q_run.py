@@ -18,7 +18,7 @@ from ..streaming import score_stream
 from . import drivers
 from .catalog import finish, query
 
-PARALLELISM = 6
+PARALLELISM = 8
 _CACHE: dict = {}
 _LOCK = threading.RLock()
 

@@ -164,3 +164,15 @@ def test_knn_hot_duplicate_point(spark):
     for r in got.orderBy("q_k", "nn_rank").collect():
         have.setdefault(r["q_k"], []).append(r["r_k"])
     assert have == want
+
+
+def test_knn_discrete_features(spark):
+    # binary / small-integer features: many distinct points share each coordinate value
+    pts = [(i, 0, float(i % 2), float((i // 2) % 2), float(i % 5)) for i in range(80)]
+    df = spark.createDataFrame(pts, "k long, g int, a double, b double, c double")
+    got = neighbors.knn(df, df, ["a", "b", "c"], 4, ["k"], ["k"], exclude_self=True)
+    want = _brute_knn([(p[0], 0, [p[2], p[3], p[4]]) for p in pts], 4)
+    have = {}
+    for r in got.orderBy("q_k", "nn_rank").collect():
+        have.setdefault(r["q_k"], []).append(r["r_k"])
+    assert have == want
