@@ -55,17 +55,16 @@ def split(df: DataFrame, key: list[str], strata: str | None, test_size: float =
     cum = (cnt.withColumn("_cum", F.sum("_c").over(wc.rowsBetween(Window.unboundedPreceding, 0)))
               .withColumn("_ng", F.sum("_c").over(Window.partitionBy("_g"))))
     cum = cum.withColumn("_k", F.ceil(F.col("_ng") * F.lit(test_size)).cast("bigint"))
-    if strata:
-        small = cum.where(F.col("_ng") < 2).limit(1).collect()
-        if small:
-            raise ValueError("The least populated class has only 1 member; a stratified split needs 2.")
     # boundary bucket: first bucket whose running count reaches k
     bnd = (cum.where(F.col("_cum") >= F.col("_k"))
-              .groupBy("_g").agg(F.min(F.struct("_b", "_cum", "_c", "_k")).alias("s"))
+              .groupBy("_g").agg(F.min(F.struct("_b", "_cum", "_c", "_k", "_ng")).alias("s"))
               .select("_g", F.col("s._b").alias("_bb"),
-                      (F.col("s._k") - (F.col("s._cum") - F.col("s._c"))).alias("_r")))
+                      (F.col("s._k") - (F.col("s._cum") - F.col("s._c"))).alias("_r"), F.col("s._ng").alias("_ng")))
     spark = df.sparkSession
-    bnd = spark.createDataFrame(bnd.collect(), bnd.schema)  # one row per class
+    bnd_rows = bnd.collect()                                   # one row per class
+    if strata and any(r["_ng"] < 2 for r in bnd_rows):
+        raise ValueError("The least populated class has only 1 member; a stratified split needs 2.")
+    bnd = spark.createDataFrame(bnd_rows, bnd.schema).drop("_ng")
     # rank only the boundary bucket of each class (about n / 16^digits rows)
     inb = d.join(F.broadcast(bnd), ["_g"], "inner").where(F.col("_b") == F.col("_bb"))
     w = Window.partitionBy("_g").orderBy("_h")
