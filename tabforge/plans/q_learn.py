@@ -253,3 +253,48 @@ def i3_permutation_gnb(spark, sf_dir):
     tr, te = d.where(~F.col("is_test")), d.where("is_test")
     m = learners.fit("Naive Bayes", tr, feats, "classification", n_classes=2)
     return finish(importance.permutation_importance(m, te, feats, LINEITEM_KEY, "classification"))
+
+
+# ---- X11 with a SQL twin: SMOTE on a fixed encoding of fx_imbalanced ----------------
+_SM_FEATS = ["n_chars", "lang_en", "lang_es", "lang_fr"]
+
+
+def _smote_input(spark, sf_dir):
+    d = fixture(Tables(spark, sf_dir), "fx_imbalanced")
+    return d.select(F.col("doc_id").cast("string").alias("_key"), F.col("toxic").cast("double").alias("label"),
+                    F.col("n_chars").cast("double").alias("n_chars"),
+                    *[(F.col("lang") == v).cast("double").alias(f"lang_{v}") for v in ("en", "es", "fr")])
+
+
+def _smote_sql():
+    from ..functions.hashing import hash_hex_sql, hash_int_sql, hash_unit_sql
+    f = _SM_FEATS
+    dist = "sqrt(" + " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in f) + ")"
+    base_h = hash_hex_sql(["_key"], 42, "smote-base")
+    nn_h = hash_hex_sql(["_key", "_j"], 42, "smote")
+    gap_h = hash_hex_sql(["_key", "_j"], 42, "gap")
+    interp = ", ".join(f"round(CASE WHEN n.r IS NULL THEN g.{c} ELSE g.{c} + g._u * (n.{c} - g.{c}) END, 6) AS {c}"
+                       for c in f)
+    return fixture_cte("fx_imbalanced") + f""", x AS (SELECT CAST(doc_id AS VARCHAR) AS _key, CAST(toxic AS DOUBLE) AS label,
+    CAST(n_chars AS DOUBLE) AS n_chars, CAST(lang = 'en' AS DOUBLE) AS lang_en, CAST(lang = 'es' AS DOUBLE) AS lang_es,
+    CAST(lang = 'fr' AS DOUBLE) AS lang_fr FROM fx_imbalanced),
+cnt AS (SELECT label, count(*) AS nc FROM x GROUP BY label),
+need AS (SELECT label, nc, (SELECT max(nc) FROM cnt) - nc AS nd, least(5, nc - 1) AS k FROM cnt WHERE nc < (SELECT max(nc) FROM cnt)),
+mr AS (SELECT x.*, need.nc, need.nd, need.k, row_number() OVER (PARTITION BY x.label ORDER BY {base_h}) AS _r
+       FROM x JOIN need USING (label)),
+alloc AS (SELECT *, CAST(floor(nd / nc) + CASE WHEN _r <= nd % nc THEN 1 ELSE 0 END AS BIGINT) AS _q FROM mr),
+gen AS (SELECT a.*, j.j AS _j FROM alloc a, LATERAL (SELECT unnest(range(a._q)) AS j) j WHERE a._q > 0),
+g AS (SELECT *, CASE WHEN k > 0 THEN ({hash_int_sql(nn_h)} % k) + 1 END AS _nn, {hash_unit_sql(gap_h)} AS _u FROM gen),
+nb AS (SELECT a._key AS q, b._key AS r, b.n_chars, b.lang_en, b.lang_es, b.lang_fr,
+              row_number() OVER (PARTITION BY a._key ORDER BY {dist}, b._key) AS rk
+       FROM mr a JOIN mr b ON a.label = b.label AND a._key <> b._key),
+syn AS (SELECT g._key || '|smote|' || CAST(g._j AS VARCHAR) AS _key, g.label, {interp}
+        FROM g LEFT JOIN nb n ON n.q = g._key AND n.rk = g._nn)
+SELECT _key, label, {', '.join(f'round({c}, 6) AS {c}' for c in f)}, false AS _synthetic FROM x
+UNION ALL SELECT *, true FROM syn"""
+
+
+@query("x11_smote_fixed", sql=_smote_sql())
+def x11_smote_fixed(spark, sf_dir):
+    from ..operators import resample
+    return finish(resample.smote(_smote_input(spark, sf_dir), _SM_FEATS))
