@@ -298,3 +298,51 @@ UNION ALL SELECT *, true FROM syn"""
 def x11_smote_fixed(spark, sf_dir):
     from ..operators import resample
     return finish(resample.smote(_smote_input(spark, sf_dir), _SM_FEATS))
+
+
+# ---- L4 with a SQL twin: 5-fold CV of naive Bayes (weighted F1) ---------------------
+def _cv_nb_sql(feats=BIN_FEATS):
+    n = len(feats)
+    k = LINEITEM_KEY
+    st = ", ".join(f"avg(fo.{c}) AS m{i}, var_pop(fo.{c}) AS v{i}" for i, c in enumerate(feats))
+    tv = ", ".join(f"var_pop(fo.{c}) AS t{i}" for i, c in enumerate(feats))
+    lg = " + ".join(f"ln(2 * pi() * (v{i} + e))" for i in range(n))
+    cl = ", ".join(f"m{i}, v{i} + e AS s{i}" for i in range(n))
+    q = " + ".join(f"pow(fo.{c} - cl.m{i}, 2) / cl.s{i}" for i, c in enumerate(feats))
+    return encoded_sql("fx_binary") + f""", sp AS {split.split_sql('enc', k, 'label')},
+tr AS (SELECT * FROM sp WHERE NOT is_test),
+fo AS {split.folds_sql('tr', k, 'label')},
+fs AS (SELECT DISTINCT fold AS f FROM fo),
+st AS (SELECT fs.f, fo.label AS cls, count(*) AS n, {st} FROM fs JOIN fo ON fo.fold <> fs.f GROUP BY fs.f, fo.label),
+ntr AS (SELECT f, sum(n) AS nt FROM st GROUP BY f),
+eps AS (SELECT f, 1e-9 * greatest({', '.join(f't{i}' for i in range(n))}) AS e
+        FROM (SELECT fs.f, {tv} FROM fs JOIN fo ON fo.fold <> fs.f GROUP BY fs.f)),
+cl AS (SELECT st.f, cls, ln(n / nt) - 0.5 * ({lg}) AS c, {cl} FROM st JOIN ntr USING (f) JOIN eps USING (f)),
+jl AS (SELECT {', '.join('fo.' + c for c in k)}, fo.fold, fo.label, cl.cls, cl.c - 0.5 * ({q}) AS j
+       FROM fo JOIN cl ON cl.f = fo.fold),
+pr AS (SELECT fold, label, arg_max(cls, j) AS prediction FROM jl GROUP BY {', '.join(k)}, fold, label),
+pc AS (SELECT fold, label AS actual, prediction AS predicted, count(*) AS cnt FROM pr GROUP BY ALL),
+cs AS (SELECT fold, actual AS c FROM pc UNION SELECT fold, predicted FROM pc),
+pcl AS (SELECT cs.fold, cs.c, coalesce(sum(cnt) FILTER (WHERE actual = cs.c), 0) AS support,
+               coalesce(sum(cnt) FILTER (WHERE actual = cs.c AND predicted = cs.c), 0) AS tp,
+               coalesce(sum(cnt) FILTER (WHERE predicted = cs.c), 0) AS n_pred
+        FROM cs JOIN pc ON pc.fold = cs.fold GROUP BY cs.fold, cs.c),
+pm AS (SELECT *, coalesce(tp / nullif(n_pred, 0), 0.0) AS pr_, coalesce(tp / nullif(support, 0), 0.0) AS rc FROM pcl),
+pf AS (SELECT *, coalesce(2 * pr_ * rc / nullif(pr_ + rc, 0), 0.0) AS f1 FROM pm),
+sc AS (SELECT fold, sum(f1 * support) / sum(support) AS score FROM pf GROUP BY fold)
+SELECT CAST(fold AS INTEGER) AS fold, round(score, 6) AS score, round(avg(score) OVER (), 4) AS mean_score,
+       round(stddev_pop(score) OVER (), 4) AS std_score FROM sc"""
+
+
+@query("l4_cv_naive_bayes", sql=_cv_nb_sql())
+def l4_cv_naive_bayes(spark, sf_dir):
+    d, feats = _binary_split(spark, sf_dir)
+    trf = split.assign_folds(d.where(~F.col("is_test")).drop("is_test"), LINEITEM_KEY, "label")
+    res = cv.fold_scores(trf, feats, "classification", "f1_weighted", [("Naive Bayes", {})], n_classes=2)
+    scores = [s for _, _, s in res]
+    mean = sum(scores) / len(scores)
+    std = cv.population_std(scores)
+    rows = [(int(f), float(s), float(mean), float(std)) for _, f, s in res]
+    df = spark.createDataFrame(rows, "fold int, score double, mean_score double, std_score double")
+    return df.select("fold", F.round("score", 6).alias("score"), F.round("mean_score", 4).alias("mean_score"),
+                     F.round("std_score", 4).alias("std_score"))
