@@ -20,6 +20,8 @@ MAX_ONEHOT = 15
 # Categories collected exactly only below this approximate distinct count
 # (well above MAX_ONEHOT, so the HLL error (rsd 5 %) cannot change a decision).
 CATEGORY_SCREEN = 64
+# Largest class count a classification target may have.
+MAX_CLASSES = 10_000
 
 
 def useless_columns(df: DataFrame, target: str, kinds: dict[str, str],
@@ -139,7 +141,10 @@ def fit_encoding(df: DataFrame, kinds: dict[str, str], target: str, problem_type
             else:
                 enc.onehot[c] = v
     if problem_type == "classification":
-        r = (df.where(F.col(target).isNotNull()).select(target).distinct().limit(10_001).collect())
+        # a class list is a per-class table; refuse (rather than truncate) an unbounded one
+        r = (df.where(F.col(target).isNotNull()).select(target).distinct().limit(MAX_CLASSES + 1).collect())
+        if len(r) > MAX_CLASSES:
+            raise ValueError(f"Target '{target}' has more than {MAX_CLASSES} classes.")
         enc.target_classes = sorted((x[0] for x in r), key=_sort_key)
     return enc
 
