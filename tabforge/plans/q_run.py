@@ -144,11 +144,22 @@ def l7_param_grids(spark, sf_dir):
     return grids.join(F.broadcast(pts), "problem_type", "left_semi")
 
 
+def _imb_folds(spark, sf_dir):
+    def b():
+        p = _imb_prep(spark, sf_dir)
+        tr = p.data.where(~F.col("is_test")).drop("is_test")
+        folds = split.assign_folds(tr, [drivers.KEY], "label").persist()
+        return folds, cv.scoring_metric(tr, "label", p.problem_type)
+    return _cached("imb_folds", spark, sf_dir, b)
+
+
 @query("l11_tune_naive_bayes")
 def l11_tune_naive_bayes(spark, sf_dir):
-    p, t = _imb_prep(spark, sf_dir), _imb_train(spark, sf_dir)
-    _, _, table = tuning.tune_model("Naive Bayes", t["folds"], p.features, p.problem_type, t["metric"],
-                                    key=[drivers.KEY], parallelism=PARALLELISM, n_classes=p.n_classes)
+    p = _imb_prep(spark, sf_dir)
+    folds, metric = _imb_folds(spark, sf_dir)
+    _, _, table = tuning.tune_model("Naive Bayes", folds, p.features, p.problem_type, metric,
+                                    key=[drivers.KEY], parallelism=PARALLELISM, n_classes=p.n_classes,
+                                    resample=drivers._resampler(p))
     return table
 
 
