@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op5_nearest
 from .byte_bpe import op3_byte_bpe
+from .jaccard import op8_jaccard_join
 from .licenses import op9_licenses
 from .line_dedup import op1_line_dedup
 from .packing import op4_packing
@@ -17,5 +18,5 @@ from .toxicity import op6_toxicity
 from .wavelet import op10_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_byte_bpe, op4_packing, op5_nearest, op6_toxicity, op7_quality_rules, op9_licenses, op10_token_output)}
+    f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_byte_bpe, op4_packing, op5_nearest, op6_toxicity, op7_quality_rules, op8_jaccard_join, op9_licenses, op10_token_output)}
 ORACLE: dict[str, str] = {"op7_quality_rules": OP7_SQL}
