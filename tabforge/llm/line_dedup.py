@@ -31,10 +31,10 @@ from tabforge.session import scratch_path
 from .common import documents, hash_strings, keyed_text, mix, slices, split_words
 
 GRAM_WORDS = 8
-WINDOW_WORDS = 32
+WINDOW_WORDS = 38
 MIN_RUN = 40
 #: A logical line is cut after this many words at the latest.
-LINE_WORDS = 16
+LINE_WORDS = 12
 #: Words of a first text that are asked for at once (plus half as many on either side).
 BLOCK = 128
 #: Requests for blocks of one text that are answered together.
@@ -93,7 +93,7 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h")).alias("doc"),
+    return df.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.hash(F.col(f"`{text_col}`")).alias("h")).alias("doc"),
                      F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("rest"))
 
 
@@ -175,10 +175,10 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
                                                   pa.array(np.maximum(lo, 0) + shift, pa.int32()), pa.array(data, pa.binary())],
                                                  ["doc", "shift", "first", "block"])
 
-    once = docs.dropDuplicates(["doc"])
-    answers = (once.join(asked, once["doc"] == asked["doc0"]).select("text", "requests")
+    # the same columns as in the last join, so that both read one exchange of the texts
+    answers = (docs.join(asked.withColumnRenamed("doc0", "doc"), "doc").select("text", "rest", "requests")
                .mapInArrow(answer, f"doc {kind}, shift int, first int, block binary"))
-    gathered = (answers.unionByName(own).groupBy("doc").agg(F.collect_list(F.struct("shift", "first", "block")).alias("found")))
+    gathered = (answers.unionByName(own).groupBy("doc").agg(F.collect_set(F.struct("shift", "first", "block")).alias("found")))
     joined = docs.join(gathered, "doc", "left").select("text", "rest", "found")
     rest = docs.schema["rest"].dataType.simpleString()
 
