@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once inside a task.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
