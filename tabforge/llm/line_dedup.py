@@ -7,7 +7,7 @@ line start, the one of least hash is a fingerprint.  Two texts that share ``WIND
 therefore share a fingerprint, so any shared run of 50 words does.
 
 Each fingerprint is joined with its first place (by id, then text, then position) only, never with all its
-places.  A match is extended both ways word by word along its diagonal, and later runs of ``MIN_RUN`` words or
+places; repeats inside one text refer to the first place in that text.  A match is extended both ways word by word along its diagonal, and later runs of ``MIN_RUN`` words or
 more are deleted.  Extension compares with blocks of the first text's word hashes: a seed at place p of the first
 text asks for the block of p and half a block on each side, and the seeds further on ask for theirs.
 
@@ -142,24 +142,28 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             row, fp, at = fingerprints(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(row)), pa.array(fp, pa.int64()), pa.array(at, pa.int32())],
-                                             ["doc", "fp", "at"])
+            order = np.lexsort((at, fp, row))
+            row, fp, at = row[order], fp[order], at[order]
+            start = np.ones(len(row), bool)
+            start[1:] = (row[1:] != row[:-1]) | (fp[1:] != fp[:-1])
+            shift = at - at[np.maximum.accumulate(np.where(start, np.arange(len(row)), 0))] if len(row) else at
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(row)), pa.array(fp, pa.int64()), pa.array(at, pa.int32()),
+                                              pa.array(shift, pa.int32())], ["doc", "fp", "at", "shift"])
 
     path = scratch_path(spark, "fingerprints")
-    docs.select("doc", "text").mapInArrow(find, f"doc {kind}, fp long, at int").write.parquet(path)
-    prints = spark.read.parquet(path)
+    docs.select("doc", "text").mapInArrow(find, f"doc {kind}, fp long, at int, shift int").write.parquet(path)
+    found = spark.read.parquet(path)
+    # repeats inside a text are known where they are found (shift > 0): a line repeated a thousand times there is one row here
+    prints = found.where("shift = 0").select("doc", "fp", "at")
+    block_of = F.floor(F.col("at") / BLOCK).cast("int")
     first = (prints.groupBy("fp").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n"))
              .where(F.col("n") > 1).select("fp", F.col("first.doc").alias("doc0"), F.col("first.at").alias("at0")))
     # one row per later text, first text, diagonal and block, whatever the number of seeds on it
-    chains = (prints.join(first, "fp").where((F.col("doc") != F.col("doc0")) | (F.col("at") != F.col("at0")))
-              .groupBy("doc", "doc0", (F.col("at") - F.col("at0")).alias("shift"), F.floor(F.col("at0") / BLOCK).cast("int").alias("b")).agg(F.lit(1))
-              .select("doc", "doc0", "shift", "b"))
-    chain_path = scratch_path(spark, "chains")
-    chains.write.parquet(chain_path)
-    chains = spark.read.parquet(chain_path)
-    own = chains.where(F.col("doc") == F.col("doc0")).select(
-        "doc", F.col("shift"), (F.col("b") * BLOCK - BLOCK // 2 + F.col("shift")).alias("first"), F.lit(None).cast("binary").alias("block"))
-    asked = chains.where(F.col("doc") != F.col("doc0")).withColumn(
+    chains = (prints.join(first, "fp").where(F.col("doc") != F.col("doc0"))
+              .select("doc", "doc0", (F.col("at") - F.col("at0")).alias("shift"), F.floor(F.col("at0") / BLOCK).cast("int").alias("b")).distinct())
+    own = (found.where("shift > 0").withColumn("at", F.col("at") - F.col("shift")).select("doc", "shift", block_of.alias("b")).distinct()
+           .select("doc", "shift", (F.col("b") * BLOCK - BLOCK // 2 + F.col("shift")).alias("first"), F.lit(None).cast("binary").alias("block")))
+    asked = chains.withColumn(
         "salt", F.pmod(F.xxhash64("doc"), F.ceil(F.count("*").over(Window.partitionBy("doc0")) / REQUESTS)))
     asked = asked.groupBy("doc0", "salt").agg(F.collect_list(F.struct("doc", "shift", "b")).alias("requests"))
 
