@@ -99,7 +99,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             bucket, row = bucket[order], row[order]
             rest = (token[order] << np.uint64(bits) >> np.uint64(32)).astype("<u4")
             used, first = np.unique(bucket, return_index=True)
-            ends = np.append(first[1:], len(bucket))
+            ends = np.append(first[1:], len(bucket))[:len(used)]  # none if the batch has no word
             empty = pa.nulls(len(used))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(used, pa.int32()), pa.array([block] * len(used), pa.int64()),
