@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .eda import EXACT_QUANTILE_MAX_DISTINCT, APPROX_ACCURACY
 
@@ -56,24 +57,27 @@ def useless_columns(df: DataFrame, target: str, kinds: dict[str, str],
     return spark.createDataFrame(rows, "ordinal int, column_name string, reason string")
 
 
-def fit_impute(df: DataFrame, kinds: dict[str, str], cols: list[str]) -> dict[str, object]:
+def fit_impute(df: DataFrame, kinds: dict[str, str], cols: list[str], every: bool = False) -> dict[str, object]:
     """X1/X2 (A12, A13): median for numeric, smallest mode for categorical.
 
-    Only columns that have nulls get a value.  The median is exact while the
+    Only columns that have nulls get a value, with ``every`` all of them (so rows scored later may have nulls
+    where training had none).  The median is exact while the
     column's distinct count is bounded, approximate beyond.
     """
     if not cols:
         return {}
     a = df.agg(*[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)],
                *[F.approx_count_distinct(F.col(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    # a categorical column above the encoding screen is dropped by the encoder,
-    # so its mode (a value->count map as large as its cardinality) is never built
-    need = [(i, c) for i, c in enumerate(cols) if a[f"m{i}"] > 0 and
-            (kinds.get(c) == "numerical" or a[f"d{i}"] <= CATEGORY_SCREEN)]
+    need = [(i, c) for i, c in enumerate(cols) if every or a[f"m{i}"] > 0]
     if not need:
         return {}
-    aggs = []
+    aggs, wide = [], {}
     for i, c in need:
+        if kinds.get(c) != "numerical" and a[f"d{i}"] > CATEGORY_SCREEN:
+            # many values: counted as rows, not in one value -> count map
+            top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
+            wide[c] = top[c] if top else None
+            continue
         if kinds.get(c) == "numerical":
             x = F.col(c).cast("double")
             agg = (F.median(x) if a[f"d{i}"] <= EXACT_QUANTILE_MAX_DISTINCT
@@ -81,16 +85,22 @@ def fit_impute(df: DataFrame, kinds: dict[str, str], cols: list[str]) -> dict[st
         else:
             agg = F.mode(F.col(c), deterministic=True)
         aggs.append(agg.alias(f"v{i}"))
-    r = df.agg(*aggs).first()
-    return {c: r[f"v{i}"] for i, c in need}
+    r = df.agg(*aggs).first() if aggs else {}
+    return {c: wide[c] if c in wide else r[f"v{i}"] for i, c in need}
 
 
 def apply_impute(df: DataFrame, values: dict[str, object]) -> DataFrame:
-    """Fitted values re-enter as literals in one projection."""
-    if not values:
-        return df
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType))
-                           for c, v in values.items() if c in df.columns})
+    """Fitted values re-enter as literals in one projection.
+
+    A median between two integers (2.5) makes its integer column a double one."""
+    def filled(c, v):
+        t = df.schema[c].dataType
+        if isinstance(v, float) and isinstance(t, T.IntegralType) and not v.is_integer():
+            t = T.DoubleType()
+        return F.coalesce(F.col(c).cast(t), F.lit(v).cast(t))
+
+    values = {c: v for c, v in values.items() if c in df.columns}
+    return df.withColumns({c: filled(c, v) for c, v in values.items()}) if values else df
 
 
 @dataclass

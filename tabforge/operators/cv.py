@@ -115,7 +115,7 @@ def cross_validate(data: DataFrame, features: list[str], problem_type: str, metr
 def _summarise(spark, rows) -> CVRun:
     sc = spark.createDataFrame(rows, "model string, zoo_index int, candidate int, fold int, score double")
     summ = (sc.groupBy("model", "zoo_index", "candidate")
-              .agg(F.round(F.avg("score"), 4).alias("mean_score"), F.round(F.stddev_pop("score"), 4).alias("std_score")))
+              .agg(F.bround(F.avg("score"), 4).alias("mean_score"), F.bround(F.stddev_pop("score"), 4).alias("std_score")))
     return CVRun(sc, summ)
 
 
@@ -135,13 +135,9 @@ def holdout_metrics(pred: DataFrame, problem_type: str, label: str = "label") ->
     """M1: accuracy + weighted precision/recall/F1, or mae/rmse/r2 (4 dp)."""
     if problem_type == "classification":
         m = metrics.classification_metrics(pred, label)
-        return m.select(*[F.round(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+        return m.select(*[F.bround(c, 4).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
     m = metrics.regression_metrics(pred, label)
-    return m.select(*[F.round(c, 4).alias(c) for c in ("mae", "rmse", "r2")])
-
-
-def n_fits(problem_type: str) -> int:
-    return 5 * len(learners.model_names(problem_type))
+    return m.select(*[F.bround(c, 4).alias(c) for c in ("mae", "rmse", "r2")])
 
 
 def population_std(xs: list[float]) -> float:

@@ -16,7 +16,6 @@ from ..functions.hashing import SEED
 from .split import rank_within
 
 N_REPEATS = 10
-DISPLAY_TOP = 10
 
 
 def tree_importance(model, features: list[str]) -> DataFrame | None:

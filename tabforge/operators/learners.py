@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 SEED = 42
 MAX_DEPTH = 30          # MLlib's ceiling; stands in for "unlimited"
-SMALL_TRAIN_ROWS = 50_000
 CLASSIFIERS = ["Logistic Regression", "Decision Tree", "Random Forest", "Gradient Boosting", "SVM", "KNN",
                "Naive Bayes"]
 REGRESSORS = ["Linear Regression", "Decision Tree", "Random Forest", "Gradient Boosting", "SVM", "KNN"]
@@ -189,10 +188,6 @@ def fit(name: str, train: DataFrame, features: list[str], problem_type: str, lab
         n_rows = n_rows if n_rows is not None else a["n"]
         n_classes = n_classes if n_classes is not None else int((a["m"] or 0) + 1)
     n_classes = n_classes or 0
-    if n_rows <= SMALL_TRAIN_ROWS:
-        # iterative learners launch one job per pass; on a small input one task
-        # per job is cheaper than spreading a few hundred rows over many
-        train = train.coalesce(1)
     if name == "Naive Bayes":
         return gnb_fit(train, features, label, float((params or {}).get("var_smoothing", 1e-9)), n_classes)
     if name == "KNN":

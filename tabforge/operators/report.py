@@ -43,17 +43,15 @@ def headline(quality_summary: DataFrame, metrics_row: DataFrame, best_model: str
 def quality_findings(warnings: DataFrame, score: float) -> DataFrame:
     """R2: advice tier plus each warning tagged and stripped of its severity prefix."""
     tier = next(t for t in ADVICE if t[0] is None or score >= t[0])
-    msg = F.col("message")
-    tag = (F.when(msg.contains("CRITICAL"), "critical").when(msg.contains("WARNING"), "warning").otherwise("info"))
-    clean = F.regexp_replace(F.regexp_replace(F.regexp_replace(msg, "CRITICAL: ", ""), "WARNING: ", ""), "INFO: ", "")
-    return warnings.select("seq", tag.alias("tag"), clean.alias("text"), F.lit(tier[1]).alias("tier"),
+    clean = F.regexp_replace("message", "^(CRITICAL|WARNING|INFO): ", "")
+    return warnings.select("seq", F.lower("severity").alias("tag"), clean.alias("text"), F.lit(tier[1]).alias("tier"),
                            F.lit(tier[2]).alias("advice"))
 
 
 def class_shares(counts: DataFrame, target: str, total_rows: int) -> DataFrame:
     """Count and round(count / rows * 100, 1) per class."""
     return counts.select(F.col(target).cast("string").alias("class"), "count",
-                         F.round(F.col("count") / F.lit(float(total_rows)) * 100, 1).alias("pct"))
+                         F.bround(F.col("count") / F.lit(float(total_rows)) * 100, 1).alias("pct"))
 
 
 def eda_cards(stats: DataFrame) -> DataFrame:
@@ -66,7 +64,7 @@ def leaderboard_view(board: DataFrame) -> DataFrame:
     medal = F.element_at(F.array(*[F.lit(m) for m in MEDALS]), F.col("rank").cast("int"))
     return (board.where(F.col("rank") <= 7)
                  .select("rank", "model", F.when(F.col("rank") <= 3, medal).otherwise(F.concat(F.col("rank").cast("string"), F.lit("."))).alias("medal"),
-                         F.round(F.col("mean_score") * 100, 1).alias("pct"), (F.col("rank") == 1).alias("is_best")))
+                         F.bround(F.col("mean_score") * 100, 1).alias("pct"), (F.col("rank") == 1).alias("is_best")))
 
 
 def metric_cards(metrics_row: DataFrame, problem_type: str) -> DataFrame:

@@ -12,9 +12,6 @@ NUMERICAL, CATEGORICAL, DATETIME, VECTOR = "numerical", "categorical", "datetime
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
 _DATETIME = (T.DateType, T.TimestampType, T.TimestampNTZType)
-# Rows read first when typing string columns; a column that already fails
-# here is settled without a full scan.
-_PROBE_ROWS = 10_000
 # Problem-type rule: at most this many target values means classification.
 MAX_CLASSES = 10
 
@@ -65,17 +62,8 @@ def detect_column_types(df: DataFrame) -> dict[str, str]:
         else:
             kinds[f.name] = CATEGORICAL
     if strings:
-        # cheap probe on a prefix settles columns that fail early
-        probe = _string_failures(df.limit(_PROBE_ROWS), strings)
-        open_cols = []
+        full = _string_failures(df, strings)
         for c in strings:
-            n, bn, bt = probe[c]
-            if bn > 0 and bt > 0:
-                kinds[c] = CATEGORICAL
-            else:
-                open_cols.append(c)
-        full = _string_failures(df, open_cols)
-        for c in open_cols:
             kinds[c] = _string_kind(*full[c])
     return kinds
 

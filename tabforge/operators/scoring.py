@@ -17,7 +17,10 @@ class InputError(ValueError):
 
 
 def required_columns(prep: dict) -> list[str]:
-    return list(prep.get("raw_features", []))
+    """The raw columns that the model's features are made of."""
+    enc, features = prep["encoding"], set(prep["features"])
+    made = {c: {f"{c}_{v}" for v in vs} for c, vs in enc["onehot"].items()}
+    return [c for c in prep.get("raw_features", []) if (made[c] if c in made else {c}) & features]
 
 
 def validate_input(df: DataFrame, prep: dict) -> list[str]:
@@ -40,11 +43,11 @@ def preprocess_input(df: DataFrame, prep: dict, batch_stats: bool = False) -> Da
     else:
         vals = {c: v for c, v in prep.get("impute", {}).items() if c in raw}
     out = apply_impute(out, vals)
-    enc = Encoding(label=prep["encoding"]["label"], onehot=prep["encoding"]["onehot"],
-                   dropped=prep["encoding"]["dropped"])
+    enc = Encoding(label={c: v for c, v in prep["encoding"]["label"].items() if c in raw},
+                   onehot={c: v for c, v in prep["encoding"]["onehot"].items() if c in raw}, dropped=[])
     out = apply_encoding(out, enc)
     if prep.get("scale"):
-        out = out.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in prep["scale"].items()})
+        out = out.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s) for c, (m, s) in prep["scale"].items() if c in out.columns})
     return out.select(*key, *prep["features"])
 
 
@@ -58,6 +61,6 @@ def predict(df: DataFrame, model, prep: dict, batch_stats: bool = False) -> Data
     if model.problem_type == "classification" and classes:
         m = F.create_map(*[v for i, c in enumerate(classes) for v in (F.lit(float(i)), F.lit(str(c)))])
         out = out.withColumn("predicted_label", m[F.col("prediction")])
-        conf = F.round(F.array_max("probability") * 100, 1)
+        conf = F.bround(F.array_max("probability") * 100, 1)
         return out.select(*key, "prediction", "predicted_label", "probability", conf.alias("confidence"))
     return out.select(*key, "prediction")

@@ -27,6 +27,8 @@ def _long(items, name):
 
 def variance_table(df: DataFrame, features: list[str]) -> DataFrame:
     """Population variance per feature and the keep flag."""
+    if not features:
+        raise ValueError("No features remaining.")
     a = df.agg(*[F.var_pop(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(features)])
     t = a.select(_long([(i, c, F.col(f"v{i}")) for i, c in enumerate(features)], "variance"))
     return t.withColumn("keep", F.coalesce(F.col("variance") > VAR_THRESHOLD, F.lit(False)))

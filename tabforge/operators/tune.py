@@ -39,9 +39,6 @@ REGRESSION_GRIDS = {
     "SVM": ("grid", {"C": [0.1, 1, 10], "kernel": ["rbf", "linear"]}),
     "KNN": ("grid", {"n_neighbors": [3, 5, 7, 9], "weights": ["uniform", "distance"]}),
 }
-# Parameters with no MLlib counterpart; combinations differing only in them
-# are fitted once.
-_NO_EFFECT = {"solver", "kernel", "gamma"}
 
 
 def param_grids(problem_type: str) -> dict:
@@ -83,23 +80,15 @@ def tune_model(name: str, data: DataFrame, features: list[str], problem_type: st
         t = spark.createDataFrame([(name, 0, "{}", float(score))],
                                   "model string, candidate int, params string, mean_score double")
         return {}, score, t
-    # fit each distinct effective setting once
-    eff = {}
-    for i, c in enumerate(combos):
-        k = tuple(sorted((a, str(b)) for a, b in c.items() if a not in _NO_EFFECT))
-        eff.setdefault(k, []).append(i)
-    reps = [combos[v[0]] for v in eff.values()]
-    res = fold_scores(data, features, problem_type, metric, [(name, p) for p in reps], label=label, key=key,
+    # every candidate is fitted and keeps its own score; the pick is made on unrounded means
+    res = fold_scores(data, features, problem_type, metric, [(name, p) for p in combos], label=label, key=key,
                       parallelism=parallelism, n_classes=n_classes, resample=resample)
     run = _summarise(spark, [(name, 0, ci, f, s) for ci, f, s in res])
-    means = {r["candidate"]: r["mean_score"] for r in run.summary.collect()}
-    rows = []
-    for ri, idxs in enumerate(eff.values()):
-        for i in idxs:
-            rows.append((name, i, str(combos[i]), float(means[ri])))
-    t = spark.createDataFrame(rows, "model string, candidate int, params string, mean_score double")
-    best = max(rows, key=lambda r: (r[3], -r[1]))            # first best in candidate order
-    return combos[best[1]], round(best[3], 4), t
+    means = {r["candidate"]: r["m"] for r in run.scores.groupBy("candidate").agg(F.avg("score").alias("m")).collect()}
+    best = max(range(len(combos)), key=lambda i: (means[i], -i))            # first best in candidate order
+    t = spark.createDataFrame([(name, i, str(c), round(float(means[i]), 4)) for i, c in enumerate(combos)],
+                              "model string, candidate int, params string, mean_score double")
+    return combos[best], round(float(means[best]), 4), t
 
 
 def run_tuning(data: DataFrame, features: list[str], problem_type: str, metric: str, top: list[str],

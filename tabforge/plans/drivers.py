@@ -66,7 +66,7 @@ def preprocess(df: DataFrame, target: str, key: list[str], kinds: dict, problem_
     d = split.split(d, [KEY], target if problem_type == "classification" else None, n_rows=n)
     d = d.persist(StorageLevel.MEMORY_AND_DISK)
     fit_rows = d.where(~F.col("is_test")) if fit_on == "train" else d
-    imp = clean.fit_impute(fit_rows, kinds, raw)
+    imp = clean.fit_impute(fit_rows, kinds, raw, every=True)
     d2 = clean.apply_impute(d, imp)
     fit_rows = d2.where(~F.col("is_test")) if fit_on == "train" else d2
     enc = clean.fit_encoding(fit_rows, kinds, target, problem_type, raw)

@@ -8,8 +8,6 @@ turns a double column holding ``nan`` into a string column.)
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +17,14 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 BOOL_TOKENS = ["true", "false", "True", "False", "TRUE", "FALSE"]
 
 
-def _is_local(path: str) -> bool:
-    return "://" not in path or path.startswith("file://")
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Asks the file system that Spark would read from."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    if _is_local(path) and not os.path.exists(path.replace("file://", "")):
+    if not _exists(spark, path):
         raise FileNotFoundError(f"File not found: {path}")
     if not path.rstrip("/").endswith(".csv"):
         raise ValueError("Only CSV files are supported.")

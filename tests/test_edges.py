@@ -81,3 +81,18 @@ def test_quality_score_floor(spark):
     s = rep.summary.first()
     assert 0 <= s["quality_score"] <= 100
     assert s["missing_penalty"] == 30 and s["duplicate_penalty"] == 10
+
+
+def test_median_between_integers_is_kept(spark):
+    from tabforge.operators import clean
+    df = spark.createDataFrame([(2,), (3,), (None,)], "a int")
+    v = clean.fit_impute(df, {"a": "numerical"}, ["a"])
+    assert sorted(r.a for r in clean.apply_impute(df, v).collect()) == [2.0, 2.5, 3.0]
+
+
+def test_every_column_gets_a_fill_value_for_later_rows(spark):
+    from tabforge.operators import clean
+    df = spark.createDataFrame([(1.0, "x"), (3.0, "x")], "a double, b string")
+    kinds = {"a": "numerical", "b": "categorical"}
+    assert clean.fit_impute(df, kinds, ["a", "b"]) == {}
+    assert clean.fit_impute(df, kinds, ["a", "b"], every=True) == {"a": 2.0, "b": "x"}
