@@ -25,7 +25,7 @@ MAX_REPEAT_PERCENT = 30
 #: A document goes if its removed lines held more than this percentage of its words.
 MAX_LOST_PERCENT = 50
 SYMBOLS = r"[#*$%&|<>]"
-SPACE = r"[\x20\x09-\x0D]"
+SPACE, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 SENTENCE_MARK = r"[.!?…。！？]"
 SEPARATOR = r"(?:^|\s)(?:\||»|›|>|·|•|/|–|—|-)(?=\s|$)"
 UPPER, LETTER = r"\p{Lu}", r"\p{L}"
@@ -50,15 +50,16 @@ def _count(line: Column, pattern: str) -> Column:
 
 
 def line_words(line: Column) -> Column:
-    return _count(line, r"[^\x20\x09-\x0D]+")
+    """Every word, with the white space around it, becomes one character; that is cheaper than a list of the words."""
+    return F.when(line.rlike(WORD), F.length(F.regexp_replace(line, f"{SPACE}*{WORD}+{SPACE}*", "w"))).otherwise(0)
 
 
-def bad_line(line: Column) -> Column:
-    """True for a line that the rules remove; lines without a word stay."""
-    words = line_words(line)
+def bad_line(line: Column, words: Column) -> Column:
+    """True for a line of so many words that the rules remove; lines without a word stay."""
+    letters = F.length(line) - F.length(F.regexp_replace(line, f"{LETTER}+", ""))
     navigation = _count(line, SEPARATOR) * 5 >= words
     markup = _count(line, SYMBOLS) * 10 >= F.length(line)
-    shouted = (words >= 5) & ((_count(line, "!!") * 5 >= words) | (_count(line, UPPER) * 10 >= _count(line, LETTER) * 6))
+    shouted = (words >= 5) & ((_count(line, "!!") * 5 >= words) | (_count(line, UPPER) * 10 >= letters * 6))
     no_sentence = (words > HEADING_WORDS) & ~line.rlike(SENTENCE_MARK)
     return (words > 0) & (navigation | markup | shouted | no_sentence | line.rlike(BOILERPLATE))
 
@@ -66,7 +67,8 @@ def bad_line(line: Column) -> Column:
 def repeat_words(words: Column) -> Column:
     """Words that lie in a window of 8 found twice or more: windows are hashed, equal hashes are neighbours
     after a sort, and the places of repeated windows are merged from left to right."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    places = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
+    hashes = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda each: F.transform(places, lambda i: F.xxhash64(F.slice(each, i, WINDOW))))
 
     def covered(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
@@ -94,16 +96,16 @@ def measured(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFra
         f"{p}n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
         f"{p}n_dup_lines": _let(real, lambda r: F.size(r) - F.size(F.array_distinct(r))).cast("long"),
         f"{p}n_repeat_words": repeat_words(words).cast("long"),
-        f"{p}kept_lines": F.filter(lines, lambda x: ~bad_line(x)),
+        f"{p}lost": F.transform(lines, lambda x: _let(line_words(x), lambda n: F.when(bad_line(x, n), n).otherwise(0))),
     }).drop(f"{p}words")
-    left = F.aggregate(F.col(f"{p}kept_lines"), F.lit(0), lambda a, x: a + line_words(x))
+    lost = F.col(f"{p}lost")
     failed = (F.col(f"{p}n_words") < MIN_WORDS) | (100 * F.col(f"{p}n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{p}n_words"))
     return (_once(step, {
-        f"{p}base_failed": failed, f"{p}n_lost_words": F.col(f"{p}n_words") - left,
-        f"{p}n_lost_lines": (F.size(f"{p}lines") - F.size(f"{p}kept_lines")).cast("long"),
-        f"{p}clean_text": F.array_join(f"{p}kept_lines", "\n")})
+        f"{p}base_failed": failed, f"{p}n_lost_words": F.aggregate(lost, F.lit(0), lambda a, n: a + n).cast("long"),
+        f"{p}n_lost_lines": F.size(F.filter(lost, lambda n: n > 0)).cast("long"),
+        f"{p}clean_text": F.array_join(F.filter(lines, lambda x, i: F.get(lost, i) == 0), "\n")})
         .withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (100 * F.col(f"{p}n_lost_words") <= MAX_LOST_PERCENT * F.col(f"{p}n_words")))
-        .drop(f"{p}lines", f"{p}kept_lines"))
+        .drop(f"{p}lines", f"{p}lost"))
 
 
 def filter_documents(df: DataFrame, text_col: str = "text") -> DataFrame:
