@@ -22,7 +22,9 @@ from .common import gather
 #: Distinct pieces whose ids a Python worker remembers between batches.
 CACHE_PIECES = 800_000
 #: New pieces that one call of the library encodes as one text.
-JOINED_PIECES = 1000
+JOINED_PIECES = 100
+#: A character that no ordinary text holds; between blanks it is a token of its own.
+MARK = "\x01"
 _ODD_SPACE = "[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
@@ -62,6 +64,8 @@ class ColumnEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok, self.spaces, self.cache = tokenizer, spaces, {}
         self.tok.encode_special_tokens = True
+        alone = tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = alone[0] if len(alone) == 1 else None
         if spaces:  # byte-level: a token has one character for each of its bytes
             self.sizes = np.zeros(max(self.tok.get_vocab().values(), default=-1) + 1, np.int64)
             for token, i in self.tok.get_vocab().items():
@@ -72,29 +76,42 @@ class ColumnEncoder:
         return [array("I", e.ids).tobytes() for e in found]
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece.  Byte-level pieces are written one after the other, each after a blank of its own or a line end,
-        where no token crosses; the bytes of the tokens tell which ids belong to which piece."""
-        if not self.spaces:
-            return self._library(pieces)
+        """Ids of each piece, ``JOINED_PIECES`` written as one text and told apart again; groups that would be read
+        otherwise in company go to the library piece by piece."""
         groups = [pieces[i:i + JOINED_PIECES] for i in range(0, len(pieces), JOINED_PIECES)]
-        groups = [g if "\n" not in g else None for g in groups]
-        texts = ["".join([p if p[0] == " " else "\n" + p for p in g]) for g in groups if g]
+        # a line end beside a line end would be read as one run of white space
+        alone = [any(p == "\n" for p in g) if self.spaces else self.mark is None or any(MARK in p for p in g) for g in groups]
+        if self.spaces:
+            texts = ["".join([p if p[0] == " " else "\n" + p for p in g]) for g, x in zip(groups, alone, strict=True) if not x]
+        else:
+            texts = [f" {MARK} ".join(g) for g, x in zip(groups, alone, strict=True) if not x]
         joined, out = iter(self._library(texts)), []
-        for k, g in enumerate(groups):
-            if g is None:  # a line end beside line ends would be read as one run of white space
-                out += self._library(pieces[k * JOINED_PIECES:(k + 1) * JOINED_PIECES])
+        for g, x in zip(groups, alone, strict=True):
+            if x:
+                out += self._library(g)
                 continue
             data = next(joined)
-            before = np.array([p[0] != " " for p in g], np.int64)
-            ends = np.cumsum(np.fromiter((len(p.encode()) for p in g), np.int64, len(g)) + before)
-            reached = np.cumsum(self.sizes[np.frombuffer(data, np.uint32)])
-            last = np.searchsorted(reached, ends) + 1
-            if last[-1] != len(reached) or (reached[last - 1] != ends).any():
-                raise ValueError("a token crosses two pieces")
-            first = np.concatenate([[0], last[:-1]]) + before  # without the line end
+            first, last = (self._by_bytes if self.spaces else self._by_marks)(g, np.frombuffer(data, np.uint32))
             out += [data[4 * a:4 * b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
         return out
 
+    def _by_bytes(self, group: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Byte-level pieces stand after a blank of their own or a line end, where no token crosses: bytes tell the bounds."""
+        before = np.array([p[0] != " " for p in group], np.int64)
+        ends = np.cumsum(np.fromiter((len(p.encode()) for p in group), np.int64, len(group)) + before)
+        reached = np.cumsum(self.sizes[ids])
+        last = np.searchsorted(reached, ends) + 1
+        if last[-1] != len(ids) or (reached[last - 1] != ends).any():
+            raise ValueError("a token crosses two pieces")
+        return np.concatenate([[0], last[:-1]]) + before, last  # without the line end
+
+    def _by_marks(self, group: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces stand between marks."""
+        at = np.flatnonzero(ids == self.mark)
+        if len(at) != len(group) - 1:
+            raise ValueError("a mark is not a token of its own")
+        return np.concatenate([[0], at + 1]), np.append(at, len(ids))
+
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, start and length of each piece."""
         new = [p for p in pieces if p not in self.cache]
