@@ -21,8 +21,6 @@ from .common import gather
 
 #: Distinct pieces whose ids a Python worker remembers between batches.
 CACHE_PIECES = 800_000
-#: New pieces that one call of the library encodes as one text.
-JOINED_PIECES = 1000
 _ODD_SPACE = "[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
 
@@ -60,50 +58,20 @@ class ColumnEncoder:
 
     def __init__(self, tokenizer, spaces: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tok, self.spaces, self.cache, self.older = tokenizer, spaces, {}, {}
+        self.tok, self.spaces, self.cache = tokenizer, spaces, {}
         self.tok.encode_special_tokens = True
-        if spaces:  # byte-level: a token has one character for each of its bytes
-            self.sizes = np.zeros(max(self.tok.get_vocab().values(), default=-1) + 1, np.int64)
-            for token, i in self.tok.get_vocab().items():
-                self.sizes[i] = len(token)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _encoded(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece.  Byte-level pieces are written one after the other, each after a blank of its own or a line end,
-        where no token crosses; the bytes of the tokens tell which ids belong to which piece."""
-        if not self.spaces:
-            return self._library(pieces)
-        groups = [pieces[i:i + JOINED_PIECES] for i in range(0, len(pieces), JOINED_PIECES)]
-        # a line end beside a line end would be read as one run of white space: such a group goes piece by piece
-        alone = ["\n" in g for g in groups]
-        texts = ["".join([p if p[0] == " " else "\n" + p for p in g]) for g, x in zip(groups, alone, strict=True) if not x]
-        joined, out = iter(self._library(texts)), []
-        for g, x in zip(groups, alone, strict=True):
-            if x:
-                out += self._library(g)
-                continue
-            data = next(joined)
-            before = np.array([p[0] != " " for p in g], np.int64)
-            ends = np.cumsum(np.fromiter((len(p.encode()) for p in g), np.int64, len(g)) + before)
-            reached = np.cumsum(self.sizes[np.frombuffer(data, np.uint32)])
-            last = np.searchsorted(reached, ends) + 1
-            if last[-1] != len(reached) or (reached[last - 1] != ends).any():
-                raise ValueError("a token crosses two pieces")
-            first = np.concatenate([[0], last[:-1]]) + before  # without the line end
-            out += [data[4 * a:4 * b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-        return out
-
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, start and length of each piece."""
-        missing = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(missing) > CACHE_PIECES // 2:  # pieces that are met again move on, the others go
-            self.cache, self.older, missing = {}, self.cache, pieces
-        self.cache.update((p, self.older[p]) for p in missing if p in self.older)
-        new = [p for p in missing if p not in self.older]
-        self.cache.update(zip(new, self._encoded(new), strict=True))
+        new = [p for p in pieces if p not in self.cache]
+        if len(self.cache) + len(new) > CACHE_PIECES:
+            self.cache.clear()
+            new = pieces
+        self.cache.update(zip(new, self._library(new), strict=True))
         found = [self.cache[p] for p in pieces]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), np.uint32), np.cumsum(lengths) - lengths, lengths
