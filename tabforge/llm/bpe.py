@@ -5,12 +5,18 @@ visible characters, so a text is cut there first, every *distinct* piece of an
 Arrow batch is encoded once by the library, and the ids are laid out again with
 NumPy.  Texts with any other white space than single blanks and single line ends
 go to the library whole.
+
+They also always cut between a letter and ASCII punctuation other than the apostrophe.  So a
+piece of Latin or Cyrillic letters with such marks after them is two pieces, and its letters are
+one pre-token: only the library's merge model need see them, in the byte table's characters.
+Every other piece takes the library's whole way.
 """
 
 from __future__ import annotations
 
 import base64
 import os
+import string
 from array import array
 
 import numpy as np
@@ -22,6 +28,9 @@ from .common import gather
 #: Distinct pieces whose ids a Python worker remembers between batches.
 CACHE_PIECES = 800_000
 _ODD_SPACE = "[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+#: Letters in every Unicode version that keep one character in lower case.
+_LETTERS = "^[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{24f}\\x{400}-\\x{481}]+$"
+_MARKS = string.punctuation.replace("'", "")
 
 
 def byte_table() -> list[str]:
@@ -54,28 +63,66 @@ def from_ranks(path: str, pattern: str):
 
 
 class ColumnEncoder:
-    """Encodes Arrow string columns; ``spaces`` says whether a blank belongs to the word after it."""
+    """Encodes Arrow string columns; ``spaces`` says whether a blank belongs to the word after it
+    (if not, the vocabulary is one of lower-case words)."""
 
     def __init__(self, tokenizer, spaces: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok, self.spaces, self.cache = tokenizer, spaces, {}
         self.tok.encode_special_tokens = True
+        self.model = tokenizer.model
+        self.model._resize_cache(0)  # pieces are remembered here
+        self.shown = [(chr(b), c) for b, c in enumerate(byte_table()) if c != chr(b) and (b == 32 or b > 127)]
 
     def _library(self, texts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
-    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flat ids, start and length of each piece."""
-        new = [p for p in pieces if p not in self.cache]
-        if len(self.cache) + len(new) > CACHE_PIECES:
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single pre-tokens."""
+        joined = "\n".join(words).encode().decode("latin-1")
+        for byte, char in self.shown:
+            joined = joined.replace(byte, char)
+        tokenize = self.model.tokenize
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in joined.split("\n")] if words else []
+
+    def _pieces(self, pieces: list[str], plain: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, start and length of each piece; ``plain`` marks single pre-tokens."""
+        if len(self.cache) + sum(p not in self.cache for p in pieces) > CACHE_PIECES:
             self.cache.clear()
-            new = pieces
-        self.cache.update(zip(new, self._library(new), strict=True))
+        for kind, encode in ((True, self._words), (False, self._library)):
+            new = [p for p, f in zip(pieces, plain, strict=True) if f is kind and p not in self.cache]
+            self.cache.update(zip(new, encode(new), strict=True))
         found = [self.cache[p] for p in pieces]
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), np.uint32), np.cumsum(lengths) - lengths, lengths
 
+    def _encode_words(self, words: pa.Array, used: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, start and length of ``words[used]``, where ``lead`` puts a blank before the word."""
+        stems = pc.ascii_rtrim(words, characters=_MARKS)
+        plain = pc.match_substring_regex(stems, _LETTERS)
+        heads = pc.if_else(plain, stems if self.spaces else pc.utf8_lower(stems), words).dictionary_encode()
+        plain = plain.to_numpy(zero_copy_only=False)[used]
+        # a head with and without the blank are two pieces
+        key = 2 * heads.indices.to_numpy(zero_copy_only=False).astype(np.int64)[used] + lead
+        marks = np.zeros(2 * len(heads.dictionary), bool)
+        marks[key] = True
+        seen, of = np.flatnonzero(marks), (np.cumsum(marks) - 1)[key]
+        is_plain = np.zeros(len(seen), bool)
+        is_plain[of] = plain
+        blank = pc.if_else(pa.array(seen & 1 == 1), " ", "")
+        pieces = pc.binary_join_element_wise(blank, heads.dictionary.take(pa.array(seen >> 1)), "").to_pylist()
+        cut = (pc.binary_length(words).to_numpy(zero_copy_only=False) - pc.binary_length(stems).to_numpy(zero_copy_only=False))[used]
+        marked = np.flatnonzero(plain & (cut > 0))
+        tails = [w[-k:] for w, k in zip(words.take(pa.array(used[marked])).to_pylist(), cut[marked].tolist(), strict=True)]
+        place: dict[str, int] = {}
+        tail = np.zeros(len(used), np.int64)  # 0: no tail, which is the empty piece
+        tail[marked] = [place.setdefault(t, len(place) + 1) for t in tails]
+        ids, starts, lengths = self._pieces([*pieces, "", *place], [*is_plain.tolist(), False, *[False] * len(place)])
+        parts = np.column_stack([of, tail + len(pieces)]).ravel()
+        totals = lengths[parts].reshape(-1, 2).sum(axis=1)
+        return ids[gather(starts[parts], lengths[parts])], np.cumsum(totals) - totals, totals
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids as uint32, row offsets); null is the empty text."""
         texts = pc.fill_null(texts, "")
@@ -84,9 +131,8 @@ class ColumnEncoder:
         flat, offsets = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
         offsets = offsets - offsets[0]
         coded = flat.dictionary_encode()
-        code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
-        place = {w: i for i, w in enumerate(words) if w in ("", "\n")}
-        line, none = place.get("\n", -1), place.get("", -1)
+        code, words = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        line, none = (pc.index(words, pa.scalar(x, words.type)).as_py() for x in ("\n", ""))
         lead = np.ones(len(code), bool)
         lead[offsets[:-1][np.diff(offsets) > 0]] = False
         lead[1:] &= code[:-1] != line
@@ -107,7 +153,7 @@ class ColumnEncoder:
         seen = np.zeros(2 * len(words), bool)
         seen[key] = True
         used, at = np.flatnonzero(seen), (np.cumsum(seen) - 1)[key]
-        flat_ids, starts, lengths = self._pieces([(" " if k & 1 else "") + words[k >> 1] for k in used.tolist()])
+        flat_ids, starts, lengths = self._encode_words(words, used >> 1, used & 1)
         ids = flat_ids[gather(starts[at], lengths[at])] if len(at) else np.zeros(0, np.uint32)
         counts = np.bincount(row[~skip], weights=lengths[at], minlength=n).astype(np.int64) if len(at) else np.zeros(n, np.int64)
         if whole.any():
