@@ -31,6 +31,8 @@ _ODD_SPACE = "[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{2
 #: Letters in every Unicode version that keep one character in lower case.
 _LETTERS = "^[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{24f}\\x{400}-\\x{481}]+$"
 _MARKS = string.punctuation.replace("'", "")
+#: Most marks that are parted from a word; a longer run stays with it.
+_TAIL = 4
 
 
 def byte_table() -> list[str]:
@@ -86,40 +88,46 @@ class ColumnEncoder:
         tokenize = self.model.tokenize
         return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in joined.split("\n")] if words else []
 
-    def _pieces(self, pieces: list[str], plain: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _pieces(self, pieces: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, start and length of each piece; ``plain`` marks single pre-tokens."""
-        if len(self.cache) + sum(p not in self.cache for p in pieces) > CACHE_PIECES:
+        found = np.fromiter(map(self.cache.get, pieces), object, len(pieces))
+        new = np.equal(found, None).astype(bool)
+        if len(self.cache) + int(new.sum()) > CACHE_PIECES:
             self.cache.clear()
-        for kind, encode in ((True, self._words), (False, self._library)):
-            new = [p for p, f in zip(pieces, plain, strict=True) if f is kind and p not in self.cache]
-            self.cache.update(zip(new, encode(new), strict=True))
-        found = [self.cache[p] for p in pieces]
+        for kind, encode in ((plain, self._words), (~plain, self._library)):
+            at = np.flatnonzero(new & kind)
+            todo = pieces[at].tolist()
+            ids = encode(todo)
+            self.cache.update(zip(todo, ids, strict=True))
+            found[at] = np.fromiter(ids, object, len(ids))
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), np.uint32), np.cumsum(lengths) - lengths, lengths
 
     def _encode_words(self, words: pa.Array, used: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Flat ids, start and length of ``words[used]``, where ``lead`` puts a blank before the word."""
         stems = pc.ascii_rtrim(words, characters=_MARKS)
-        plain = pc.match_substring_regex(stems, _LETTERS)
+        cut = pc.subtract(pc.binary_length(words), pc.binary_length(stems))
+        plain = pc.and_(pc.less_equal(cut, _TAIL), pc.match_substring_regex(stems, _LETTERS))
         heads = pc.if_else(plain, stems if self.spaces else pc.utf8_lower(stems), words).dictionary_encode()
-        plain = plain.to_numpy(zero_copy_only=False)[used]
+        cut = pc.if_else(plain, cut, 0).to_numpy(zero_copy_only=False)[used]
         # a head with and without the blank are two pieces
         key = 2 * heads.indices.to_numpy(zero_copy_only=False).astype(np.int64)[used] + lead
         marks = np.zeros(2 * len(heads.dictionary), bool)
         marks[key] = True
         seen, of = np.flatnonzero(marks), (np.cumsum(marks) - 1)[key]
         is_plain = np.zeros(len(seen), bool)
-        is_plain[of] = plain
+        is_plain[of] = plain.to_numpy(zero_copy_only=False)[used]
         blank = pc.if_else(pa.array(seen & 1 == 1), " ", "")
-        pieces = pc.binary_join_element_wise(blank, heads.dictionary.take(pa.array(seen >> 1)), "").to_pylist()
-        cut = (pc.binary_length(words).to_numpy(zero_copy_only=False) - pc.binary_length(stems).to_numpy(zero_copy_only=False))[used]
-        marked = np.flatnonzero(plain & (cut > 0))
-        tails = [w[-k:] for w, k in zip(words.take(pa.array(used[marked])).to_pylist(), cut[marked].tolist(), strict=True)]
-        place: dict[str, int] = {}
-        tail = np.zeros(len(used), np.int64)  # 0: no tail, which is the empty piece
-        tail[marked] = [place.setdefault(t, len(place) + 1) for t in tails]
-        ids, starts, lengths = self._pieces([*pieces, "", *place], [*is_plain.tolist(), False, *[False] * len(place)])
-        parts = np.column_stack([of, tail + len(pieces)]).ravel()
+        lists = [pc.binary_join_element_wise(blank, heads.dictionary.take(pa.array(seen >> 1)), ""), pa.array([""])]
+        tail = np.full(len(used), len(seen))  # no tail: the empty piece
+        for k in range(1, _TAIL + 1):
+            at = np.flatnonzero(cut == k)
+            tails = pc.utf8_slice_codeunits(words.take(pa.array(used[at])), -k).dictionary_encode()
+            tail[at] = tails.indices.to_numpy(zero_copy_only=False) + sum(map(len, lists))
+            lists.append(tails.dictionary)
+        pieces = np.concatenate([x.to_numpy(zero_copy_only=False) for x in lists])
+        ids, starts, lengths = self._pieces(pieces, np.concatenate([is_plain, np.zeros(len(pieces) - len(seen), bool)]))
+        parts = np.column_stack([of, tail]).ravel()
         totals = lengths[parts].reshape(-1, 2).sum(axis=1)
         return ids[gather(starts[parts], lengths[parts])], np.cumsum(totals) - totals, totals
 

@@ -28,6 +28,9 @@ def reference():
 def test_column_encoder_equals_the_libraries_on_odd_text():
     rng = random.Random(3)
     texts = ["", " a", "a ", "a  b\n\nc", "\n", "x\n", "\tq \n y", "don't we'll", "<|endoftext|>", "a \x01 b\x01", "\x01"]
+    # letters with marks after them: cut short, cut long, upper case of other lengths, composed and loose accents
+    texts += ["Word, WORD. word?! word..... word'. x_y_ ab12, abc<|endoftext|>, <|endoftext|>.", "İstanbul. Жук, Σας. ǰ, J̌. á. é, ŉ. Ǆ, ſo. Å.",
+              "it's.'s (foo) foo-bar; naïve; ÀÉ.\nÀÉ.\n."]
     texts += ["".join(rng.choice("ab \n\t'sé1.,日🙂́ AZ") for _ in range(rng.randint(0, 60))) for _ in range(800)]
     for path, spaces, pattern in ((BYTES, True, None), (WORDS, False, None), (RANKS, True, vocab.PATTERN)):
         ids, at = bpe.encoder(path, spaces, pattern).encode(pa.array([*texts, None]))
