@@ -46,14 +46,16 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int | None = None) -> WaveletMatrix:
         ids = np.asarray(ids, np.uint32)
         bits = bits or max(1, int(ids.max(initial=0)).bit_length())
-        planes, left = [], ids
+        kind = np.uint16 if bits <= 16 else np.uint32
+        planes, left = [], ids.astype(kind)
         for level in range(bits - 1, -1, -1):
-            bit = (left >> np.uint32(level) & np.uint32(1)).astype(bool)
+            bit = (left >> kind(level)).astype(np.uint8) & 1
             words = np.zeros(-(-len(ids) // 64), "<u8")
             words.view(np.uint8)[:(len(ids) + 7) // 8] = np.packbits(bit, bitorder="little")
+            bit = bit.view(bool)
             ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.uint64)])
-            planes.append((int(len(ids) - bit.sum()), words, ones[:-1][::_BLOCK].astype("<u8")))
-            left = np.concatenate([left[~bit], left[bit]])
+            planes.append((len(ids) - int(ones[-1]), words, ones[:-1][::_BLOCK].astype("<u8")))
+            left = np.concatenate([np.compress(~bit, left), np.compress(bit, left)])
         return cls(len(ids), planes)
 
     def to_bytes(self) -> bytes:
@@ -106,14 +108,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids: planes are undone from the last to the first, each a stable merge."""
-        ids = np.zeros(self.n, np.uint32)
-        for level, (_, words, _) in reversed(list(enumerate(self.planes))):
-            bit = np.unpackbits(words.view(np.uint8), bitorder="little")[:self.n].astype(bool)
-            before = np.empty(self.n, np.uint32)
-            zeros = self.n - int(bit.sum())
-            before[~bit], before[bit] = ids[:zeros], ids[zeros:]
-            ids = before | bit.astype(np.uint32) << np.uint32(len(self.planes) - 1 - level)
-        return ids
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        ids = np.zeros(self.n, kind)
+        for power, (zeros, words, _) in enumerate(reversed(self.planes)):
+            bit = np.unpackbits(words.view(np.uint8), bitorder="little", count=self.n).view(bool)
+            ids[zeros:] |= kind(1 << power)
+            before = np.empty(self.n, kind)
+            before[np.flatnonzero(~bit)], before[np.flatnonzero(bit)] = ids[:zeros], ids[zeros:]
+            ids = before
+        return ids.astype(np.uint32)
 
     def rank(self, token: int, at: int) -> int:
         """How often a token occurs before a place."""
