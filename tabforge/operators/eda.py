@@ -226,6 +226,23 @@ def box_stats(df: DataFrame, cols: list[str], exact: bool | None = None) -> Data
     return a.select(F.inline(F.array(*structs)))
 
 
+def box_fliers(df: DataFrame, cols: list[str], exact: bool | None = None) -> DataFrame:
+    """Every value outside the whiskers' fences with its count, per column (one scan after the quartiles)."""
+    qs = quantiles(df, cols, [0.25, 0.75], exact)
+    found = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        lo, hi = qs[c] or (None, None)
+        if lo is not None:
+            iqr = hi - lo
+            out = (x < F.lit(lo - WHIS * iqr)) | (x > F.lit(hi + WHIS * iqr))
+            found.append(F.when(out, F.struct(F.lit(i).alias("ordinal"), F.lit(c).alias("column_name"), x.alias("value"))))
+    if not found:
+        return df.sparkSession.createDataFrame([], "ordinal int, column_name string, value double, n long")
+    return (df.select(F.inline(F.array_compact(F.array(*found))))
+              .groupBy("ordinal", "column_name", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
 def missing_bars(df: DataFrame) -> DataFrame:
     """Unrounded missing %, > 0, descending."""
     return (qual.missing_table(df).select("ordinal", "column_name", F.col("missing_raw").alias("missing_pct"))

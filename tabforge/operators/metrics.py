@@ -131,6 +131,12 @@ def roc_auc(pred: DataFrame, label: str = "label", score: str = "score",
     return a.select(F.try_divide(F.col("P") * F.col("N") - F.col("s"), F.col("P") * F.col("N")).alias("roc_auc"))
 
 
+def prediction_pairs(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+    """Every distinct (actual, predicted) pair with its count; nothing is binned."""
+    return (pred.groupBy(F.col(label).cast("double").alias("actual"), F.col(prediction).cast("double").alias("predicted"))
+                .agg(F.count(F.lit(1)).alias("n")))
+
+
 def prediction_vs_actual(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                          bins: int = 50) -> DataFrame:
     """The scatter as a bins x bins count grid over the shared [min, max] range, with the diagonal ends."""

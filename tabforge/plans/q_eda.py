@@ -157,6 +157,17 @@ def a20_box_stats(spark, sf_dir):
     return finish(eda.box_stats(_reg(spark, sf_dir), REG_NUM, exact=True))
 
 
+def _fliers_sql(src, cols):
+    return union_all([f"""SELECT {i} AS ordinal, {lit(c)} AS column_name, round(CAST({c} AS DOUBLE), 6) AS value, count(*) AS n
+FROM {src}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {src})
+WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1) GROUP BY {c}""" for i, c in enumerate(cols)])
+
+
+@query("a20_box_fliers", sql=fixture_cte("fx_regression") + _fliers_sql("fx_regression", REG_NUM))
+def a20_box_fliers(spark, sf_dir):
+    return finish(eda.box_fliers(_reg(spark, sf_dir), REG_NUM, exact=True))
+
+
 # ---- A21: EDA driver (all tables, long form) --------------------------------
 @query("a21_eda_tables")
 def a21_eda_tables(spark, sf_dir):

@@ -146,6 +146,13 @@ def m11_pred_vs_actual(spark, sf_dir):
     return finish(metrics.prediction_vs_actual(_lin_pred(spark, sf_dir)))
 
 
+@query("m11_prediction_pairs", sql=_LIN_SQL + """
+SELECT round(label, 6) AS actual, """ + sig_sql("prediction", 9) + """ AS predicted, count(*) AS n FROM pred GROUP BY label, prediction""")
+def m11_prediction_pairs(spark, sf_dir):
+    p = metrics.prediction_pairs(_lin_pred(spark, sf_dir))
+    return finish(p.withColumn("predicted", sig(F.col("predicted"), 9)))
+
+
 # ---- J4 / L3h: exact neighbours on the embeddings ---------------------------
 _DIST_SQL = ("sqrt(list_reduce(list_transform(list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), "
              "lambda t: (t[1] - t[2]) * (t[1] - t[2])), lambda x, y: x + y))")
