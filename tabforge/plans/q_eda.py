@@ -163,9 +163,12 @@ FROM {src}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS
 WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1) GROUP BY {c}""" for i, c in enumerate(cols)])
 
 
-@query("a20_box_fliers", sql=fixture_cte("fx_regression") + _fliers_sql("fx_regression", REG_NUM))
+_FLIER_COLS = ["user_id", "value"]
+
+
+@query("a20_box_fliers", sql=_fliers_sql("events", _FLIER_COLS))
 def a20_box_fliers(spark, sf_dir):
-    return finish(eda.box_fliers(_reg(spark, sf_dir), REG_NUM, exact=True))
+    return finish(eda.box_fliers(Tables(spark, sf_dir).events.select(*_FLIER_COLS), _FLIER_COLS, exact=True))
 
 
 # ---- A21: EDA driver (all tables, long form) --------------------------------

@@ -96,3 +96,12 @@ def test_every_column_gets_a_fill_value_for_later_rows(spark):
     kinds = {"a": "numerical", "b": "categorical"}
     assert clean.fit_impute(df, kinds, ["a", "b"]) == {}
     assert clean.fit_impute(df, kinds, ["a", "b"], every=True) == {"a": 2.0, "b": "x"}
+
+
+def test_box_fliers_keep_repeats_and_skip_null_columns(spark):
+    from tabforge.operators import eda
+    df = spark.createDataFrame([(float(i % 5), None) for i in range(50)] + [(99.0, None), (99.0, None), (None, None)],
+                               "a double, b double")
+    got = [tuple(r) for r in eda.box_fliers(df, ["a", "b"]).collect()]
+    assert got == [(0, "a", 99.0, 2)]
+    assert eda.box_fliers(df.where("false"), ["a", "b"]).count() == 0
