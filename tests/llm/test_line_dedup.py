@@ -61,6 +61,10 @@ def test_passage_with_a_frequent_line_that_another_text_held_first(spark):
     assert all(len(want[100 + k]) == 140 for k in range(60))
 
 
+def test_passage_with_a_line_that_the_text_held_before(spark):
+    check(spark, planted(random.Random(2), False, True))
+
+
 def test_windows_of_the_table(spark, sf_texts):
     rows = line_dedup.op1_line_dedup(spark, SF).collect()
     want = left(sorted(sf_texts.items()))
