@@ -65,6 +65,16 @@ def test_passage_with_a_line_that_the_text_held_before(spark):
     check(spark, planted(random.Random(2), False, True))
 
 
+def test_runs_pasted_in_mid_sentence_without_sentence_marks(spark):
+    rnd, texts = random.Random(3), []
+    for k in range(150):
+        run = prose(rnd, 50, False)
+        texts += [(k, join(prose(rnd, rnd.randrange(60, 90), False), run, prose(rnd, 70, False))),
+                  (1000 + k, join(prose(rnd, rnd.randrange(60, 90), False), run, prose(rnd, 70, False)))]
+    want = check(spark, texts)
+    assert all(len(want[1000 + k]) == len(dict(texts)[1000 + k].split()) - 50 for k in range(150))
+
+
 def test_windows_of_the_table(spark, sf_texts):
     rows = line_dedup.op1_line_dedup(spark, SF).collect()
     want = left(sorted(sf_texts.items()))
