@@ -11,7 +11,10 @@ distinct text (equal texts have equal sets and need no pair).
    into the same group of similar documents; a large group is cut into blocks of ``BLOCK`` by size.
 3. *Bounds.*  For a block its token union is stored.  The overlap of a query with any member is at most its
    overlap with the union; only queries that reach 80 % of their own size open the block, and only opened
-   members are compared (a product of 0/1 matrices).  A task returns links that span what it found, not all pairs.
+   members are compared (a product of 0/1 matrices).  A task counts the links of each text, one for every copy of the other
+   text, and returns links that span what it found; ``links`` returns all pairs of distinct texts on request.
+
+A document's number of links counts the other documents it links with, copies of its own text among them.
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.  Null and empty texts have an empty set and link with
 nothing.  Null ids are allowed: a component's id is its least non-null one.  Repeated rows are copies of each other.
@@ -144,14 +147,15 @@ def profiles(docs: DataFrame) -> DataFrame:
 
 
 def token_sets(texts: DataFrame) -> DataFrame:
-    """From (h, text): h, n and the sorted set as binary."""
+    """From (h, copies, text): h, copies, n and the sorted set as binary."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             token, at = shingles(b.column("text"))
             data = [token[lo:hi].astype("<u8").tobytes() for lo, hi in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(np.diff(at), pa.int64()), pa.array(data, pa.binary())], ["h", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("copies"), pa.array(np.diff(at), pa.int64()), pa.array(data, pa.binary())],
+                                             ["h", "copies", "n", "tokens"])
 
-    return texts.select("h", "text").mapInArrow(run, "h long, n long, tokens binary")
+    return texts.select("h", "copies", "text").mapInArrow(run, "h long, copies long, n long, tokens binary")
 
 
 def rare_prefixes(sets: DataFrame) -> DataFrame:
@@ -225,8 +229,8 @@ def _span(nodes: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(int(nodes[i]), int(nodes[root(i)])) for i in range(len(nodes)) if root(i) != i]
 
 
-def _compare(t: pd.DataFrame) -> pd.DataFrame:
-    """One pair of blocks (or a block with itself)."""
+def _compare(t: pd.DataFrame, every: bool = False) -> pd.DataFrame:
+    """One pair of blocks (or a block with itself): links (a, b), spanning or every one, and rows (a, a, n) of link counts."""
     sides = [t[t["block"] == k] for k in sorted(set(t["block"]))]
     sets = [[np.frombuffer(x, "<u8") for x in s["tokens"]] for s in sides]
     nodes = np.concatenate([s["h"].to_numpy() for s in sides])
@@ -236,11 +240,24 @@ def _compare(t: pd.DataFrame) -> pd.DataFrame:
         pairs = linked(*sets) + np.array([0, len(sets[0])])
     else:
         pairs = np.zeros((0, 2), np.int64)
-    return pd.DataFrame(_span(nodes, pairs[pairs[:, 0] < pairs[:, 1]]), columns=["a", "b"]).astype("int64")
+    i, j = pairs[pairs[:, 0] < pairs[:, 1]].T
+    copies = np.concatenate([s["copies"].to_numpy() for s in sides])
+    n = np.zeros(len(nodes), np.int64)
+    np.add.at(n, i, copies[j])
+    np.add.at(n, j, copies[i])
+    found = np.stack([nodes[i], nodes[j]], axis=1) if every else np.array(_span(nodes, np.stack([i, j], axis=1)), np.int64).reshape(-1, 2)
+    some = np.flatnonzero(n)
+    return pd.DataFrame({"a": np.concatenate([found[:, 0], nodes[some]]), "b": np.concatenate([found[:, 1], nodes[some]]),
+                         "n": np.concatenate([np.zeros(len(found), np.int64), n[some]])}).astype("int64")
+
+
+def links(sets: DataFrame, every: bool = False) -> DataFrame:
+    """(a, b): links between distinct texts that span all links there are, or every link."""
+    return compared(sets, every).where("a <> b").select("a", "b")
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(a, b): links between distinct texts that span all links there are."""
+def compared(sets: DataFrame, every: bool = False) -> DataFrame:
+    """(a, b, n): links, n is 0, and for each text with links to other texts rows (a, a, n) that add up to their number."""
     spark = sets.sparkSession
     path = scratch_path(spark, "links")
     rare_prefixes(sets).write.parquet(f"{path}/prefixes")
@@ -252,33 +269,38 @@ def links(sets: DataFrame) -> DataFrame:
               .withColumn("block", F.floor((F.row_number().over(in_group) - 1) / BLOCK).cast("int"))
               .withColumn("last", F.floor((F.count("*").over(Window.partitionBy("label")) - 1) / BLOCK).cast("int")))
     meets = F.transform(F.sequence(F.lit(0), F.col("last")), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = placed.select("label", "h", "tokens", "block", F.explode(meets).alias("p")).select("label", "h", "tokens", "block", "p.i", "p.j")
-    dealt.groupBy("label", "i", "j").applyInPandas(_compare, "a long, b long").write.parquet(f"{path}/links")
+    dealt = placed.select("label", "h", "copies", "tokens", "block", F.explode(meets).alias("p")).select("label", "h", "copies", "tokens", "block", "p.i", "p.j")
+    (dealt.groupBy("label", "i", "j").applyInPandas(lambda t: _compare(t, every), "a long, b long, n long").write.parquet(f"{path}/links"))
     return spark.read.parquet(f"{path}/links")
 
 
 def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, h (hash of the text), n_shingles, component_id, and first: the (doc_id, h) that stands for the component."""
+    """doc_id, h (hash of the text), n_shingles, component_id, n_links, and first_h: with component_id what stands for the component."""
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("h"), F.col(f"`{text_col}`").cast("string").alias("text"))
     path = scratch_path(spark, "jaccard")
     profiles(docs).write.parquet(f"{path}/profiles")
     known = spark.read.parquet(f"{path}/profiles")
-    (known.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("shared").alias("shared"))
+    (known.where("n > 0").groupBy("h").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("shared").alias("shared"),
+                                                F.count("*").alias("copies"))
      .write.parquet(f"{path}/nodes"))
     nodes = spark.read.parquet(f"{path}/nodes")
-    open_nodes = nodes.where(F.col("shared") >= F.ceil(F.col("n") * PERCENT / 100)).select("h")
-    token_sets(docs.select("h", "text").join(open_nodes, "h", "left_semi").dropDuplicates(["h"])).write.parquet(f"{path}/sets")
-    found = components(links(spark.read.parquet(f"{path}/sets"))).withColumnRenamed("node", "h")
+    open_nodes = nodes.where(F.col("shared") >= F.ceil(F.col("n") * PERCENT / 100)).select("h", "copies")
+    token_sets(docs.select("h", "text").join(open_nodes, "h").dropDuplicates(["h"])).write.parquet(f"{path}/sets")
+    pairs = compared(spark.read.parquet(f"{path}/sets"))
+    counts = pairs.where("a = b").groupBy(F.col("a").alias("h")).agg(F.sum("n").alias("others"))
+    found = components(pairs).withColumnRenamed("node", "h")
     found.write.parquet(f"{path}/found")
     found = spark.read.parquet(f"{path}/found")
     label = F.coalesce(F.col("label"), F.col("h"))
-    labelled = nodes.join(found, "h", "left").select("h", "id", label.alias("label"))
+    n_links = F.col("copies") - 1 + F.coalesce("others", F.lit(0))
+    labelled = nodes.join(found.join(counts, "h"), "h", "left").select("h", "id", label.alias("label"), n_links.alias("n_links"))
     heads = labelled.groupBy("label").agg(F.min("id").alias("component_id"), F.min(F.struct("id", "h")).alias("first"))
-    named = labelled.join(heads, "label").select("h", "component_id", F.col("first.h").alias("first_h"))
+    named = labelled.join(heads, "label").select("h", "component_id", "n_links", F.col("first.h").alias("first_h"))
     return (known.join(named, "h", "left")
             .select("doc_id", "h", F.col("n").alias("n_shingles"),
-                    F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("first_h", "h").alias("first_h")))
+                    F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+                    F.coalesce("first_h", "h").alias("first_h")))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,4 +321,4 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return cluster(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
