@@ -4,7 +4,7 @@ Documents are range-partitioned and sorted by id, encoded, closed with an end id
 shards of whole documents.  A shard is one compressed blob in the file format below and one row of
 a Parquet table in the shared folder.  Bits of the ids are stored plane by plane, highest bit first; after each
 plane the ids are stably parted by that bit, so access, counting and occurrence lookup need one
-rank (or select) per plane and nothing else from the file.
+rank (or select) per plane and place and nothing else from the file (a frequent token's places are read off whole planes).
 
 File format (little-endian): magic ``WVM1``; uint32 planes; uint64 tokens; then for each plane
 uint64 zeros, ``ceil(n/64)`` uint64 words of bits (bit i of word i // 64 is place i) and the rank
@@ -34,6 +34,8 @@ from .common import documents, keyed_text, slices
 MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 20
 _BLOCK = 8  # words of 64 bits between two counts of the rank directory
+#: A token with more than a place in so many is looked up by unpacking planes whole, which is then cheaper than a select a place.
+SCAN_FROM = 256
 
 
 class WaveletMatrix:
@@ -95,6 +97,37 @@ class WaveletMatrix:
         inside = words[np.minimum(word, len(words) - 1)] & ((np.uint64(1) << bit.astype(np.uint64)) - np.uint64(1))
         return out + np.where(bit > 0, np.bitwise_count(inside), 0).astype(np.int64)
 
+    def _select(self, level: int, k: np.ndarray, one: bool) -> np.ndarray:
+        """The place of the k-th (from 0) one or zero of a plane: a binary search over the rank directory, the words of one
+        block, and the bits of one word."""
+        _, words, ranks = self.planes[level]
+        k = np.asarray(k, np.int64)
+        if not len(k):
+            return k
+
+        def before(block: np.ndarray) -> np.ndarray:
+            return ranks[block].astype(np.int64) if one else block * (64 * _BLOCK) - ranks[block].astype(np.int64)
+
+        lo, hi = np.zeros(len(k), np.int64), np.full(len(k), len(ranks), np.int64)
+        for _ in range(len(ranks).bit_length()):  # the last block with at most k before it lies in [lo, hi)
+            middle = (lo + hi) >> 1
+            low = before(np.minimum(middle, len(ranks) - 1)) <= k
+            lo, hi = np.where(low & (middle < hi), middle, lo), np.where(low, hi, middle)
+        left, word = k - before(lo), lo * _BLOCK
+        inside = np.ones(len(k), bool)
+        for _ in range(_BLOCK - 1):
+            w = words[np.minimum(word, len(words) - 1)]
+            n = np.bitwise_count(w if one else ~w).astype(np.int64)
+            inside &= left >= n
+            left, word = np.where(inside, left - n, left), np.where(inside, word + 1, word)
+        w = words[word] if one else ~words[word]
+        bit = np.zeros(len(k), np.int64)
+        for size in (32, 16, 8, 4, 2, 1):  # halves of the word
+            n = np.bitwise_count(w >> bit.astype(np.uint64) & np.uint64((1 << size) - 1)).astype(np.int64)
+            up = left >= n
+            left, bit = np.where(up, left - n, left), np.where(up, bit + size, bit)
+        return word * 64 + bit
+
     def access(self, at) -> np.ndarray:
         """The ids at some places."""
         at = np.atleast_1d(np.asarray(at, np.int64))
@@ -143,12 +176,14 @@ class WaveletMatrix:
         if token >> len(self.planes):
             return np.zeros(0, np.int64)
         at = np.arange(*self._range(token, self.n))
-        for level, (zeros, words, _) in reversed(list(enumerate(self.planes))):
-            bit = np.unpackbits(words.view(np.uint8), bitorder="little")[:self.n].astype(bool)
-            if token >> (len(self.planes) - 1 - level) & 1:
-                at = np.flatnonzero(bit)[at - zeros]
+        for level, (zeros, _, _) in reversed(list(enumerate(self.planes))):
+            one = bool(token >> (len(self.planes) - 1 - level) & 1)
+            at = at - zeros if one else at
+            if len(at) * SCAN_FROM > self.n:
+                bit = np.unpackbits(self.planes[level][1].view(np.uint8), bitorder="little", count=self.n).view(bool)
+                at = np.flatnonzero(bit if one else ~bit)[at]
             else:
-                at = np.flatnonzero(~bit)[at]
+                at = self._select(level, at, one)
         return at
 
 
