@@ -6,12 +6,12 @@ import threading
 
 from pyspark.sql import functions as F
 
-from ..operators import cv, importance, learners, report, resample, schema, split
+from ..operators import clean, cv, importance, learners, report, resample, schema, split
 from ..operators import scoring as sc
 from ..operators import tune as tuning
 from ..session import scratch_path
 from ..sources.csv import read_csv
-from ..sources.fixtures import LINEITEM_KEY, fixture, fixture_cte
+from ..sources.fixtures import LINE_FEATURES, LINEITEM_KEY, fixture, fixture_cte
 from ..operators import quality as qual
 from ..sources.models import load_fitted, save_fitted
 from ..sources.tables import Tables
@@ -92,10 +92,12 @@ def l3f_svm_classifier(spark, sf_dir):
 
 @query("l3g_svm_regressor")
 def l3g_svm_regressor(spark, sf_dir):
-    d = fixture(Tables(spark, sf_dir), "fx_regression").select(
-        *LINEITEM_KEY, "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.col("net").alias("label"))
+    d = fixture(Tables(spark, sf_dir), "fx_regression").select(*LINEITEM_KEY, *LINE_FEATURES, F.col("net").alias("label"))
     d = split.split(d, LINEITEM_KEY, None)
-    feats = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    train = d.where(~F.col("is_test")).select(*LINE_FEATURES)
+    enc = clean.fit_encoding(train, schema.detect_column_types(train), "label", "regression")
+    d = clean.apply_encoding(d, enc)
+    feats = enc.feature_columns(LINE_FEATURES)
     m = learners.fit("SVM", d.where(~F.col("is_test")), feats, "regression")
     return finish(m.transform(d.where("is_test")).select(*LINEITEM_KEY, "label", "prediction"))
 
