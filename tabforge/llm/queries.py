@@ -15,8 +15,10 @@ from .packing import op4_packing
 from .quality import OP7_SQL, op7_quality_rules
 from .sharding import op2_sharding
 from .toxicity import op6_toxicity
+from .variants import op13_spelling_variants
 from .wavelet import op10_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_byte_bpe, op4_packing, op5_nearest, op6_toxicity, op7_quality_rules, op8_jaccard_join, op9_licenses, op10_token_output)}
+    f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_byte_bpe, op4_packing, op5_nearest, op6_toxicity, op7_quality_rules,
+                            op8_jaccard_join, op9_licenses, op10_token_output, op13_spelling_variants)}
 ORACLE: dict[str, str] = {"op7_quality_rules": OP7_SQL}
