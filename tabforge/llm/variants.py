@@ -50,7 +50,8 @@ def count_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # a shorter run cannot become a word, and a greedy match takes a long run whole
     found = F.explode(F.regexp_extract_all("text", F.lit(f"([A-Za-z\\x{{C0}}-\\x{{FF}}]{{{MIN_LENGTH},}})"), F.lit(1)))
     runs = src.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), found.alias("run"))
-    runs = runs.select("id", F.translate("run", _UPPER, _LOWER).alias("run"))
+    lowered = F.when(F.octet_length("run") == F.length("run"), F.lower("run")).otherwise(F.translate("run", _UPPER, _LOWER))  # the same, the first is faster
+    runs = runs.select("id", lowered.alias("run"))
     runs = runs.select("run", F.crc32(F.concat("id", F.lit(":"), "run")).alias("h"))
     at = F.pmod("h", F.length("run")).cast("int")
     cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
@@ -96,17 +97,28 @@ def _spelled(vocabulary: DataFrame) -> DataFrame:
     return both.withColumn("spelt", F.concat(F.when(F.col("dir") == 0, F.col("word")).otherwise(F.reverse("word")), F.lit(END)))
 
 
+def _bit(letter: Column) -> Column:
+    """One of 64 bits for a letter's number; two letters may share a bit, so a set of bits never lacks a letter."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (letter % 64).cast("int"))
+
+
+def _code(text: Column, at: Column) -> Column:
+    """Number of the letter at a place (from 0); 0 past the end."""
+    return F.ascii(F.substring(text, at + 1, F.lit(1)))
+
+
 def build_trie(vocabulary: DataFrame) -> DataFrame:
-    """level, node, first, label, child, child_firsts, leaf, leaf_n: the edges of both compressed tries.
+    """level, node, label, first, after, child, child_firsts, leaf, leaf_n: the edges of both compressed tries.
 
-    An edge into a word's end has a leaf and no child; child_firsts are the first letters of the child's edges."""
+    An edge into a word's end has a leaf and no child.  ``after`` has the bits of the letters that can follow the first
+    letter of the edge, ``child_firsts`` those of the first letters of the child's edges."""
     prefixes = _prefixes(vocabulary)
-    branches = (prefixes.groupBy("node").agg(F.collect_set("next").alias("firsts")).where(F.size("firsts") > 1)
-                .select("node", F.array_join(F.transform("firsts", lambda c: F.char(c.cast("long"))), "").alias("firsts")))
+    branches = (prefixes.groupBy("node").agg(F.min("next").alias("least"), F.max("next").alias("most"), F.bit_or(_bit(F.col("next"))).alias("firsts"))
+                .where(F.col("least") != F.col("most")).select("node", "firsts"))
     path = (prefixes.drop("next").join(branches, "node").groupBy("wid", "dir")
             .agg(F.sort_array(F.collect_list(F.struct("depth", "node", "firsts"))).alias("path")))
     words = _spelled(vocabulary).join(path, ["wid", "dir"], "left")
-    root = F.array(F.struct(F.lit(0).alias("depth"), F.col("node"), F.lit("").alias("firsts")))
+    root = F.array(F.struct(F.lit(0).alias("depth"), F.col("node"), F.lit(0).cast("long").alias("firsts")))
     words = words.withColumn("path", F.concat(root, F.coalesce("path", F.array().cast(path.schema["path"].dataType))))
     steps = words.select("word", "n", "spelt", "path", F.posexplode("path").alias("level", "at"))
     to = F.get("path", F.col("level") + 1)
@@ -114,28 +126,34 @@ def build_trie(vocabulary: DataFrame) -> DataFrame:
     is_leaf = to.isNull()
     edges = steps.select("level", F.col("at.node").alias("node"), label.alias("label"), to["node"].alias("child"),
                          to["firsts"].alias("child_firsts"), F.when(is_leaf, F.col("word")).alias("leaf"), F.when(is_leaf, F.col("n")).alias("leaf_n"))
-    return edges.distinct().withColumn("first", F.substring("label", 1, 1))
-
-
-def _letters(start: Column, length: Column | int) -> Column:
-    return F.substring("spelt", start + 1, length if isinstance(length, Column) else F.lit(length))
+    after = F.when(F.length("label") > 1, _bit(_code(F.col("label"), F.lit(1)))).otherwise(F.coalesce("child_firsts", F.lit(-1).cast("long")))
+    inner = edges.where(F.col("leaf").isNull()).distinct()  # many words share an edge, none shares its last one
+    return inner.unionAll(edges.where(F.col("leaf").isNotNull())).withColumn("first", F.ascii("label")).withColumn("after", after)
 
 
 def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
     """Every state over every edge it can take: its next state, or the word whose end it reaches."""
-    e = edges.select(F.col("node").alias("from"), "first", "label", "child", "child_firsts", "leaf", "leaf_n")
-    pos, q = F.col("pos"), F.length("label")
-    here = _letters(pos, 1)
+    e = edges.select(F.col("node").alias("from"), "first", "after", "label", "child", "child_firsts", "leaf", "leaf_n")
+    pos, spelt, first, end = F.col("pos"), F.col("spelt"), F.col("first"), F.lit(ord(END))
     middle = F.floor((F.length("spelt") - 1) / 2)
-    may_edit = (F.col("edits") == 0) & (pos + q > middle)
-    is_open = (F.col("edits") == 0) & (pos >= middle)
-    s = states.join(e, (states["node"] == e["from"]) &
-                    ((F.col("first") == here) | (is_open & ((F.col("first") > here) | (F.col("first") == _letters(pos + 1, 1))))))
-    same, longer = _letters(pos, q), _letters(pos, q + 1)
+    s = states.select("*", ((F.col("edits") == 0) & (pos >= middle)).alias("is_open"), *[_code(spelt, pos + i).alias(f"c{i}") for i in range(3)])
+    c0, c1, c2 = (F.col(f"c{i}") for i in range(3))
+
+    def then(letter: Column) -> Column:
+        return F.col("after").bitwiseAND(_bit(letter)) != 0
+    s = s.join(e, (s["node"] == e["from"]) & (
+        ((first == c0) & ((F.col("edits") == 0) | (c1 == 0) | then(c1)))
+        | (F.col("is_open") & (c0 != end) & (((first > c0) & then(c1)) | ((first == c1) & ((c1 == end) | then(c2)))))))
+    may_edit = (F.col("edits") == 0) & (pos + F.length("label") > middle) & (c0 != end)
+    q = F.length("label")
+    same, longer = F.substring(spelt, pos + 1, q), F.substring(spelt, pos + 1, q + 1)
     ends = F.col("label").endswith(END)
-    equal = same == F.col("label")
-    replaced = may_edit & ~equal & (same < F.col("label")) & (F.length(same) == q) & (F.levenshtein(same, "label", 1) == 1) & (same.endswith(END) == ends)
-    skipped = may_edit & ~equal & (F.length(longer) == q + 1) & (F.levenshtein(longer, "label", 1) == 1) & (longer.endswith(END) == ends)
+    one = q == 1
+    equal = (first == c0) & (one | (same == F.col("label")))
+    replaced = may_edit & ~equal & F.when(one, first > c0).otherwise(
+        (same < F.col("label")) & (F.length(same) == q) & (same.endswith(END) == ends) & (F.levenshtein(same, "label", 1) == 1))
+    skipped = may_edit & ~equal & F.when(one, first == c1).otherwise(
+        (F.length(longer) == q + 1) & (longer.endswith(END) == ends) & (F.levenshtein(longer, "label", 1) == 1))
     moves = F.array_compact(F.array(
         F.when(equal, F.struct((pos + q).alias("pos"), F.col("edits").alias("edits"))),
         F.when(replaced, F.struct((pos + q).alias("pos"), F.lit(1).alias("edits"))),
@@ -143,7 +161,7 @@ def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
     s = s.select("word", "n", "spelt", "child", "child_firsts", "leaf", "leaf_n", F.explode(moves).alias("to"))
     s = s.select("word", "n", "spelt", F.col("to.pos").alias("pos"), F.col("child").alias("node"), F.col("to.edits").alias("edits"),
                  "leaf", "leaf_n", "child_firsts")
-    goes_on = F.col("node").isNotNull() & ((F.col("edits") == 0) | F.col("child_firsts").contains(_letters(F.col("pos"), 1)))
+    goes_on = F.col("node").isNotNull() & ((F.col("edits") == 0) | (F.col("child_firsts").bitwiseAND(_bit(_code(spelt, F.col("pos")))) != 0))
     return s.where(goes_on | (F.col("edits") == 1) & F.col("leaf").isNotNull()).drop("child_firsts")
 
 
