@@ -3,8 +3,8 @@
 Every text is tokenised whole by a byte-level vocabulary (A, which gets a blank before the text) and a
 sentence-piece vocabulary (B, which adds that blank itself).  Places where tokens of both end and the next
 token of both carries the blank mark are anchors; they cut a document into windows of token ids.  The same
-two id tuples always align alike, so every window is aligned once and remembered by its tuples: its groups
-(cut wherever both end), its links (all A-B pairs of a group) and its digest text.
+two id tuples always align alike, so each distinct window of a slice of documents is aligned once and looked up
+by its tuples after that: its groups (cut wherever both end), its links (all A-B pairs of a group) and its digest text.
 
 How many documents hold a link is counted per block of documents inside the task, then summed by id pair.  The
 sums go back to the blocks, not to the documents: a block asks once for each of its distinct pairs, so what
@@ -19,8 +19,8 @@ empty table.  Memory of a task grows with its largest text, beyond that it is bo
 from __future__ import annotations
 
 import hashlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,10 @@ from tabforge.session import scratch_path
 from . import bpe
 from .common import documents, gather, keyed_text, slices
 
-#: Words and windows that a Python worker remembers before it starts anew.
-CACHE_WORDS, CACHE_WINDOWS = 300_000, 200_000
+#: Bytes of text in a block of documents.
+BLOCK_BYTES = 2 << 20
+#: Tokens whose bytes are compared with the text at once.
+COMPARE_TOKENS = 200_000
 #: A word before the text makes the byte-level library write the blank of the first word; its one token is dropped.
 _BEFORE = "x"
 
@@ -48,17 +50,23 @@ class TokenBytes:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.flat = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def join(self, ids: np.ndarray) -> np.ndarray:
-        return self.flat[gather(self.starts[ids], self.sizes[ids])] if len(ids) else np.zeros(0, np.uint8)
+    def differences(self, ids: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Places where the bytes of the ids differ from ``data``, which is as long as they are."""
+        found, at = [np.zeros(0, np.int64)], 0
+        for i in range(0, len(ids), COMPARE_TOKENS):
+            part = ids[i:i + COMPARE_TOKENS]
+            own = self.flat[gather(self.starts[part], self.sizes[part])]
+            found.append(np.flatnonzero(own != data[at:at + len(own)]) + at)
+            at += len(own)
+        return np.concatenate(found)
 
 
 class ByteLevel:
     """Vocabulary A."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
         back = {c: b for b, c in enumerate(bpe.byte_table())}
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
+        vocabulary = bpe.encoder(path).tok.get_vocab(with_added_tokens=True)
         tokens = [b""] * (max(vocabulary.values()) + 1)
         for t, i in vocabulary.items():
             tokens[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
@@ -87,12 +95,16 @@ class Pieces:
         self.bytes = TokenBytes(tokens)
         pieces = [self.model.id_to_piece(i) for i in range(len(tokens)) if not self.model.is_byte(i)]
         self.cuts = not any("\n" in p or ("▁" in p[1:] and p.strip("▁")) for p in pieces)
-        self.cache: dict[str, bytes] = {}
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        # a word after a line end keeps the line end and loses the blank that the model puts before it
-        return [array("I", ids[1:] if w.startswith("\n") else ids).tobytes()
-                for w, ids in zip(words, self.model.encode(words, num_threads=1), strict=True)]
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and length of each word; a word after a line end keeps the line end and loses the blank put before it."""
+        found = self.model.encode(words, num_threads=1) if words else []
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        line = np.fromiter((w[:1] == "\n" for w in words), bool, len(words))
+        keep = np.ones(len(ids), bool)
+        keep[(np.cumsum(lengths) - lengths)[line]] = False
+        return ids[keep], lengths - line
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, row offsets)."""
@@ -112,22 +124,18 @@ class Pieces:
         row, code = row[keep], code[keep]
         used = np.zeros(len(words), bool)
         used[code] = True
-        new = [w for w, u in zip(words, used.tolist(), strict=True) if u and w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = [w for w, u in zip(words, used.tolist(), strict=True) if u]
-        self.cache.update(zip(new, self._ids(new), strict=True))
-        found = [self.cache[w] if u else b"" for w, u in zip(words, used.tolist(), strict=True)]
+        ids, lengths = self._words([w for w, u in zip(words, used.tolist(), strict=True) if u])
+        code = (np.cumsum(used) - 1)[code]
         if whole.any():
             at = np.flatnonzero(whole)
-            found += [array("I", ids).tobytes() for ids in self.model.encode(texts.take(pa.array(at)).to_pylist(), num_threads=1)]
-            row, code = np.concatenate([row, at]), np.concatenate([code, len(words) + np.arange(len(at))])
+            found = self.model.encode(texts.take(pa.array(at)).to_pylist(), num_threads=1)
+            own = np.fromiter(map(len, found), np.int64, len(found))
+            row, code = np.concatenate([row, at]), np.concatenate([code, len(lengths) + np.arange(len(at))])
+            ids, lengths = np.concatenate([ids, np.fromiter(chain.from_iterable(found), np.uint32, int(own.sum()))]), np.concatenate([lengths, own])
             order = np.argsort(row, kind="stable")
             row, code = row[order], code[order]
-        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = np.frombuffer(b"".join(found), np.uint32)
-        ids = ids[gather((np.cumsum(lengths) - lengths)[code], lengths[code])] if len(code) else np.zeros(0, np.uint32)
         counts = np.bincount(row, weights=lengths[code], minlength=len(texts)).astype(np.int64)
+        ids = ids[gather((np.cumsum(lengths) - lengths)[code], lengths[code])] if len(code) else np.zeros(0, np.uint32)
         return ids, np.concatenate([[0], np.cumsum(counts)])
 
 
@@ -141,44 +149,28 @@ def _row_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[offsets])
 
 
-def _windows(ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Codes of the id tuples between neighbouring cuts, and the distinct tuples."""
+def _tuples(ids: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """A number for each id tuple between neighbouring cuts, equal for equal tuples."""
     data = pa.py_buffer(np.ascontiguousarray(ids, np.uint32))
-    tuples = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts * 4, np.int64)), data])
-    coded = tuples.dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+    found = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(np.ascontiguousarray(cuts * 4, np.int64)), data])
+    return found.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _joined(texts: pa.Array, offsets: np.ndarray, mark: str) -> pa.Array:
+    """The texts between neighbouring offsets, with a mark between them."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), texts), mark)
+
+
+def _ends(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
 
 
 class Aligner:
-    """Both vocabularies and the remembered windows of one Python worker."""
+    """Both vocabularies of one Python worker."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b, self.memo = ByteLevel(path_a), Pieces(path_b), {}
-
-    def window(self, a: bytes, b: bytes) -> tuple[int, bytes, str]:
-        """Groups, links (64-bit A-B id pairs) and digest text of one window."""
-        if (a, b) in self.memo:
-            return self.memo[a, b]
-        ids_a, ids_b = memoryview(a).cast("I").tolist(), memoryview(b).cast("I").tolist()
-        size_a, size_b = self.a.bytes.sizes, self.b.bytes.sizes
-        groups, pairs, i, j = [], array("q"), 0, 0
-        while i < len(ids_a):
-            first_a, first_b = i, j
-            end_a, end_b = int(size_a[ids_a[i]]), int(size_b[ids_b[j]])
-            i, j = i + 1, j + 1
-            while end_a != end_b:
-                if end_a < end_b:
-                    end_a += int(size_a[ids_a[i]])
-                    i += 1
-                else:
-                    end_b += int(size_b[ids_b[j]])
-                    j += 1
-            groups.append(",".join(map(str, ids_a[first_a:i])) + "|" + ",".join(map(str, ids_b[first_b:j])))
-            pairs.extend((x << 32) | y for x in ids_a[first_a:i] for y in ids_b[first_b:j])
-        if len(self.memo) >= CACHE_WINDOWS:
-            self.memo.clear()
-        self.memo[a, b] = found = (len(groups), pairs.tobytes(), ";".join(groups))
-        return found
+        self.a, self.b = ByteLevel(path_a), Pieces(path_b)
+        self.shown = pa.array([str(i) for i in range(max(len(self.a.bytes.sizes), len(self.b.bytes.sizes)))], pa.string())
 
     def tokens(self, texts: pa.Array):
         """Ids and offsets of both vocabularies, and the bytes that they share; rows they do not give back are empty."""
@@ -187,7 +179,6 @@ class Aligner:
         spaced = pc.if_else(full, pc.binary_join_element_wise("", texts, " "), "")
         data = np.frombuffer("".join(spaced.to_pylist()).encode(), np.uint8)
         sizes = pc.binary_length(spaced).to_numpy().astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
         sides, good = [], full.to_numpy(zero_copy_only=False)
         for side in (self.a, self.b):
             ids, offsets = side.encode(texts)
@@ -196,44 +187,50 @@ class Aligner:
             sides.append((ids, offsets))
         for k, side in enumerate((self.a, self.b)):
             ids, offsets = _compact(*sides[k], good)
-            want = data[np.repeat(good, sizes)]
-            wrong = np.flatnonzero(side.bytes.join(ids) != want)
+            wrong = side.bytes.differences(ids, data[np.repeat(good, sizes)])
             if len(wrong):
                 rows = np.flatnonzero(good)
                 good = good.copy()
                 good[rows[np.searchsorted(np.cumsum(sizes[rows]), wrong, side="right")]] = False
         sides = [_compact(*s, good) for s in sides]
-        return sides, data[np.repeat(good, sizes)], np.where(good, sizes, 0), ends
+        return sides, data[np.repeat(good, sizes)], np.where(good, sizes, 0)
 
     def align(self, texts: pa.Array) -> dict:
         """Per row: token, group and link counts, digest; per distinct link of each row its occurrences; the distinct links."""
-        ((ids_a, off_a), (ids_b, off_b)), data, sizes, _ = self.tokens(texts)
+        ((ids_a, off_a), (ids_b, off_b)), data, sizes = self.tokens(texts)
         n, total = len(texts), len(data)
         both = np.zeros(total + 1, np.uint8)
         ends_a, ends_b = np.cumsum(self.a.bytes.sizes[ids_a]), np.cumsum(self.b.bytes.sizes[ids_b])
         both[ends_a] = 1
         both[ends_b] += 2
-        anchor = both[:-1] == 3
-        anchor &= data == 0x20
+        cut = both == 3
+        shared = np.concatenate([[0], np.flatnonzero(cut)]) if total else np.zeros(1, np.int64)  # group g lies between shared[g] and shared[g + 1]
+        cut[:-1] &= data == 0x20
         row_ends = np.cumsum(sizes)
-        cuts = np.union1d(np.flatnonzero(anchor), np.concatenate([[0], row_ends]))
-        if total == 0:
-            cuts = np.zeros(1, np.int64)
-        code_a, of_a = _windows(ids_a, np.searchsorted(ends_a, cuts, side="right"))
-        code_b, of_b = _windows(ids_b, np.searchsorted(ends_b, cuts, side="right"))
-        kinds, kind = np.unique(code_a * max(len(of_b), 1) + code_b, return_inverse=True)
-        made = [self.window(of_a[k // len(of_b)], of_b[k % len(of_b)]) for k in kinds.tolist()]
-        groups = np.array([m[0] for m in made], np.int64)
-        flat = np.frombuffer(b"".join(m[1] for m in made), np.int64)
-        links = np.array([len(m[1]) // 8 for m in made], np.int64)
+        cut[0] = True
+        cut[row_ends] = True
+        cuts = np.flatnonzero(cut)
+        group_a, group_b = (np.searchsorted(e, shared, side="right") for e in (ends_a, ends_b))  # tokens before each group
+        window = np.searchsorted(shared, cuts)  # groups before each window
+        code_b = _tuples(ids_b, group_b[window])
+        _, at, kind = np.unique(_tuples(ids_a, group_a[window]) * (code_b.max(initial=0) + 1) + code_b, return_index=True, return_inverse=True)
+        # the distinct windows, aligned where they stand first
+        groups = np.diff(window)[at]
+        g = gather(window[at], groups)
+        n_a, n_b = np.diff(group_a)[g], np.diff(group_b)[g]
+        first_a, first_b, links_of = group_a[g], group_b[g], n_a * n_b
+        step = gather(np.zeros(len(g), np.int64), links_of)
+        wide = np.repeat(n_b, links_of)
+        flat = (ids_a[np.repeat(first_a, links_of) + step // wide].astype(np.int64) << 32) | ids_b[np.repeat(first_b, links_of) + step % wide]
+        links = np.diff(_ends(links_of)[_ends(groups)])
+        sides = [_joined(self.shown.take(pa.array(ids[gather(f, m)])), _ends(m), ",") for ids, f, m in ((ids_a, first_a, n_a), (ids_b, first_b, n_b))]
+        shown = _joined(pc.binary_join_element_wise(*sides, "|"), _ends(groups), ";")
         first = np.concatenate([[0], np.searchsorted(cuts, row_ends)])  # windows before each row
-        row = np.repeat(np.arange(n), np.diff(first))
-        texts_of, at = [m[2] for m in made], kind.tolist()
-        sha = [hashlib.sha256(";".join([texts_of[k] for k in at[i:j]]).encode()).hexdigest() if j > i else ""
-               for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        row, n_kinds = np.repeat(np.arange(n), np.diff(first)), max(len(at), 1)
+        sha = [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in _joined(shown.take(pa.array(kind)), first, ";").to_pylist()]
         pairs, place = np.unique(flat, return_inverse=True)
-        held, times = np.unique(row * max(len(kinds), 1) + kind, return_counts=True)  # distinct windows of each row
-        held_kind, held_row = held % max(len(kinds), 1), held // max(len(kinds), 1)
+        held, times = np.unique(row * n_kinds + kind, return_counts=True)  # distinct windows of each row
+        held_kind, held_row = held % n_kinds, held // n_kinds
         which = place[gather((np.cumsum(links) - links)[held_kind], links[held_kind])] if len(held) else np.zeros(0, np.int64)
         key, inverse = np.unique(np.repeat(held_row, links[held_kind]) * max(len(pairs), 1) + which, return_inverse=True)
         occurs = np.bincount(inverse, weights=np.repeat(times, links[held_kind]), minlength=len(key)).astype(np.int64)
@@ -261,7 +258,7 @@ def _blocks(src: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = aligner(path_a, path_b)
-        for number, b in enumerate(slices(batches)):
+        for number, b in enumerate(slices(batches, size=BLOCK_BYTES)):
             block = (TaskContext.get().partitionId() << 32) + number
             r = made.align(b.column("text"))
             n = b.num_rows + 1  # the last row is the block's

@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 
 from .common import gather
 
-#: Distinct pieces whose ids a Python worker remembers between batches.
-CACHE_PIECES = 800_000
+#: Distinct pieces whose ids a Python worker remembers between batches; beyond that only those of the batch at hand stay.
+CACHE_PIECES = 250_000
 _ODD_SPACE = "[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Letters in every Unicode version that keep one character in lower case.
 _LETTERS = "^[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{24f}\\x{400}-\\x{481}]+$"
@@ -73,7 +73,6 @@ class ColumnEncoder:
         self.tok, self.spaces, self.cache = tokenizer, spaces, {}
         self.tok.encode_special_tokens = True
         self.model = tokenizer.model
-        self.model._resize_cache(0)  # pieces are remembered here
         self.shown = [(chr(b), c) for b, c in enumerate(byte_table()) if c != chr(b) and (b == 32 or b > 127)]
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -92,14 +91,14 @@ class ColumnEncoder:
         """Flat ids, start and length of each piece; ``plain`` marks single pre-tokens."""
         found = np.fromiter(map(self.cache.get, pieces), object, len(pieces))
         new = np.equal(found, None).astype(bool)
-        if len(self.cache) + int(new.sum()) > CACHE_PIECES:
-            self.cache.clear()
         for kind, encode in ((plain, self._words), (~plain, self._library)):
             at = np.flatnonzero(new & kind)
             todo = pieces[at].tolist()
             ids = encode(todo)
             self.cache.update(zip(todo, ids, strict=True))
             found[at] = np.fromiter(ids, object, len(ids))
+        if len(self.cache) > CACHE_PIECES:
+            self.cache = dict(zip(pieces.tolist(), found.tolist(), strict=True))
         lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
         return np.frombuffer(b"".join(found), np.uint32), np.cumsum(lengths) - lengths, lengths
 

@@ -95,13 +95,12 @@ def test_few_rows(spark, texts):
     check(spark.createDataFrame([(i, t, *"abcdefg") for i, t in docs], SCHEMA), docs)
 
 
-def test_windows_start_anew(spark, monkeypatch):
-    """Full caches are emptied without harm."""
-    monkeypatch.setattr(align, "CACHE_WORDS", 5)
-    monkeypatch.setattr(align, "CACHE_WINDOWS", 3)
+def test_long_compare(spark, monkeypatch):
+    """Bytes are compared in parts, wherever a part ends."""
+    monkeypatch.setattr(align, "COMPARE_TOKENS", 3)
     import pyarrow as pa
     made = align.Aligner(A, B)
-    texts = ["one two three four five six seven", "eight nine\nten one two", None, "", "one two three"]
+    texts = ["one two three four five six seven", "eight ▁nine\nten one two", None, "", "one two three", "a▁b", "last one"]
     r = made.align(pa.array(texts))
     want, _, _ = plain(texts)
     assert list(zip(r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups_sha256"], strict=True)) == [(*w[:4], w[6]) for w in want]
