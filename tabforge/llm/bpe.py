@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from .common import gather
 
 #: Distinct pieces whose ids a Python worker remembers between batches; beyond that only those of the batch at hand stay.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 400_000
 _ODD_SPACE = "[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Letters in every Unicode version that keep one character in lower case.
 _LETTERS = "^[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{24f}\\x{400}-\\x{481}]+$"

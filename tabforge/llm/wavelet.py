@@ -33,6 +33,8 @@ from .common import documents, keyed_text, slices
 
 MAGIC = b"WVM1"
 SHARD_TOKENS = 1 << 20
+#: Bytes of a row group of the shard files, so that a reader holds a few shards at a time.
+GROUP_BYTES = 8 << 20
 _BLOCK = 8  # words of 64 bits between two counts of the rank directory
 #: A token with more than a place in so many is looked up by unpacking planes whole, which is then cheaper than a select a place.
 SCAN_FROM = 256
@@ -231,7 +233,7 @@ def write_shards(df: DataFrame, path: str, vocabulary: str, end_id: int = 0, id_
     (src.repartitionByRange(partitions, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .mapInArrow(run, f"part int, seq int, start_in_part long, n_tokens long, doc_ids array<{kind}>, lengths array<long>, payload binary")
-        .write.parquet(f"{path}/shards"))
+        .write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size.row.check.min", 1).parquet(f"{path}/shards"))
     # one row per partition, so one task may run over them
     running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     (spark.read.parquet(f"{path}/shards").groupBy("part").agg(F.sum("n_tokens").alias("n"))
