@@ -11,7 +11,7 @@ position, in the same text or another.  The result is exactly the words of all s
    same window of all other texts; all places but the first are cut.  No place is compared with a chosen partner, so a
    frequent line in a passage cannot hide the passage, and a window repeated a thousand times in a text is sent once.
 
-Window hashes have 64 bits.  Documents are identified by id and text: rows that repeat both are one document and are treated alike.  Null
+Window hashes have 64 bits.  Documents are identified by id and a 128-bit digest of the text: rows that repeat both are one document and are treated alike.  Null
 and empty texts have no words and stay as they are.  Null ids sort first.  Other columns pass through ``dedup``.
 """
 
@@ -120,7 +120,7 @@ def _unpack(x: bytes) -> np.ndarray:
 
 
 def _identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.hash(F.col(f"`{text_col}`")).alias("h")).alias("doc"),
+    return df.select(F.struct(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.md5(F.col(f"`{text_col}`")), F.lit("")).alias("h")).alias("doc"),
                      F.col(f"`{text_col}`").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("rest"))
 
 

@@ -86,3 +86,15 @@ def test_copies_of_one_document_and_null_ids(spark, rows):
     body = {c: join(prose(random.Random(c), 60)) for c in "ab"}
     got = line_dedup.dedup(spark.createDataFrame([(i, body[c]) for i, c in rows] + [(9, body["a"])], "doc_id long, text string").repartition(3)).collect()
     assert sorted(len(r.text.split()) for r in got) == [0] + [60] * len(rows)
+
+
+def test_two_texts_of_one_id_and_one_32_bit_hash(spark):
+    """Texts of different length that a short hash takes for one are two documents."""
+    run = join(prose(random.Random(8), 60))
+    many = spark.range(300_000).selectExpr("id", f"concat('{run}', repeat(' x', id % 9), ' t', id) AS t").selectExpr("id", "t", "hash(t) AS h")
+    pairs = many.groupBy("h").agg({"t": "collect_list"}).where("size(`collect_list(t)`) > 1").collect()
+    a, b = next((x, y) for x, y, *_ in (r[1] for r in pairs) if len(x.split()) != len(y.split()))
+    rows = spark.createDataFrame([(None, a), (None, b), (7, a)], "doc_id long, text string").repartition(3)
+    got = line_dedup.dedup(rows).collect()
+    assert sorted(r["__n_words"] for r in got) == sorted(len(t.split()) for t in (a, b, a))
+    assert sorted(r["__n_removed"] for r in got)[0] == 0 and sum(r["__n_removed"] >= 60 for r in got) == 2
