@@ -2,21 +2,19 @@
 
 Folds come from the stable-hash rank (``split.assign_folds``), so every
 model sees the same folds and the assignment can be re-derived in SQL.
-Fits of different (model, fold) pairs are independent Spark jobs and run
-concurrently from a thread pool, as ``CrossValidator(parallelism=...)`` does.
+Fits are independent Spark jobs and run concurrently from a thread pool, as
+``CrossValidator(parallelism=...)`` does; ``search`` does shared work once.
 """
 
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import learners, metrics
+from . import learners, metrics, search
 
 # The imbalance threshold behind the metric choice.
 F1_MINORITY_PCT = 20.0
@@ -50,66 +48,27 @@ class CVRun:
     summary: DataFrame       # (model, zoo_index, candidate, mean_score, std_score)
 
 
-def fold_scores(data: DataFrame, features: list[str], problem_type: str, metric: str,
-                candidates: list[tuple[str, dict]], n_folds: int = 5, label: str = "label",
-                key: list[str] | None = None, parallelism: int = 4, n_classes: int | None = None,
-                resample=None) -> list[tuple[int, int, float]]:
-    """Score every (candidate, fold); ``data`` has a ``fold`` column.
+def fold_scores(data: DataFrame | search.Folds, features: list[str], problem_type: str, metric: str,
+                candidates: list[tuple[str, dict]], label: str = "label", key: list[str] | None = None,
+                parallelism: int = 4, n_classes: int | None = None, resample=None) -> list[tuple[int, int, float]]:
+    """Score every (candidate, fold); ``data`` has a ``fold`` column, or is a set of folds built before.
 
     ``resample(train_df) -> train_df`` runs inside each training fold (so
     synthetic rows never leak into the fold that scores them).
     """
-    if n_classes is None and problem_type == "classification":
-        n_classes = int(data.agg(F.max(label)).first()[0]) + 1
-    counts = {r["fold"]: r["c"] for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("c")).collect()}
-    total = sum(counts.values())
-    # each fold's training rows (resampled inside the fold when asked) are built
-    # once and shared by every candidate; synthetic rows never reach the scoring fold
-    train_sets = {}
-    if resample is not None:
-        def build(f):
-            t = resample(data.where(F.col("fold") != f)).persist(StorageLevel.MEMORY_AND_DISK)
-            return f, t, t.count()
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-            for f, t, n in ex.map(build, range(n_folds)):
-                train_sets[f] = (t, n)
-
-    def run(job):
-        ci, f = job
-        name, params = candidates[ci]
-        if f in train_sets:
-            tr, n_tr = train_sets[f]
-        else:
-            tr, n_tr = data.where(F.col("fold") != f), total - counts.get(f, 0)
-        va = data.where(F.col("fold") == f)
-        p = dict(params)
-        if name == "KNN":
-            p["key"] = key
-        m = learners.fit(name, tr, features, problem_type, label, p, n_rows=n_tr, n_classes=n_classes)
-        return ci, f, evaluate(m.transform(va), metric, label)
-
-    jobs = [(ci, f) for ci in range(len(candidates)) for f in range(n_folds)]
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-            return list(ex.map(run, jobs))
-    finally:
-        for t, _ in train_sets.values():
-            t.unpersist()
-
-
-def cross_validate(data: DataFrame, features: list[str], problem_type: str, metric: str,
+    folds = data if isinstance(data, search.Folds) else search.build_folds(data, features, label, key, resample, parallelism)
+    return search.scores(folds, features, problem_type, metric, candidates, label, key, parallelism, n_classes)
+
+
+def cross_validate(data: DataFrame | search.Folds, features: list[str], problem_type: str, metric: str,
                    names: list[str] | None = None, label: str = "label", key: list[str] | None = None,
                    parallelism: int = 4, n_classes: int | None = None, resample=None) -> CVRun:
     """L4: 5-fold scores per model, mean and population std (4 dp)."""
     names = names or learners.model_names(problem_type)
-    cands = [(n, {}) for n in names]
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        res = fold_scores(data, features, problem_type, metric, cands, label=label, key=key,
-                          parallelism=parallelism, n_classes=n_classes, resample=resample)
-    finally:
-        data.unpersist()
-    return _summarise(data.sparkSession, [(names[ci], ci, 0, f, s) for ci, f, s in res])
+    res = fold_scores(data, features, problem_type, metric, [(n, {}) for n in names], label=label, key=key,
+                      parallelism=parallelism, n_classes=n_classes, resample=resample)
+    spark = (data.rows if isinstance(data, search.Folds) else data).sparkSession
+    return _summarise(spark, [(names[ci], ci, 0, f, s) for ci, f, s in res])
 
 
 def _summarise(spark, rows) -> CVRun:

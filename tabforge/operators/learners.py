@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = 42
+CONSTANT = "_one"       # a feature that is 1 in every row
 MAX_DEPTH = 30          # MLlib's ceiling; stands in for "unlimited"
 CLASSIFIERS = ["Logistic Regression", "Decision Tree", "Random Forest", "Gradient Boosting", "SVM", "KNN",
                "Naive Bayes"]
@@ -37,7 +38,7 @@ def model_names(problem_type: str) -> list[str]:
 
 
 def _assembler(features):
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="error")
 
 
 def _finish_cls(df: DataFrame, n_classes: int) -> DataFrame:
@@ -64,9 +65,12 @@ class Fitted:
         if self.kind == "mllib":
             rff = self.params.get("rff")
             src = df.withColumns(rff_columns(self.features, rff)) if rff else df
+            if self.params.get("solver") == "liblinear":
+                src = src.withColumn(CONSTANT, F.lit(1.0))
             out = self.model.transform(src)
             if rff:
                 out = out.drop(*[f"_rff{j}" for j in range(rff["dim"])])
+            out = out.drop(CONSTANT)
             drop = [c for c in ("features", "rawPrediction") if c in out.columns]
             if self.problem_type == "classification":
                 if "platt" in self.params:
@@ -149,7 +153,8 @@ def mllib_estimator(name: str, problem_type: str, n_rows: int, n_classes: int, p
     cls = problem_type == "classification"
     if name == "Logistic Regression":
         c = float(p.get("C", 1.0))
-        return LogisticRegression(maxIter=1000, regParam=1.0 / (c * max(n_rows, 1)), standardization=False)
+        own = p.get("solver") == "liblinear"  # two classes only; penalises the intercept too: it is the weight of CONSTANT
+        return LogisticRegression(maxIter=1000, regParam=1.0 / (c * max(n_rows, 1)), standardization=False, fitIntercept=not own)
     if name == "Linear Regression":
         return LinearRegression(regParam=0.0, solver="normal")
     if name == "Decision Tree":
@@ -196,6 +201,14 @@ def fit(name: str, train: DataFrame, features: list[str], problem_type: str, lab
     est = mllib_estimator(name, problem_type, n_rows, n_classes, params)
     fitted_params = dict(params or {})
     in_cols = list(features)
+    if name == "Logistic Regression" and fitted_params.get("solver") == "liblinear":
+        if n_classes > 2:
+            raise ValueError("the liblinear solver takes two classes")
+        in_cols.append(CONSTANT)
+        # every row again with all signs turned: the same loss, and CONSTANT varies (MLlib gives constant features no weight)
+        x = [F.col(f).cast("double") for f in features]
+        train = (train.select(F.col(label).cast("double").alias(label), *[c.alias(f) for f, c in zip(features, x)], F.lit(1.0).alias(CONSTANT))
+                 .unionAll(train.select(1 - F.col(label), *[-c for c in x], F.lit(-1.0))))
     if name == "SVM" and (params or {}).get("kernel", "rbf") == "rbf":
         # the RBF kernel through an explicit random feature map, then a linear model
         rff = rff_params(features, _gamma(train, features, (params or {}).get("gamma", "scale")))
@@ -231,24 +244,37 @@ def gnb_fit(train: DataFrame, features: list[str], label: str = "label", var_smo
     epsilon = var_smoothing * the largest per-feature variance over all rows,
     which follows from the per-class moments without another pass.
     """
-    g = train.groupBy(F.col(label).cast("double").alias("cls")).agg(
+    return gnb_from_moments(gnb_moments(train, features, label)[None], features, var_smoothing, n_classes)
+
+
+def gnb_moments(train: DataFrame, features: list[str], label: str = "label", by: str | None = None) -> dict:
+    """Count, means and population variances per class, within each value of ``by`` (None without it)."""
+    of = F.col(by) if by else F.lit(None).cast("int")
+    g = train.groupBy(of.alias("of"), F.col(label).cast("double").alias("cls")).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(features)],
         *[F.var_pop(F.col(c).cast("double")).alias(f"v{i}") for i, c in enumerate(features)])
-    rows = sorted(g.collect(), key=lambda r: r["cls"])          # one row per class
-    n = sum(r["n"] for r in rows)
+    out: dict = {}
+    for r in sorted(g.collect(), key=lambda r: r["cls"]):          # one row per class (and fold)
+        out.setdefault(r["of"], []).append({"cls": r["cls"], "n": r["n"], "mean": [r[f"m{i}"] for i in range(len(features))],
+                                            "var": [r[f"v{i}"] for i in range(len(features))]})
+    return out
+
+
+def gnb_from_moments(moments: list[dict], features: list[str], var_smoothing: float = 1e-9, n_classes: int | None = None) -> Fitted:
+    """The model of these per-class moments; any smoothing follows from the same moments."""
+    n = sum(m["n"] for m in moments)
     tot_var = []
     for i in range(len(features)):
-        mu = sum(r["n"] * r[f"m{i}"] for r in rows) / n
-        tot_var.append(sum(r["n"] * (r[f"v{i}"] + (r[f"m{i}"] - mu) ** 2) for r in rows) / n)
+        mu = sum(m["n"] * m["mean"][i] for m in moments) / n
+        tot_var.append(sum(m["n"] * (m["var"][i] + (m["mean"][i] - mu) ** 2) for m in moments) / n)
     eps = var_smoothing * max(tot_var)
     classes = []
-    for r in rows:
-        var = [r[f"v{i}"] + eps for i in range(len(features))]
-        mean = [r[f"m{i}"] for i in range(len(features))]
-        const = math.log(r["n"] / n) - 0.5 * sum(math.log(2 * math.pi * v) for v in var)
-        classes.append({"cls": r["cls"], "mean": mean, "var": var, "const": const})
-    nc = max(n_classes or 0, int(max(r["cls"] for r in rows)) + 1)
+    for m in moments:
+        var = [v + eps for v in m["var"]]
+        const = math.log(m["n"] / n) - 0.5 * sum(math.log(2 * math.pi * v) for v in var)
+        classes.append({"cls": m["cls"], "mean": m["mean"], "var": var, "const": const})
+    nc = max(n_classes or 0, int(max(m["cls"] for m in moments)) + 1)
     return Fitted("Naive Bayes", "classification", list(features), "gnb",
                   params={"classes": classes, "var_smoothing": var_smoothing}, n_classes=nc)
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 ROC_BUCKETS = 4096
 
 
-def pair_counts(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    return (pred.groupBy(F.col(label).cast("double").alias("actual"),
+def pair_counts(pred: DataFrame, label: str = "label", prediction: str = "prediction", by: tuple | list = ()) -> DataFrame:
+    return (pred.groupBy(*by, F.col(label).cast("double").alias("actual"),
                          F.col(prediction).cast("double").alias("predicted"))
                 .agg(F.count(F.lit(1)).alias("count")))
 
@@ -36,29 +36,29 @@ def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "p
             .select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
 
-def per_class(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """M6: precision, recall, f1 and support per class (0 where undefined)."""
-    pc = pair_counts(pred, label, prediction)
-    a = pc.groupBy(F.col("actual").alias("cls")).agg(F.sum("count").alias("support"),
+def per_class(pred: DataFrame, label: str = "label", prediction: str = "prediction", by: tuple | list = ()) -> DataFrame:
+    """M6: precision, recall, f1 and support per class (0 where undefined), within each group of ``by``."""
+    pc = pair_counts(pred, label, prediction, by)
+    a = pc.groupBy(*by, F.col("actual").alias("cls")).agg(F.sum("count").alias("support"),
                                                      F.sum(F.when(F.col("actual") == F.col("predicted"),
                                                                   F.col("count")).otherwise(0)).alias("tp"))
-    p = pc.groupBy(F.col("predicted").alias("cls")).agg(F.sum("count").alias("n_pred"))
-    t = a.join(p, "cls", "full").fillna(0, ["support", "tp", "n_pred"])
+    p = pc.groupBy(*by, F.col("predicted").alias("cls")).agg(F.sum("count").alias("n_pred"))
+    t = a.join(p, [*by, "cls"], "full").fillna(0, ["support", "tp", "n_pred"])
     prec = F.coalesce(F.try_divide(F.col("tp"), F.col("n_pred")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
     t = t.withColumn("precision", prec.cast("double")).withColumn("recall", rec.cast("double"))
     f1 = F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")),
                     F.lit(0.0))
-    return t.withColumn("f1", f1).select(F.col("cls").alias("class"), "precision", "recall", "f1",
+    return t.withColumn("f1", f1).select(*by, F.col("cls").alias("class"), "precision", "recall", "f1",
                                          F.col("support").cast("bigint"))
 
 
 def classification_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
-                           positive: float = 1.0) -> DataFrame:
-    """M1-M4: accuracy, weighted precision/recall/F1, macro F1 and binary F1 (one row)."""
-    pc = per_class(pred, label, prediction)
+                           positive: float = 1.0, by: tuple | list = ()) -> DataFrame:
+    """M1-M4: accuracy, weighted precision/recall/F1, macro F1 and binary F1 (one row, or one per group of ``by``)."""
+    pc = per_class(pred, label, prediction, by)
     tot = F.sum("support")
-    return pc.agg(
+    return pc.groupBy(*by).agg(
         F.try_divide(F.sum(F.col("recall") * F.col("support")), tot).alias("accuracy"),
         F.try_divide(F.sum(F.col("precision") * F.col("support")), tot).alias("precision"),
         F.try_divide(F.sum(F.col("recall") * F.col("support")), tot).alias("recall"),
@@ -67,14 +67,14 @@ def classification_metrics(pred: DataFrame, label: str = "label", prediction: st
         F.coalesce(F.max(F.when(F.col("class") == positive, F.col("f1"))), F.lit(0.0)).alias("f1_binary"))
 
 
-def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
+def regression_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction", by: tuple | list = ()) -> DataFrame:
     """Mae, mse, rmse, r2 in one aggregation (r2: 1 if perfect on a constant target, else 0)."""
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    a = pred.agg(F.avg(F.abs(y - p)).alias("mae"), F.avg((y - p) ** 2).alias("mse"),
+    a = pred.groupBy(*by).agg(F.avg(F.abs(y - p)).alias("mae"), F.avg((y - p) ** 2).alias("mse"),
                  F.sum((y - p) ** 2).alias("ss_res"), (F.var_pop(y) * F.count(y)).alias("ss_tot"))
     r2 = (F.when(F.col("ss_tot") == 0, F.when(F.col("ss_res") == 0, 1.0).otherwise(0.0))
            .otherwise(1 - F.col("ss_res") / F.col("ss_tot")))
-    return a.select("mae", "mse", F.sqrt("mse").alias("rmse"), r2.alias("r2"))
+    return a.select(*by, "mae", "mse", F.sqrt("mse").alias("rmse"), r2.alias("r2"))
 
 
 def _score_table(pred: DataFrame, label: str, score: str, buckets: int) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import hashlib
 import itertools
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import SEED
 from .cv import _summarise, fold_scores
+from .search import Folds, build_folds
 
 RANDOM_ITER = 20
 
@@ -74,7 +74,9 @@ def tune_model(name: str, data: DataFrame, features: list[str], problem_type: st
     as the score (the reference reports 0.0 there).
     """
     combos, _ = candidates_for(name, problem_type)
-    spark = data.sparkSession
+    if n_classes is not None and n_classes > 2:  # that solver takes two classes, so its rows would repeat the other's
+        combos = [c for c in combos if c.get("solver") != "liblinear"]
+    spark = (data.rows if isinstance(data, Folds) else data).sparkSession
     if not combos or combos == [{}]:
         score = cv_mean if cv_mean is not None else 0.0
         t = spark.createDataFrame([(name, 0, "{}", float(score))],
@@ -95,18 +97,16 @@ def run_tuning(data: DataFrame, features: list[str], problem_type: str, metric:
                label: str = "label", key=None, parallelism: int = 4, n_classes=None,
                cv_means: dict | None = None, resample=None):
     """Tune each of the top models; best = first maximum of the tuned score."""
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    if not isinstance(data, Folds):
+        data = build_folds(data, features, label, key, resample, parallelism)  # once for all models
     results, tables = {}, []
-    try:
-        for name in top:
-            if name not in param_grids(problem_type):
-                continue
-            p, s, t = tune_model(name, data, features, problem_type, metric, label, key, parallelism, n_classes,
-                                 (cv_means or {}).get(name), resample)
-            results[name] = {"best_params": p, "best_score": s}
-            tables.append(t)
-    finally:
-        data.unpersist()
+    for name in top:
+        if name not in param_grids(problem_type):
+            continue
+        p, s, t = tune_model(name, data, features, problem_type, metric, label, key, parallelism, n_classes,
+                             (cv_means or {}).get(name))
+        results[name] = {"best_params": p, "best_score": s}
+        tables.append(t)
     best = max(results, key=lambda n: results[n]["best_score"]) if results else None
     allt = tables[0]
     for t in tables[1:]:

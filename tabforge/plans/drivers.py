@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import clean, cv, eda, importance, learners, metrics, resample, scale, schema, select, split
+from ..operators import clean, cv, eda, importance, learners, metrics, resample, scale, schema, search, select, split
 from ..operators import quality as qual
 from ..operators import tune as tuning
 
@@ -126,8 +126,9 @@ def train_models(prep: Prepared, names: list[str] | None = None, parallelism: in
     metric = cv.scoring_metric(tr, "label", prep.problem_type)
     strata = "label" if prep.problem_type == "classification" else None
     trf = split.assign_folds(tr, [KEY], strata)
-    run = cv.cross_validate(trf, prep.features, prep.problem_type, metric, names, key=[KEY],
-                            parallelism=parallelism, n_classes=prep.n_classes, resample=_resampler(prep))
+    folds = search.build_folds(trf, prep.features, key=[KEY], resample=_resampler(prep), parallelism=parallelism)
+    run = cv.cross_validate(folds, prep.features, prep.problem_type, metric, names, key=[KEY],
+                            parallelism=parallelism, n_classes=prep.n_classes)
     board = cv.leaderboard(run.summary)
     best = cv.top_models(board, 1)[0]
     final_train = _resampler(prep)(tr) if prep.problem_type == "classification" else tr
@@ -135,7 +136,7 @@ def train_models(prep: Prepared, names: list[str] | None = None, parallelism: in
                          n_classes=prep.n_classes)
     test_metrics = cv.holdout_metrics(model.transform(te), prep.problem_type)
     return {"metric": metric, "cv": run, "leaderboard": board, "best": best, "model": model,
-            "test_metrics": test_metrics, "folds": trf}
+            "test_metrics": test_metrics, "folds": folds}
 
 
 def tune_top(prep: Prepared, trained: dict, top_n: int = 3, parallelism: int = 4):
@@ -145,7 +146,7 @@ def tune_top(prep: Prepared, trained: dict, top_n: int = 3, parallelism: int = 4
     means = {r["model"]: r["mean_score"] for r in board.collect()}
     best, results, table = tuning.run_tuning(trained["folds"], prep.features, prep.problem_type, trained["metric"],
                                              top, key=[KEY], parallelism=parallelism, n_classes=prep.n_classes,
-                                             cv_means=means, resample=_resampler(prep))
+                                             cv_means=means)
     tr = prep.data.where(~F.col("is_test")).drop("is_test")
     final_train = _resampler(prep)(tr) if prep.problem_type == "classification" else tr
     params = dict(results[best]["best_params"])
@@ -190,16 +191,16 @@ def explain(model, prep: Prepared) -> dict:
 
 def run_all(df: DataFrame, target: str, key: list[str], model_dir: str | None = None,
             names: list[str] | None = None, tune: bool = True, parallelism: int = 4,
-            prep: Prepared | None = None, trained: dict | None = None) -> dict:
+            prep: Prepared | None = None, trained: dict | None = None, tuned: dict | None = None) -> dict:
     """Ingest -> quality -> EDA -> preprocess -> train -> tune -> evaluate ->
-    importance -> save -> report tables.  ``prep`` / ``trained`` reuse earlier stages."""
+    importance -> save -> report tables.  ``prep`` / ``trained`` / ``tuned`` reuse earlier stages."""
     from ..operators import report
     typed, kinds, problem = schema.ingest_frame(df, target)
     q = qual.run_quality_check(typed, kinds, target, problem)
     e = run_eda(typed, kinds, target, problem)
     prep = prep or preprocess(typed, target, key, kinds, problem)
     tr = trained or train_models(prep, names, parallelism)
-    tu = tune_top(prep, tr, parallelism=parallelism) if tune else None
+    tu = tuned or (tune_top(prep, tr, parallelism=parallelism) if tune else None)
     model = tu["model"] if tu else tr["model"]
     ev = evaluate(model, prep)
     ex = explain(model, prep)

@@ -49,11 +49,16 @@ def _imb_train(spark, sf_dir):
                    lambda: drivers.train_models(_imb_prep(spark, sf_dir), parallelism=PARALLELISM))
 
 
+def _imb_tune(spark, sf_dir):
+    return _cached("imb_tune", spark, sf_dir,
+                   lambda: drivers.tune_top(_imb_prep(spark, sf_dir), _imb_train(spark, sf_dir), parallelism=PARALLELISM))
+
+
 def _imb_run(spark, sf_dir):
     def b():
         return drivers.run_all(_imb_raw(spark, sf_dir), "toxic", ["doc_id"],
                                model_dir=scratch_path(spark, "model-run"), parallelism=PARALLELISM,
-                               prep=_imb_prep(spark, sf_dir), trained=_imb_train(spark, sf_dir))
+                               prep=_imb_prep(spark, sf_dir), trained=_imb_train(spark, sf_dir), tuned=_imb_tune(spark, sf_dir))
     return _cached("imb_run", spark, sf_dir, b)
 
 
@@ -168,7 +173,7 @@ def l11_tune_naive_bayes(spark, sf_dir):
 
 @query("l12_tuning_top3")
 def l12_tuning_top3(spark, sf_dir):
-    r = _imb_run(spark, sf_dir)["tuning"]
+    r = _imb_tune(spark, sf_dir)
     rows = [(n, float(v["best_score"]), str(v["best_params"]), n == r["best"]) for n, v in r["results"].items()]
     return spark.createDataFrame(rows, "model string, best_score double, best_params string, is_best boolean")
 
@@ -176,7 +181,7 @@ def l12_tuning_top3(spark, sf_dir):
 # ---- M12 / I1-I5 ---------------------------------------------------------------------
 @query("m12_evaluation")
 def m12_evaluation(spark, sf_dir):
-    return finish(_imb_run(spark, sf_dir)["evaluation"]["metrics"])
+    return finish(drivers.evaluate(_imb_tune(spark, sf_dir)["model"], _imb_prep(spark, sf_dir))["metrics"])
 
 
 @query("i1_tree_importance")
@@ -213,7 +218,7 @@ def i3_permutation_importance(spark, sf_dir):
 
 @query("i5_importance_summary")
 def i5_importance_summary(spark, sf_dir):
-    ex = _imb_run(spark, sf_dir)["importance"]
+    ex = drivers.explain(_imb_tune(spark, sf_dir)["model"], _imb_prep(spark, sf_dir))
     return spark.createDataFrame([(ex["summary"],)], "summary string")
 
 
