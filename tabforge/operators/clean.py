@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .eda import EXACT_QUANTILE_MAX_DISTINCT, APPROX_ACCURACY
+from .ranks import quantiles
 
 # Fixed values of the column rules.
 MAX_MISSING_PCT = 70.0
@@ -61,8 +61,7 @@ def fit_impute(df: DataFrame, kinds: dict[str, str], cols: list[str], every: boo
     """X1/X2 (A12, A13): median for numeric, smallest mode for categorical.
 
     Only columns that have nulls get a value, with ``every`` all of them (so rows scored later may have nulls
-    where training had none).  The median is exact while the
-    column's distinct count is bounded, approximate beyond.
+    where training had none).  Both are exact at any size.
     """
     if not cols:
         return {}
@@ -78,13 +77,10 @@ def fit_impute(df: DataFrame, kinds: dict[str, str], cols: list[str], every: boo
             top = df.where(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c).first()
             wide[c] = top[c] if top else None
             continue
-        if kinds.get(c) == "numerical":
-            x = F.col(c).cast("double")
-            agg = (F.median(x) if a[f"d{i}"] <= EXACT_QUANTILE_MAX_DISTINCT
-                   else F.percentile_approx(x, 0.5, APPROX_ACCURACY))
-        else:
-            agg = F.mode(F.col(c), deterministic=True)
-        aggs.append(agg.alias(f"v{i}"))
+        if kinds.get(c) != "numerical":
+            aggs.append(F.mode(F.col(c), deterministic=True).alias(f"v{i}"))
+    medians = quantiles(df, [c for _, c in need if kinds.get(c) == "numerical"], [0.5])
+    wide |= {c: q[0] if q else None for c, q in medians.items()}
     r = df.agg(*aggs).first() if aggs else {}
     return {c: wide[c] if c in wide else r[f"v{i}"] for i, c in need}
 

@@ -14,14 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import round_half_even
 from . import quality as qual
+from .ranks import quantiles
 
 HIST_BINS = 30
 KDE_GRID = 200
 WHIS = 1.5
-# Spark's exact percentile keeps one map entry per distinct value; above this
-# many distinct values per column we switch to the approximate digest.
-EXACT_QUANTILE_MAX_DISTINCT = 1_000_000
-APPROX_ACCURACY = 100_000
 
 
 def _long(items: list[tuple[int, str, Column]], value_name: str = "value") -> Column:
@@ -174,31 +171,9 @@ def kde(df: DataFrame, col: str, grid: int = KDE_GRID, bins: int = HIST_BINS) ->
         for k, p in enumerate(pts)])))
 
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], exact: bool | None = None) -> dict:
-    """Linear-interpolated quantiles per column (numpy rule).
-
-    ``exact=None`` picks per column: exact ``percentile`` when the column has
-    at most EXACT_QUANTILE_MAX_DISTINCT values (bounded memory), else
-    ``percentile_approx``.
-    """
-    if exact is None:
-        d = df.agg(*[F.approx_count_distinct(c, 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-        modes = [d[f"d{i}"] <= EXACT_QUANTILE_MAX_DISTINCT for i in range(len(cols))]
-    else:
-        modes = [exact] * len(cols)
-    arr = F.array(*[F.lit(p) for p in probs])
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs.append((F.percentile(x, arr) if modes[i] else
-                     F.percentile_approx(x, arr, APPROX_ACCURACY)).alias(f"q{i}"))
-    r = df.agg(*aggs).first()
-    return {c: r[f"q{i}"] for i, c in enumerate(cols)}
-
-
-def box_stats(df: DataFrame, cols: list[str], exact: bool | None = None) -> DataFrame:
+def box_stats(df: DataFrame, cols: list[str]) -> DataFrame:
     """Quartiles, whiskers at the last points within 1.5 IQR, flier count."""
-    qs = quantiles(df, cols, [0.25, 0.5, 0.75], exact)
+    qs = quantiles(df, cols, [0.25, 0.5, 0.75])
     aggs = []
     for i, c in enumerate(cols):
         q = qs[c]
@@ -226,9 +201,9 @@ def box_stats(df: DataFrame, cols: list[str], exact: bool | None = None) -> Data
     return a.select(F.inline(F.array(*structs)))
 
 
-def box_fliers(df: DataFrame, cols: list[str], exact: bool | None = None) -> DataFrame:
+def box_fliers(df: DataFrame, cols: list[str]) -> DataFrame:
     """Every value outside the whiskers' fences with its count, per column (one scan after the quartiles)."""
-    qs = quantiles(df, cols, [0.25, 0.75], exact)
+    qs = quantiles(df, cols, [0.25, 0.75])
     found = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .eda import quantiles
+from .ranks import quantiles
 
 
-def fit_robust(train: DataFrame, features: list[str], exact: bool | None = None) -> dict[str, tuple[float, float]]:
+def fit_robust(train: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
     """Median and IQR per feature; a zero IQR scales by 1."""
-    q = quantiles(train, features, [0.25, 0.5, 0.75], exact)
+    q = quantiles(train, features, [0.25, 0.5, 0.75])
     out = {}
     for f in features:
         q1, med, q3 = q[f] if q[f] is not None else (0.0, 0.0, 1.0)

@@ -154,7 +154,7 @@ FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS med, qua
 
 @query("a20_box_stats", sql=fixture_cte("fx_regression") + _box_sql("fx_regression", REG_NUM))
 def a20_box_stats(spark, sf_dir):
-    return finish(eda.box_stats(_reg(spark, sf_dir), REG_NUM, exact=True))
+    return finish(eda.box_stats(_reg(spark, sf_dir), REG_NUM))
 
 
 def _fliers_sql(src, cols):
@@ -168,7 +168,7 @@ _FLIER_COLS = ["user_id", "value"]
 
 @query("a20_box_fliers", sql=_fliers_sql("events", _FLIER_COLS))
 def a20_box_fliers(spark, sf_dir):
-    return finish(eda.box_fliers(Tables(spark, sf_dir).events.select(*_FLIER_COLS), _FLIER_COLS, exact=True))
+    return finish(eda.box_fliers(Tables(spark, sf_dir).events.select(*_FLIER_COLS), _FLIER_COLS))
 
 
 # ---- A21: EDA driver (all tables, long form) --------------------------------

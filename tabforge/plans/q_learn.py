@@ -194,7 +194,7 @@ SELECT {KEY_SQL}, {', '.join(f'round(({c} - m{i}) / CASE WHEN b{i} - a{i} = 0 TH
 FROM sp, q""")
 def x10_robust_scale(spark, sf_dir):
     d = split.split(fixture(Tables(spark, sf_dir), "fx_regression").select(*LINEITEM_KEY, *_SC), LINEITEM_KEY, None)
-    p = scale.fit_robust(d.where(~F.col("is_test")), _SC, exact=True)
+    p = scale.fit_robust(d.where(~F.col("is_test")), _SC)
     return finish(scale.apply_robust(d, p).select(*LINEITEM_KEY, *_SC))
 
 
