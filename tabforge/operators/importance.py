@@ -1,10 +1,11 @@
 """Feature importance.
 
 Permutation importance is one Spark job, not features x repeats jobs: the
-test rows are replicated per (feature, repeat); inside each replica the
-feature column is replaced through an equi-join on a permuted row index
-(computed arithmetically, no sort); the model scores all replicas in one
-``transform`` and a grouped aggregation yields every score at once.
+test rows are replicated per repeat and meet a donor row through an equi-join
+on a permuted row index (computed arithmetically, no sort); only after the join
+a projection makes one variant per feature, with that feature taken from the
+donor.  The model scores all variants in one ``transform`` and a grouped
+aggregation yields every score at once.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import SEED
+from ..session import scratch_path
 from .split import rank_within
 
 N_REPEATS = 10
@@ -70,7 +72,7 @@ PERM_PRIMES = _primes(1_000_003, 256)
 
 
 def replica_params(n_replicas: int, seed=SEED) -> list[tuple[int, int, int, int]]:
-    """Per replica s: three candidate primes and a raw offset, all from md5(s|seed)."""
+    """Per repeat s: three candidate primes and a raw offset, all from md5(s|seed)."""
     import hashlib
     out = []
     for s in range(n_replicas):
@@ -84,34 +86,30 @@ def permutation_importance(model, test: DataFrame, features: list[str], key: lis
                            label: str = "label", n_repeats: int = N_REPEATS, seed=SEED) -> DataFrame:
     """Mean and population std of (baseline - permuted score) per feature.
 
-    Rows get an index i in [0, n) by hash rank.  Replica s = (feature, repeat)
-    gives row i the feature value of row (p_s * i + b_s) mod n, where p_s is a
-    prime not dividing n: a bijection, so each value is used exactly once.
+    Rows get an index i in [0, n) by hash rank.  In repeat r row i takes its
+    permuted values from row (p_r * i + b_r) mod n, where p_r is a prime not
+    dividing n: a bijection, so each value is used exactly once.
     """
     spark = test.sparkSession
-    base = test.select(*key, *features, label)
-    n = base.count()
-    base_score = _grouped_score(model.transform(base).withColumn("_g", F.lit(0)), problem_type, ["_g"],
-                                label).first()["score"]
-    idx = rank_within(base, key, None, seed, "perm-base", n, "_r").withColumn("_i", F.col("_r") - 1).drop("_r")
-    n_rep = len(features) * n_repeats
+    path = scratch_path(spark, "permutation")
+    (rank_within(test.select(*key, *features, label), key, None, seed, "perm-base", None, "_r")
+     .select((F.col("_r") - 1).alias("_i"), *key, *[F.col(f).cast("double").alias(f) for f in features if f not in key], label).write.parquet(path))
+    idx = spark.read.parquet(path)
+    n = idx.count()
+    base_score = _grouped_score(model.transform(idx).withColumn("_g", F.lit(0)), problem_type, ["_g"], label).first()["score"]
     structs = []
-    for sidx, (p1, p2, p3, braw) in enumerate(replica_params(n_rep, seed)):
+    for r, (p1, p2, p3, braw) in enumerate(replica_params(n_repeats, seed)):
         p = next(q for q in (p1, p2, p3) if n % q != 0)
-        structs.append(F.struct(F.lit(sidx // n_repeats).alias("_f"), F.lit(sidx % n_repeats).alias("_r"),
-                                F.lit(p).cast("decimal(38,0)").alias("_p"),
-                                F.lit(braw % n).cast("decimal(38,0)").alias("_b")))
-    rep = idx.withColumn("_fr", F.explode(F.array(*structs))).select("*", "_fr.*").drop("_fr")
-    donor_idx = F.pmod(F.col("_p") * F.col("_i").cast("decimal(38,0)") + F.col("_b"),
-                       F.lit(n).cast("decimal(38,0)")).cast("bigint")
-    rep = rep.withColumn("_j", donor_idx).drop("_p", "_b")
-    donor = idx.select(F.col("_i").alias("_j"), F.array(*[F.col(f).cast("double") for f in features]).alias("_vals"))
-    j = rep.join(donor, "_j")
-    permuted = j.withColumns({f: F.when(F.col("_f") == fi, F.element_at("_vals", fi + 1))
-                              .otherwise(F.col(f).cast("double")) for fi, f in enumerate(features)}) \
-                .drop("_vals", "_i", "_j")
-    scored = model.transform(permuted)
-    s = _grouped_score(scored, problem_type, ["_f", "_r"], label)
+        structs.append(F.struct(F.lit(r).alias("_r"), F.lit(p).cast("decimal(38,0)").alias("_p"), F.lit(braw % n).cast("decimal(38,0)").alias("_b")))
+    values = F.array(*[F.col(f).cast("double") for f in features])
+    rep = idx.select("_i", *key, label, values.alias("_own"), F.explode(F.array(*structs)).alias("_s"))
+    donor_idx = F.pmod(F.col("_s._p") * F.col("_i").cast("decimal(38,0)") + F.col("_s._b"), F.lit(n).cast("decimal(38,0)")).cast("bigint")
+    rep = rep.select(*key, label, "_own", F.col("_s._r").alias("_r"), donor_idx.alias("_j"))
+    j = rep.join(idx.select(F.col("_i").alias("_j"), values.alias("_vals")), "_j")
+    variants = j.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
+    permuted = variants.select(*key, label, "_f", "_r", *[F.when(F.col("_f") == i, F.col("_vals")[i]).otherwise(F.col("_own")[i]).alias(f)
+                                                          for i, f in enumerate(features) if f not in key])
+    s = _grouped_score(model.transform(permuted), problem_type, ["_f", "_r"], label)
     imp = s.withColumn("drop", F.lit(base_score) - F.col("score"))
     a = imp.groupBy("_f").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))
     names = F.array(*[F.lit(f) for f in features])

@@ -228,14 +228,13 @@ def _perm_sql(feats=BIN_FEATS, repeats=10):
     from ..operators.importance import replica_params
     n = len(feats)
     base_h = hash_hex_sql(LINEITEM_KEY, 42, "perm-base")
-    params = ", ".join(f"({sidx}, {sidx // repeats}, {sidx % repeats}, {p1}, {p2}, {p3}, {braw})"
-                       for sidx, (p1, p2, p3, braw) in enumerate(replica_params(n * repeats)))
+    params = ", ".join(f"({r}, {p1}, {p2}, {p3}, {braw})" for r, (p1, p2, p3, braw) in enumerate(replica_params(repeats)))
     pick = ", ".join(f"CASE WHEN r._f = {i} THEN d.{f} ELSE r.{f} END AS {f}" for i, f in enumerate(feats))
     q = " + ".join(f"pow(x.{f} - cl.m{i}, 2) / cl.s{i}" for i, f in enumerate(feats))
     return _gnb_sql(feats) + f""", idx AS (SELECT *, row_number() OVER (ORDER BY {base_h}) - 1 AS _i FROM te),
 nn AS (SELECT count(*) AS n FROM te),
-combos AS (SELECT _s, _f, _r, CASE WHEN n % p1 <> 0 THEN p1 WHEN n % p2 <> 0 THEN p2 ELSE p3 END AS _p, braw % n AS _b
-           FROM (VALUES {params}) v(_s, _f, _r, p1, p2, p3, braw), nn),
+combos AS (SELECT _f, _r, CASE WHEN n % p1 <> 0 THEN p1 WHEN n % p2 <> 0 THEN p2 ELSE p3 END AS _p, braw % n AS _b
+           FROM (VALUES {params}) v(_r, p1, p2, p3, braw), range({n}) w(_f), nn),
 rep AS (SELECT idx.*, combos._f, combos._r, CAST((CAST(combos._p AS HUGEINT) * idx._i + combos._b) % nn.n AS BIGINT) AS _j
         FROM idx, combos, nn),
 perm AS (SELECT r._i, r.label, r._f, r._r, {pick} FROM rep r JOIN idx d ON r._j = d._i),
