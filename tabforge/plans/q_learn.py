@@ -9,7 +9,7 @@ from ..sources.fixtures import LINEITEM_KEY, fixture, fixture_cte
 from ..sources.tables import Tables
 from .catalog import finish, query, sig, sig_sql
 from .q_prep import BIN_FEATS, KEY_SQL, encoded, encoded_sql
-from .sqlgen import lit, union_all
+from .sqlgen import least_squares_sql, lit, union_all
 
 
 # ---- shared: fx_binary split + Gaussian naive Bayes predictions --------------
@@ -106,25 +106,26 @@ def m8_roc_auc(spark, sf_dir):
     return finish(metrics.roc_auc(_gnb_pred(spark, sf_dir)))
 
 
-# ---- one-feature linear regression and regression metrics ------------------
+# ---- linear regression on all features and regression metrics ----------------
 def _lin_pred(spark, sf_dir):
-    t = Tables(spark, sf_dir)
-    d = fixture(t, "fx_regression").select(*LINEITEM_KEY, "l_extendedprice", F.col("net").alias("label"))
+    out, feats, _ = encoded(spark, sf_dir, "fx_regression")
+    d = out.select(*LINEITEM_KEY, *[f for f in feats if f not in LINEITEM_KEY], "label")
     d = split.split(d, LINEITEM_KEY, None)
-    m = learners.fit("Linear Regression", d.where(~F.col("is_test")), ["l_extendedprice"], "regression")
+    m = learners.fit("Linear Regression", d.where(~F.col("is_test")), feats, "regression")
     return m.transform(d.where("is_test"))
 
 
-_LIN_SQL = fixture_cte("fx_regression") + f""", sp AS {split.split_sql('(SELECT ' + KEY_SQL + ', l_extendedprice, net AS label FROM fx_regression)', LINEITEM_KEY, None)},
-co AS (SELECT regr_slope(label, l_extendedprice) AS b, regr_intercept(label, l_extendedprice) AS a FROM sp WHERE NOT is_test),
-pred AS (SELECT {KEY_SQL}, label, a + b * l_extendedprice AS prediction FROM sp, co WHERE is_test)
-"""
+_LIN_SQL = (encoded_sql("fx_regression").rstrip() + f", sp AS {split.split_sql('enc', LINEITEM_KEY, None)},\n"
+            + least_squares_sql("(SELECT * FROM sp WHERE NOT is_test)", BIN_FEATS, "label") + f""",
+pred AS (SELECT {KEY_SQL}, label, {' + '.join(f'c{i} * ({f} - m{i})' for i, f in enumerate(BIN_FEATS))} + my AS prediction
+         FROM sp, coef, centre WHERE is_test)
+""")
 
 
-@query("l3b_linear_regression", sql=_LIN_SQL + f"SELECT {KEY_SQL}, round(label, 6) AS label, {sig_sql('prediction', 9)} AS prediction FROM pred")
+@query("l3b_linear_regression", sql=_LIN_SQL + f"SELECT {KEY_SQL}, round(label, 6) AS label, {sig_sql('prediction', 7)} AS prediction FROM pred")
 def l3b_linear_regression(spark, sf_dir):
     p = _lin_pred(spark, sf_dir)
-    return finish(p.select(*LINEITEM_KEY, "label", sig(F.col("prediction"), 9).alias("prediction")))
+    return finish(p.select(*LINEITEM_KEY, "label", sig(F.col("prediction"), 7).alias("prediction")))
 
 
 @query("m10_regression_metrics", sql=_LIN_SQL + f"""
@@ -147,10 +148,10 @@ def m11_pred_vs_actual(spark, sf_dir):
 
 
 @query("m11_prediction_pairs", sql=_LIN_SQL + """
-SELECT round(label, 6) AS actual, """ + sig_sql("prediction", 9) + """ AS predicted, count(*) AS n FROM pred GROUP BY label, prediction""")
+SELECT round(label, 6) AS actual, """ + sig_sql("prediction", 7) + """ AS predicted, count(*) AS n FROM pred GROUP BY label, prediction""")
 def m11_prediction_pairs(spark, sf_dir):
     p = metrics.prediction_pairs(_lin_pred(spark, sf_dir))
-    return finish(p.withColumn("predicted", sig(F.col("predicted"), 9)))
+    return finish(p.withColumn("predicted", sig(F.col("predicted"), 7)))
 
 
 # ---- J4 / L3h: exact neighbours on the embeddings ---------------------------

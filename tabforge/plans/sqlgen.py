@@ -82,3 +82,26 @@ def outliers_sql(src: str, cols: list[str]) -> str:
         CASE WHEN {pct} > 10 THEN 'WARNING: ''' || column_name || ''' has ' || {o} || ' outliers (' || printf('%.1f', {pct}) || '%).'
              WHEN outliers > 0 THEN 'INFO: ''' || column_name || ''' has ' || {o} || ' outliers.' END AS message
       FROM l)"""
+
+
+def least_squares_sql(src: str, features: list[str], target: str) -> str:
+    """CTEs ``centre`` (m0.., my) and ``coef`` (c0..): the normal equations of the centred columns, solved by elimination.
+
+    The prediction is my + sum c_i * (x_i - m_i)."""
+    k = len(features)
+    cols = [*features, target]
+    name = [*[f"m{i}" for i in range(k)], "my"]
+    out = [f"centre AS (SELECT {', '.join(f'avg({c}) AS {n}' for c, n in zip(cols, name))} FROM {src})"]
+    sums = ", ".join(f"sum(({cols[i]} - {name[i]}) * ({cols[j]} - {name[j]})) AS a{i}_{j}" for i in range(k) for j in range(i, k + 1))
+    out.append(f"e0 AS (SELECT {sums} FROM {src}, centre)")
+    for p in range(1, k):  # row p - 1 leaves the rows below it, which stay symmetric
+        rows = [f"a{i}_{j} - a{p - 1}_{i} * a{p - 1}_{j} / a{p - 1}_{p - 1} AS a{i}_{j}" for i in range(p, k) for j in range(i, k + 1)]
+        kept = [f"a{i}_{j}" for i in range(p) for j in range(i, k + 1)]
+        out.append(f"e{p} AS (SELECT {', '.join(kept + rows)} FROM e{p - 1})")
+    last = f"e{k - 1}"
+    for i in range(k - 1, -1, -1):
+        known = "".join(f" - a{i}_{j} * c{j}" for j in range(i + 1, k))
+        out.append(f"s{i} AS (SELECT *, (a{i}_{k}{known}) / a{i}_{i} AS c{i} FROM {last})")
+        last = f"s{i}"
+    out.append(f"coef AS (SELECT {', '.join(f'c{i}' for i in range(k))} FROM {last})")
+    return ",\n".join(out)
