@@ -80,7 +80,7 @@ def metric_cards(metrics_row: DataFrame, problem_type: str) -> DataFrame:
 
 
 def importance_section(imp: dict) -> DataFrame:
-    """The three rankings with a method column (top 10 each) and the summary."""
+    """The three rankings with a method column (top 10 each), and the summary text on every row."""
     out = None
     for method in ("tree", "random_forest", "permutation"):
         t = imp.get(method)
@@ -90,7 +90,7 @@ def importance_section(imp: dict) -> DataFrame:
         r = (t.select(F.lit(method).alias("method"), "feature", F.col(col).alias("importance"))
               .orderBy(F.desc("importance"), "feature").limit(10))
         out = r if out is None else out.unionByName(r)
-    return out
+    return out if out is None else out.withColumn("summary", F.lit(imp.get("summary")))
 
 
 def recommendation(best: str, tuned: dict | None, metrics_row: DataFrame, problem_type: str) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cv, learners, metrics, neighbors, scale, split
+from ..operators import tune as tuning
+from ..session import scratch_path
 from ..sources.fixtures import LINEITEM_KEY, fixture, fixture_cte
+from ..sources.models import load_fitted, save_fitted
 from ..sources.tables import Tables
 from .catalog import finish, query, sig, sig_sql
 from .q_prep import BIN_FEATS, KEY_SQL, encoded, encoded_sql
@@ -54,6 +57,18 @@ def l3i_naive_bayes(spark, sf_dir):
     return finish(p.select(*LINEITEM_KEY, "label", "prediction", "score"))
 
 
+@query("s6_reloaded_predictions", sql=_gnb_sql() + f"SELECT {KEY_SQL}, label, prediction, round(score, 6) AS score FROM pred")
+def s6_reloaded_predictions(spark, sf_dir):
+    """The saved model, read back, predicts what the fitted one does."""
+    d, feats = _binary_split(spark, sf_dir)
+    m = learners.fit("Naive Bayes", d.where(~F.col("is_test")), feats, "classification", n_classes=2)
+    path = scratch_path(spark, "model")
+    save_fitted(m, path)
+    again, _ = load_fitted(path)
+    p = again.transform(d.where("is_test")).withColumn("score", F.round("score", 9))
+    return finish(p.select(*LINEITEM_KEY, "label", "prediction", "score"))
+
+
 _PC_SQL = """, pc AS (SELECT label AS actual, prediction AS predicted, count(*) AS cnt FROM pred GROUP BY ALL),
 cls AS (SELECT actual AS c FROM pc UNION SELECT predicted FROM pc),
 pcl AS (SELECT c AS cls, coalesce((SELECT sum(cnt) FROM pc WHERE actual = c), 0) AS support,
@@ -184,6 +199,23 @@ def l3h_knn_classifier(spark, sf_dir):
     return m.transform(d.where("is_test")).select("vec_id", "label", "prediction")
 
 
+_MANHATTAN_SQL = _DIST_SQL.replace("(t[1] - t[2]) * (t[1] - t[2])", "abs(t[1] - t[2])").replace("sqrt(", "(", 1)
+
+
+@query("l3h_knn_regressor", sql=fixture_cte("fx_vectors") + f""", sp AS {split.split_sql('fx_vectors', ['vec_id'], 'label')},
+nn AS (SELECT a.vec_id AS q, b.label AS y, {_MANHATTAN_SQL} AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_MANHATTAN_SQL}, b.vec_id) AS rn
+       FROM sp a JOIN sp b ON a.is_test AND NOT b.is_test),
+p AS (SELECT q, sum(y * CASE WHEN d = 0 THEN 1e300 ELSE 1 / d END) / sum(CASE WHEN d = 0 THEN 1e300 ELSE 1 / d END) AS prediction
+      FROM nn WHERE rn <= 7 GROUP BY q)
+SELECT sp.vec_id, CAST(sp.label AS DOUBLE) AS label, round(prediction, 6) AS prediction FROM sp JOIN p ON sp.vec_id = p.q""")
+def l3h_knn_regressor(spark, sf_dir):
+    v = fixture(Tables(spark, sf_dir), "fx_vectors").withColumn("label", F.col("label").cast("double"))
+    d = split.split(v, ["vec_id"], "label")
+    m = learners.fit("KNN", d.where(~F.col("is_test")), ["embedding"], "regression",
+                     params={"key": ["vec_id"], "n_neighbors": 7, "weights": "distance", "metric": "manhattan"})
+    return finish(m.transform(d.where("is_test")).select("vec_id", "label", "prediction"))
+
+
 # ---- X10: robust scaling --------------------------------------------------------
 _SC = ["l_quantity", "l_extendedprice"]
 
@@ -308,7 +340,7 @@ def x11_smote_fixed(spark, sf_dir):
 
 
 # ---- L4 with a SQL twin: 5-fold CV of naive Bayes (weighted F1) ---------------------
-def _cv_nb_sql(feats=BIN_FEATS):
+def _cv_nb_sql(feats=BIN_FEATS, smoothing=1e-9):
     n = len(feats)
     k = LINEITEM_KEY
     st = ", ".join(f"avg(fo.{c}) AS m{i}, var_pop(fo.{c}) AS v{i}" for i, c in enumerate(feats))
@@ -322,7 +354,7 @@ fo AS {split.folds_sql('tr', k, 'label')},
 fs AS (SELECT DISTINCT fold AS f FROM fo),
 st AS (SELECT fs.f, fo.label AS cls, count(*) AS n, {st} FROM fs JOIN fo ON fo.fold <> fs.f GROUP BY fs.f, fo.label),
 ntr AS (SELECT f, sum(n) AS nt FROM st GROUP BY f),
-eps AS (SELECT f, 1e-9 * greatest({', '.join(f't{i}' for i in range(n))}) AS e
+eps AS (SELECT f, {smoothing} * greatest({', '.join(f't{i}' for i in range(n))}) AS e
         FROM (SELECT fs.f, {tv} FROM fs JOIN fo ON fo.fold <> fs.f GROUP BY fs.f)),
 cl AS (SELECT st.f, cls, ln(n / nt) - 0.5 * ({lg}) AS c, {cl} FROM st JOIN ntr USING (f) JOIN eps USING (f)),
 jl AS (SELECT {', '.join('fo.' + c for c in k)}, fo.fold, fo.label, cl.cls, cl.c - 0.5 * ({q}) AS j
@@ -353,3 +385,17 @@ def l4_cv_naive_bayes(spark, sf_dir):
     df = spark.createDataFrame(rows, "fold int, score double, mean_score double, std_score double")
     return df.select("fold", F.round("score", 6).alias("score"), F.round("mean_score", 4).alias("mean_score"),
                      F.round("std_score", 4).alias("std_score"))
+
+
+_NB_GRID = tuning.combinations(tuning.CLASSIFICATION_GRIDS["Naive Bayes"][1])
+
+
+@query("l8_grid_naive_bayes", sql=union_all([
+    f"SELECT 'Naive Bayes' AS model, CAST({i} AS INTEGER) AS candidate, {lit(str(p))} AS params, any_value(mean_score) AS mean_score "
+    f"FROM ({_cv_nb_sql(smoothing=p['var_smoothing'])})" for i, p in enumerate(_NB_GRID)]))
+def l8_grid_naive_bayes(spark, sf_dir):
+    """Every candidate of the grid over the same folds, from one table of moments."""
+    d, feats = _binary_split(spark, sf_dir)
+    trf = split.assign_folds(d.where(~F.col("is_test")).drop("is_test"), LINEITEM_KEY, "label")
+    _, _, table = tuning.tune_model("Naive Bayes", trf, feats, "classification", "f1_weighted", key=LINEITEM_KEY, n_classes=2)
+    return table
