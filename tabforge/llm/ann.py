@@ -39,7 +39,8 @@ _SALTS = 64
 
 def valid_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     v = F.col("vec")
-    src = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    kept = "array<float>" if df.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"  # nothing is rounded
+    src = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kept).alias("vec"))
     fine = (F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
     src = src.where(F.col("vec_id").isNotNull() & v.isNotNull() & fine)
     lengths = sorted(((r["count"], r["d"]) for r in src.groupBy(F.size(v).alias("d")).count().collect()), reverse=True)
@@ -141,14 +142,15 @@ class MultiIndex:
         return last, found
 
 
-def _matrix(col) -> np.ndarray:
-    return np.frombuffer(b"".join(col), np.float32).reshape(len(col), -1).astype(np.float64)
+def _matrix(col, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(col), kind).reshape(len(col), -1).astype(np.float64)
 
 
 def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row for which ``is_query(id column)`` holds."""
     spark = df.sparkSession
     vectors = valid_vectors(df, id_col, vec_col)
+    kind = np.float32 if vectors.schema["vec"].dataType.simpleString() == "array<float>" else np.float64
     path = scratch_path(spark, "ann")
     entries(vectors, k, is_query).write.parquet(f"{path}/entries")
     kept = spark.read.parquet(f"{path}/entries")
@@ -162,7 +164,7 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                v = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(b.num_rows, -1)
+                v = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(b.num_rows, -1)
                 raw = [x.tobytes() for x in v]
                 yield pa.RecordBatch.from_arrays([b.column("entry"), b.column("ids"), b.column("asked"), pa.array(raw, pa.binary()),
                                                   pa.array(first.value.cells(v.astype(np.float64)), pa.int32())],
@@ -184,7 +186,7 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
             if not b.num_rows:
                 continue
             raw = b.column("raw").to_pylist()
-            a, c = ix.halves(_matrix(raw))
+            a, c = ix.halves(_matrix(raw, kind))
             for i, e in enumerate(b.column("entry").to_pylist()):
                 last, cells = ix.visit(a[i], c[i], goal)
                 cells = np.array(cells, np.int64)
@@ -210,7 +212,7 @@ def search(df: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col
         ix, out = shared.value, []
         if len(own) and len(asked):
             own = own.sort_values("entry")
-            v, cell, q = _matrix(own["raw"]), own["cell"].to_numpy(), _matrix(asked["raw"])
+            v, cell, q = _matrix(own["raw"], kind), own["cell"].to_numpy(), _matrix(asked["raw"], kind)
             a, c = ix.halves(q)
             ids = own["ids"].to_numpy()
             for lo in range(0, len(q), 256):
