@@ -2,7 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 documents.  ``run`` writes each stage's result to the shared folder and reads it again for the next.
-Null texts are empty and leave at the quality stage; an empty table passes through to an empty result.
+Null texts are empty and leave at the quality stage; an empty table passes through to an empty result.  Rows that repeat an id and
+text are one document to line dedup and near copies to the join, so one of them stays; ties go to smaller ids.  Very long texts
+are scored, cut and packed whole.  Further columns of documents, whatever their names, pass all stages but the last.
 """
 
 from __future__ import annotations

@@ -133,7 +133,8 @@ cov AS (SELECT rid, sum(least(8, p - coalesce(q, -7))) AS n_repeat_words
         FROM (SELECT rid, p, lag(p) OVER (PARTITION BY rid ORDER BY p) AS q FROM rep) GROUP BY rid),
 ln AS (SELECT rid, x, {_LINE} AS n, length(x) AS l FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM d)),
 bad AS (SELECT rid, count(*) AS n_lost_lines, sum(n) AS n_lost_words FROM (SELECT rid, n, (
-          len(regexp_extract_all(x, '(?:^|\s)(?:\||»|›|>|·|•|/|–|—|-)(?:\s|$)')) * 5 >= n
+          len(regexp_extract_all(regexp_replace(x, '([\x20\x09-\x0D])', '\1\1', 'g'),  -- doubled: separators side by side each have their own
+                                 '(?:^|[\x20\x09-\x0D])(?:\||»|›|>|·|•|/|–|—|-)(?:[\x20\x09-\x0D]|$)')) * 5 >= n
           OR len(regexp_extract_all(x, '{SYMBOLS}')) * 10 >= l
           OR (n >= 5 AND (len(regexp_extract_all(x, '!!')) * 5 >= n
                           OR len(regexp_extract_all(x, '\p{{Lu}}')) * 10 >= len(regexp_extract_all(x, '\p{{L}}')) * 6))

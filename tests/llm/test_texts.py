@@ -115,6 +115,27 @@ def test_quality_rules_edges_and_lines(spark, edge_docs, no_docs):
     assert quality.filter_documents(no_docs).count() == 0
 
 
+def test_quality_sql_on_planted_lines(spark, tmp_path):
+    """Separators side by side, at line ends and between other white space; the SQL counts them as the operator does."""
+    import duckdb
+    lines = ["| | a b c d e f g h", "a | | b c d e f g", "| a b c d e f g h i", "a b |", "|", "| |", "- / -", "a\t|\x0b| b c d e f g h", "a || b c d",
+             "x > y · z • w", "a |\r", "", " ", "one two three four five six seven eight nine ten eleven twelve thirteen", "A!! B!! c d e"]
+    rng = np.random.default_rng(9)
+    rows = [(i, "\n".join(rng.choice(lines, rng.integers(1, 9)))) for i in range(300)] + [(300 + i, x) for i, x in enumerate(lines)] + [(900, None)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    assert not compare(quality.op7_quality_rules(spark, str(tmp_path)), con, quality.OP7_SQL)[0]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_repeat_words_against_brute_force(spark):
     rng = np.random.default_rng(2)
     texts = [" ".join(rng.choice(list("abc"), rng.integers(0, 40), p=[.8, .1, .1])) for _ in range(60)]
