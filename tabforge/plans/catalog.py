@@ -42,7 +42,7 @@ def r6(expr: str, alias: str) -> str:
 
 def load_all() -> None:
     """Import every query module so its registrations run."""
-    from . import q_profile, q_eda, q_prep, q_learn, q_run  # noqa: F401
+    from . import q_profile, q_eda, q_prep, q_learn, q_run, q_trees  # noqa: F401
 
 
 def sig(c, digits: int = 10):

@@ -105,3 +105,50 @@ def least_squares_sql(src: str, features: list[str], target: str) -> str:
         last = f"s{i}"
     out.append(f"coef AS (SELECT {', '.join(f'c{i}' for i in range(k))} FROM {last})")
     return ",\n".join(out)
+
+
+def level_tree_sql(src: str, features: list[str], key: list[str], n_classes: int, depth: int, n_trees: int = 1, m: int | None = None) -> str:
+    """CTEs r0.., st0.., b0.. and ``nodes`` of trees with Gini scores on ``src`` (features, key, label); weights are drawn for two trees or more."""
+    from ..functions.hashing import hash_hex_sql, hash_unit_sql
+    from ..operators.trees import poisson_steps
+    k = range(n_classes)
+    u = hash_unit_sql(hash_hex_sql([*key, "tree"], 42, "bootstrap"))
+    w = " + ".join(f"CASE WHEN u >= {p!r} THEN 1 ELSE 0 END" for p in poisson_steps()) if n_trees > 1 else "1"
+    cols = ", ".join(features)
+    sums = ", ".join(f"sum(CASE WHEN label = {c} THEN w ELSE 0 END) AS s{c}" for c in k)
+
+    def score(names):
+        d = [f"CAST({x} AS DOUBLE)" for x in names]
+        return "((" + " + ".join(f"{x} * {x}" for x in d) + ") / (" + " + ".join(d) + "))"
+
+    ctes = [f"""r0 AS (SELECT * FROM (SELECT *, {w} AS w FROM (SELECT tree, '' AS node, {cols}, label, {u} AS u
+  FROM {src}, range({n_trees}) t(tree))) WHERE w > 0)"""]
+    for d in range(depth + 1):
+        ctes.append(f"st{d} AS (SELECT tree, node, count(*) AS n_rows, {sums} FROM r{d} GROUP BY tree, node)")
+        if d == depth:
+            break
+        long = " UNION ALL ".join(f"SELECT tree, node, label, w, {i} AS f, CAST({c} AS DOUBLE) AS v FROM r{d}" for i, c in enumerate(features))
+        drawn = f"row_number() OVER (PARTITION BY tree, node ORDER BY {hash_hex_sql(['tree', 'node', 'f'], 42, 'features')}) <= {m or len(features)}"
+        run = "OVER (PARTITION BY tree, node, f ORDER BY v ROWS UNBOUNDED PRECEDING)"
+        impure = " + ".join(f"CASE WHEN st{d}.s{c} > 0 THEN 1 ELSE 0 END" for c in k)
+        both = score([f"l{c}" for c in k]) + " + " + score([f"(st{d}.s{c} - l{c})" for c in k])
+        ctes += [f"u{d} AS ({long})",
+                 f"d{d} AS (SELECT tree, node, f FROM (SELECT tree, node, f FROM u{d} GROUP BY tree, node, f HAVING min(v) < max(v)) QUALIFY {drawn})",
+                 f"h{d} AS (SELECT tree, node, f, v, {sums} FROM u{d} JOIN d{d} USING (tree, node, f) GROUP BY tree, node, f, v)",
+                 f"c{d} AS (SELECT tree, node, f, v, {', '.join(f'sum(s{c}) {run} AS l{c}' for c in k)}, "
+                 f"lead(v) OVER (PARTITION BY tree, node, f ORDER BY v) AS nx FROM h{d})",
+                 f"""b{d} AS (SELECT tree, node, f, CASE WHEN v / 2 + nx / 2 < nx THEN v / 2 + nx / 2 ELSE v END AS th, {both} AS score
+  FROM c{d} JOIN st{d} USING (tree, node) WHERE nx IS NOT NULL AND {impure} > 1
+  QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY score DESC, f, th) = 1)""",
+                 f"r{d + 1} AS (SELECT tree, node || CASE WHEN {walk_value(features)} <= th THEN '0' ELSE '1' END AS node, {cols}, label, w "
+                 f"FROM r{d} JOIN b{d} USING (tree, node))"]
+    own = score([f"s{c}" for c in k])
+    per = [f"SELECT tree, node, n_rows, {', '.join(f's{c}' for c in k)}, {'f' if d < depth else 'NULL'} AS f, {'th' if d < depth else 'NULL'} AS th, "
+           f"{f'score - {own}' if d < depth else 'NULL'} AS gain FROM st{d}" + (f" LEFT JOIN b{d} USING (tree, node)" if d < depth else "") for d in range(depth + 1)]
+    ctes.append("nodes AS (" + " UNION ALL ".join(per) + ")")
+    return ",\n".join(ctes)
+
+
+def walk_value(features: list[str]) -> str:
+    """The value of the feature numbered f."""
+    return "CASE f " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(features)) + " END"
