@@ -1,11 +1,11 @@
 """Feature importance.
 
-Permutation importance is one Spark job, not features x repeats jobs: the
-test rows are replicated per repeat and meet a donor row through an equi-join
-on a permuted row index (computed arithmetically, no sort); only after the join
-a projection makes one variant per feature, with that feature taken from the
-donor.  The model scores all variants in one ``transform`` and a grouped
-aggregation yields every score at once.
+Permutation importance is one Spark job, not features x repeats jobs: every
+(feature, repeat) has a permutation of its own.  A test row sends its feature
+values, one narrow row each, to the row index that takes them (computed
+arithmetically, no sort) and one equi-join with the test rows makes all
+variants; the model scores them in one ``transform`` and a grouped aggregation
+yields every score at once.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ PERM_PRIMES = _primes(1_000_003, 256)
 
 
 def replica_params(n_replicas: int, seed=SEED) -> list[tuple[int, int, int, int]]:
-    """Per repeat s: three candidate primes and a raw offset, all from md5(s|seed)."""
+    """Per replica s: three candidate primes and a raw offset, all from md5(s|seed)."""
     import hashlib
     out = []
     for s in range(n_replicas):
@@ -86,9 +86,10 @@ def permutation_importance(model, test: DataFrame, features: list[str], key: lis
                            label: str = "label", n_repeats: int = N_REPEATS, seed=SEED) -> DataFrame:
     """Mean and population std of (baseline - permuted score) per feature.
 
-    Rows get an index i in [0, n) by hash rank.  In repeat r row i takes its
-    permuted values from row (p_r * i + b_r) mod n, where p_r is a prime not
-    dividing n: a bijection, so each value is used exactly once.
+    Rows get an index i in [0, n) by hash rank.  Replica s = (feature, repeat)
+    gives row i the feature value of row (p_s * i + b_s) mod n, where p_s is a
+    prime not dividing n: a bijection, so each value is used exactly once.  Row
+    j sends its values to the rows that take them, (j - b_s) / p_s mod n.
     """
     spark = test.sparkSession
     path = scratch_path(spark, "permutation")
@@ -97,18 +98,17 @@ def permutation_importance(model, test: DataFrame, features: list[str], key: lis
     idx = spark.read.parquet(path)
     n = idx.count()
     base_score = _grouped_score(model.transform(idx).withColumn("_g", F.lit(0)), problem_type, ["_g"], label).first()["score"]
-    structs = []
-    for r, (p1, p2, p3, braw) in enumerate(replica_params(n_repeats, seed)):
+    # the row index times an inverse below n: decimal where a bigint does not hold it
+    whole = "bigint" if n < 3_000_000_000 else "decimal(38,0)"
+    given = []
+    for s, (p1, p2, p3, braw) in enumerate(replica_params(len(features) * n_repeats, seed)):
         p = next(q for q in (p1, p2, p3) if n % q != 0)
-        structs.append(F.struct(F.lit(r).alias("_r"), F.lit(p).cast("decimal(38,0)").alias("_p"), F.lit(braw % n).cast("decimal(38,0)").alias("_b")))
-    values = F.array(*[F.col(f).cast("double") for f in features])
-    rep = idx.select("_i", *key, label, values.alias("_own"), F.explode(F.array(*structs)).alias("_s"))
-    donor_idx = F.pmod(F.col("_s._p") * F.col("_i").cast("decimal(38,0)") + F.col("_s._b"), F.lit(n).cast("decimal(38,0)")).cast("bigint")
-    rep = rep.select(*key, label, "_own", F.col("_s._r").alias("_r"), donor_idx.alias("_j"))
-    j = rep.join(idx.select(F.col("_i").alias("_j"), values.alias("_vals")), "_j")
-    variants = j.withColumn("_f", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
-    permuted = variants.select(*key, label, "_f", "_r", *[F.when(F.col("_f") == i, F.col("_vals")[i]).otherwise(F.col("_own")[i]).alias(f)
-                                                          for i, f in enumerate(features) if f not in key])
+        to = F.pmod((F.col("_i").cast(whole) - F.lit(braw % n).cast(whole)) * F.lit(pow(p, -1, n)).cast(whole), F.lit(n).cast(whole))
+        given.append(F.struct(to.cast("bigint").alias("_i"), F.lit(s).alias("_s"), F.col(features[s // n_repeats]).cast("double").alias("_x")))
+    sent = idx.select(F.explode(F.array(*given)).alias("_v")).select("_v.*")
+    j = sent.join(idx, "_i").withColumns({"_f": F.floor(F.col("_s") / n_repeats).cast("int"), "_r": F.col("_s") % n_repeats})
+    permuted = j.select(*key, label, "_f", "_r", *[F.when(F.col("_f") == i, F.col("_x")).otherwise(F.col(f)).alias(f)
+                                                   for i, f in enumerate(features) if f not in key])
     s = _grouped_score(model.transform(permuted), problem_type, ["_f", "_r"], label)
     imp = s.withColumn("drop", F.lit(base_score) - F.col("score"))
     a = imp.groupBy("_f").agg(F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std"))

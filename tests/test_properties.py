@@ -176,3 +176,32 @@ def test_knn_discrete_features(spark):
     for r in got.orderBy("q_k", "nn_rank").collect():
         have.setdefault(r["q_k"], []).append(r["r_k"])
     assert have == want
+
+
+class _Seen:
+    """A model that keeps what it is asked to score."""
+    name = "seen"
+
+    def __init__(self):
+        self.frames = []
+
+    def transform(self, df):
+        self.frames.append(df)
+        return df.withColumn("prediction", F.col("label"))
+
+
+def test_every_feature_and_repeat_has_a_permutation_of_its_own(spark):
+    # the same values in two features: a permutation shared by the features would give both the same columns
+    df = spark.createDataFrame([(i, float(i), float(i), float(i % 2)) for i in range(97)], "k long, a double, b double, label double")
+    m = _Seen()
+    importance.permutation_importance(m, df, ["a", "b"], ["k"], "classification", n_repeats=3).collect()
+    got = {}
+    for r in m.frames[-1].collect():
+        got.setdefault((r["_f"], r["_r"]), {})[r["k"]] = (r["a"], r["b"])
+    assert set(got) == {(f, r) for f in range(2) for r in range(3)}
+    taken = set()
+    for (f, _), rows in got.items():
+        assert sorted(v[f] for v in rows.values()) == [float(i) for i in range(97)]
+        assert all(v[1 - f] == float(k) for k, v in rows.items())
+        taken.add(tuple(rows[k][f] for k in sorted(rows)))
+    assert len(taken) == 6
