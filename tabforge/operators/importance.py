@@ -106,7 +106,8 @@ def permutation_importance(model, test: DataFrame, features: list[str], key: lis
         to = F.pmod((F.col("_i").cast(whole) - F.lit(braw % n).cast(whole)) * F.lit(pow(p, -1, n)).cast(whole), F.lit(n).cast(whole))
         given.append(F.struct(to.cast("bigint").alias("_i"), F.lit(s).alias("_s"), F.col(features[s // n_repeats]).cast("double").alias("_x")))
     sent = idx.select(F.explode(F.array(*given)).alias("_v")).select("_v.*")
-    j = sent.join(idx, "_i").withColumns({"_f": F.floor(F.col("_s") / n_repeats).cast("int"), "_r": F.col("_s") % n_repeats})
+    # a data-sized side: never broadcast, however small its files look
+    j = sent.join(idx.hint("shuffle_hash"), "_i").withColumns({"_f": F.floor(F.col("_s") / n_repeats).cast("int"), "_r": F.col("_s") % n_repeats})
     permuted = j.select(*key, label, "_f", "_r", *[F.when(F.col("_f") == i, F.col("_x")).otherwise(F.col(f)).alias(f)
                                                    for i, f in enumerate(features) if f not in key])
     s = _grouped_score(model.transform(permuted), problem_type, ["_f", "_r"], label)

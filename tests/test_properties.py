@@ -205,3 +205,11 @@ def test_every_feature_and_repeat_has_a_permutation_of_its_own(spark):
         assert all(v[1 - f] == float(k) for k, v in rows.items())
         taken.add(tuple(rows[k][f] for k in sorted(rows)))
     assert len(taken) == 6
+
+
+def test_permutations_broadcast_no_rows(spark):
+    df = spark.createDataFrame([(i, float(i), float(i % 2)) for i in range(50)], "k long, a double, label double")
+    m = _Seen()
+    importance.permutation_importance(m, df, ["a"], ["k"], "classification", n_repeats=2).collect()
+    plan = m.frames[-1]._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "BroadcastExchange" not in plan
