@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clean, select, split
+from ..operators import clean, ranks, select, split
 from ..operators.schema import detect_column_types
 from ..sources.fixtures import LINEITEM_KEY, fixture, fixture_cte
 from ..sources.tables import Tables
@@ -81,9 +81,8 @@ _MED_COLS = ["l_quantity", "l_extendedprice", "l_discount"]
     f"SELECT {lit(c)} AS column_name, round(CAST(median({c}) AS DOUBLE), 6) AS median FROM fx_nulls" for c in _MED_COLS]))
 def a12_median(spark, sf_dir):
     df = fixture(Tables(spark, sf_dir), "fx_nulls")
-    a = df.agg(*[F.median(F.col(c)).alias(c) for c in _MED_COLS])
-    return finish(a.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("median"))
-                                              for c in _MED_COLS]))))
+    m = ranks.quantiles(df, _MED_COLS, [0.5])
+    return finish(spark.createDataFrame([(c, float(m[c][0]) if m[c] else None) for c in _MED_COLS], "column_name string, median double"))
 
 
 def _mode_sql(src, c):

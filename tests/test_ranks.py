@@ -64,3 +64,13 @@ def test_callers_take_exact_values_at_any_size(table, monkeypatch):
 
 def test_no_rows(table):
     assert ranks.quantiles(table.limit(0), ["plain"], [0.5]) == {"plain": None} and ranks.quantiles(table, [], [0.5]) == {}
+
+
+def test_median_query_keeps_no_table_of_values(spark, monkeypatch):
+    """Exact percentiles hold every distinct value in one buffer; the query takes ranks."""
+    from conftest import SF_SMALL
+    from tabforge.plans import q_prep
+    asked, plain = [], ranks.quantiles
+    monkeypatch.setattr(ranks, "quantiles", lambda df, cols, probs: (asked.append((cols, probs)), plain(df, cols, probs))[1])
+    rows = {r["column_name"]: r["median"] for r in q_prep.a12_median(spark, SF_SMALL).collect()}
+    assert asked == [(["l_quantity", "l_extendedprice", "l_discount"], [0.5])] and all(v is not None for v in rows.values())
