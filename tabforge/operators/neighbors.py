@@ -1,52 +1,47 @@
 """Exact k-nearest-neighbour join (J4) and the KNN learner (L3h).
 
-No cross join: points are placed in cells along one unit direction u that
-mixes all coordinates; |u.(x - y)| <= ||x - y|| bounds the search.
-
-1. Candidate radius: each query is joined (equi-join on cell) with the
-   reference points of its own and adjacent cells; windows widen by x4 for
-   the few queries that still have fewer than k candidates.  The k-th
-   candidate distance R_q is an upper bound of the true k-th distance.
-2. Exact pass: the query is joined with every cell meeting
-   [p_q - R_q, p_q + R_q]; pairs farther than R_q are dropped and the k
-   nearest are kept by (distance, reference key).
-
-Cells hold about ``4k`` reference points on average, so the work per query
-is proportional to the local density, not to the table size.
+Points are placed in cells of about equal numbers of points along one unit
+direction u that mixes all coordinates; |u.(x - y)| <= ||x - y|| bounds the
+search.  Pairs of points are never rows: blocks of query points meet blocks
+of reference points in a cogroup, distances are computed in strips of bounded
+size and only the nearest points of each block leave it.
+
+1. Radius: each query meets a block of its own cell.  The distance R_q of the
+   (k+1)-th nearest point there is an upper bound of the true one.
+2. Exact pass: the query meets every block of the cells that touch
+   [p_q - R_q, p_q + R_q] and the nearest points of all blocks are merged by
+   (distance, reference key).
+
+Where the direction cannot tell points apart (many dimensions) all blocks of
+a group meet: the work is then all pairs, memory stays that of two blocks.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL_FACTOR = 4
-MAX_WIDEN = 6
-
+from ..session import scratch_path
 
-def _dist(features, vector: bool, metric: str, q="q_", r="r_") -> Column:  # noqa: C901
-    if vector:
-        a, b = F.col(q + features[0]), F.col(r + features[0])
-        if metric == "manhattan":
-            return F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: s + v)
-        return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0),
-                                  lambda s, v: s + v))
-    terms = []
-    for f in features:
-        d = F.col(q + f).cast("double") - F.col(r + f).cast("double")
-        terms.append(F.abs(d) if metric == "manhattan" else d * d)
-    s = terms[0]
-    for t in terms[1:]:
-        s = s + t
-    return s if metric == "manhattan" else F.sqrt(s)
+#: Reference points of a cell and of a block, query points of a block.
+CELL_POINTS, REF_BLOCK, QUERY_BLOCK = 4096, 8192, 4096
+#: Cells of one group at most; beyond it cells grow, and are cut into more blocks.
+MAX_CELLS = 4000
+#: Distances held at once by a task.
+STRIP = 1 << 21
+TILE = 1 << 17
+#: Tasks of one pass at most.
+MAX_TASKS = 4000
 
 
-def _feat(f: str, vector: bool) -> Column:
-    return F.col(f).cast("array<double>") if vector else F.col(f)
-
-
-def _projection(ref: DataFrame, features, vector: bool) -> list[float]:
-    """A unit direction mixing every coordinate, weighted by its spread.
+def _projection(ref: DataFrame) -> list[float]:
+    """A unit direction mixing every coordinate of ``_v``, weighted by its spread.
 
     Weights are sd_j * (1 + jitter_j) with a fixed hash-derived jitter, so
     distinct discrete points (one-hot or binary features) rarely share a
@@ -54,17 +49,11 @@ def _projection(ref: DataFrame, features, vector: bool) -> list[float]:
     |u.(x - y)| <= ||x - y||_2 <= ||x - y||_1, which keeps the band exact.
     """
     import hashlib
-    if vector:
-        f = features[0]
-        rows = (ref.select(F.posexplode(F.col(f)).alias("pos", "x")).groupBy("pos")
-                   .agg(F.stddev_pop("x").alias("s")).collect())       # one row per dimension
-        dim = max((r["pos"] for r in rows), default=-1) + 1
-        sd = [0.0] * dim
-        for r in rows:
-            sd[r["pos"]] = float(r["s"] or 0.0)
-    else:
-        a = ref.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(features)]).first()
-        sd = [float(a[f"s{i}"] or 0.0) for i in range(len(features))]
+    rows = (ref.select(F.posexplode("_v").alias("pos", "x")).groupBy("pos")
+               .agg(F.stddev_pop(F.when(~F.isnan("x"), F.col("x"))).alias("s")).collect())       # one row per dimension
+    sd = [0.0] * (max((r["pos"] for r in rows), default=-1) + 1)
+    for r in rows:
+        sd[r["pos"]] = float(r["s"] or 0.0)
     w = []
     for j, v in enumerate(sd):
         jit = int(hashlib.md5(f"{j}|proj".encode()).hexdigest()[:8], 16) / 4294967296.0
@@ -73,16 +62,78 @@ def _projection(ref: DataFrame, features, vector: bool) -> list[float]:
     return [x / norm for x in w]
 
 
-def _proj_col(prefix: str, features, vector: bool, u: list[float]) -> Column:
-    if vector:
-        x = F.col(prefix + features[0])
-        ua = F.array(*[F.lit(v) for v in u])
-        return F.aggregate(F.zip_with(x, ua, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    out = None
-    for f, v in zip(features, u):
-        t = F.lit(v) * F.col(prefix + f).cast("double")
-        out = t if out is None else out + t
-    return out
+def _cell_of(cuts: dict):
+    """Column function: the cell of a projection value in its group."""
+    @F.pandas_udf("int")
+    def cell(g: pd.Series, p: pd.Series) -> pd.Series:
+        gs, ps, out = g.to_numpy(), p.to_numpy(), np.zeros(len(g), np.int32)
+        for i in np.unique(gs):
+            at = gs == i
+            out[at] = np.searchsorted(cuts[int(i)], ps[at], side="right")
+        return pd.Series(out)
+    return cell
+
+
+def _matrix(table: pa.Table) -> np.ndarray:
+    """The vectors of a block, one column per row (all of one length)."""
+    v = table.column("_v").combine_chunks()
+    return np.ascontiguousarray(np.asarray(v.flatten(), dtype=np.float64).reshape(len(v), -1).T)
+
+
+def _strips(q: np.ndarray, r: np.ndarray, metric: str):
+    """Distances of some query columns to all reference columns at a time, summed feature by feature as Spark and SQL sum them."""
+    step = max(1, STRIP // max(1, r.shape[1]))
+    wide = max(1, TILE // step)
+    for lo in range(0, q.shape[1], step):
+        part = q[:, lo:lo + step]
+        out = np.zeros((part.shape[1], r.shape[1]))
+        for at in range(0, r.shape[1], wide):
+            acc = out[:, at:at + wide]
+            for x, y in zip(part, r[:, at:at + wide]):
+                d = x[:, None] - y[None, :]
+                if metric == "manhattan":
+                    np.abs(d, out=d)
+                else:
+                    d *= d
+                acc += d
+        yield lo, out if metric == "manhattan" else np.sqrt(out, out=out)
+
+
+def _kth(d: np.ndarray, n: int) -> np.ndarray:
+    return np.partition(d, n - 1, axis=1)[:, n - 1] if d.shape[1] >= n else np.full(len(d), np.inf)
+
+
+def _radius(n: int, metric: str):
+    """Per query of a block the distance of its n-th nearest point in one reference block (infinite with fewer)."""
+    def of(q: pa.Table, r: pa.Table) -> pa.Table:
+        radius = np.full(q.num_rows, np.inf)
+        if q.num_rows and r.num_rows:
+            for lo, d in _strips(_matrix(q), _matrix(r), metric):
+                radius[lo:lo + len(d)] = _kth(d, n)
+        return pa.table({"_qid": q.column("_qid"), "_R": pa.array(radius)})
+    return of
+
+
+def _nearest(n: int, metric: str):
+    """Per query of a block its n nearest points of one reference block, ties to the smaller first key."""
+    def of(q: pa.Table, r: pa.Table) -> pa.Table:
+        qi, ri, ds = [], [], []
+        if q.num_rows and r.num_rows:
+            first = r.column("_first").combine_chunks()
+            keys = pa.table(first.flatten(), names=[f"k{i}" for i in range(first.type.num_fields)])
+            r = r.take(pc.sort_indices(keys, sort_keys=[(c, "ascending") for c in keys.column_names], null_placement="at_start"))
+            most = q.column("_R").to_numpy()
+            for lo, d in _strips(_matrix(q), _matrix(r), metric):
+                a, b = np.nonzero(d <= np.minimum(_kth(d, n), most[lo:lo + len(d)])[:, None])
+                x = d[a, b]
+                order = np.lexsort((b, x, a))
+                a, b, x = a[order], b[order], x[order]
+                keep = np.arange(len(a)) - np.searchsorted(a, a) < n
+                qi.append(a[keep] + lo), ri.append(b[keep]), ds.append(x[keep])
+        at = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return pa.table({"_qid": q.column("_qid").take(pa.array(at(qi))), "_pid": r.column("_pid").take(pa.array(at(ri))),
+                         "dist": pa.array(at(ds).astype(np.float64))})
+    return of
 
 
 def knn(query: DataFrame, ref: DataFrame, features: list[str], k: int, qkey: list[str], rkey: list[str],
@@ -92,92 +143,107 @@ def knn(query: DataFrame, ref: DataFrame, features: list[str], k: int, qkey: lis
     Returns (q_<qkey>..., [group], nn_rank, r_<rkey>..., dist).  ``group``
     restricts neighbours to the same group value (e.g. the class for SMOTE);
     ``exclude_self`` (query rows drawn from ``ref``) drops each row itself.
+    Vectors that are null or hold a null or NaN take no part, nor does a null group.
 
     The search runs over distinct points: identical feature vectors collapse
-    into one point with a multiplicity and its k+1 smallest keys (a salted
-    two-level window, so a point shared by a third of the rows never sits in
-    one task).  Rows are expanded again only for the final ranking.
+    into one point with its k+1 smallest keys (a salted two-level window, so a
+    point shared by a third of the rows never sits in one task).  The k+1
+    nearest points by (distance, smallest key) hold the k nearest rows; rows
+    are expanded again only for the final ranking.
     """
-    from ..session import checkpoint_dir
-    checkpoint_dir(ref.sparkSession)          # the shared folder the widening steps are cut into
+    spark = ref.sparkSession
+    path = scratch_path(spark, "knn")
     vector = len(features) == 1 and ref.schema[features[0]].dataType.typeName() == "array"
-    u = _projection(ref, features, vector)
     g = F.col(group) if group else F.lit(0)
-    fr = ["r_" + f for f in features]
-    fq = ["q_" + f for f in features]
     top = k + 1
 
-    # distinct reference points: multiplicity and the k+1 smallest keys
-    R0 = ref.select(g.alias("_rg"), F.struct(*[F.col(c) for c in rkey]).alias("_rk"),
-                    *[_feat(f, vector).alias("r_" + f) for f in features])
-    n_ref = R0.count()
-    salts = int(min(4096, max(1, n_ref // 200_000)))
-    R0 = R0.withColumn("_salt", F.abs(F.xxhash64("_rk")) % salts)
-    w1 = Window.partitionBy("_rg", *fr, "_salt")
-    s1 = (R0.withColumn("_rn", F.row_number().over(w1.orderBy("_rk")))
-            .withColumn("_cnt", F.count(F.lit(1)).over(w1)).where(F.col("_rn") <= top))
-    RP = (s1.groupBy("_rg", *fr)
-            .agg(F.sum(F.when(F.col("_rn") == 1, F.col("_cnt"))).alias("_m"),
-                 F.slice(F.array_sort(F.collect_list("_rk")), 1, top).alias("_keys"))
-            .withColumn("_rp", _proj_col("r_", features, vector, u)))
-    gs = RP.groupBy("_rg").agg(F.count(F.lit(1)).alias("_n"), F.min("_rp").alias("_lo"), F.max("_rp").alias("_hi"))
-    gs = gs.withColumn("_w", F.greatest((F.col("_hi") - F.col("_lo")) * F.lit(CELL_FACTOR * k) / F.col("_n"),
-                                        F.lit(1e-12)))
-    gs = gs.withColumn("_cmax", F.floor((F.col("_hi") - F.col("_lo")) / F.col("_w")).cast("bigint"))
-    # one row per group (class): bounded
-    gs = F.broadcast(gs.select(F.col("_rg").alias("_g"), "_lo", "_w", "_cmax"))
-    RP = (RP.join(gs.withColumnRenamed("_g", "_rg"), "_rg")
-            .withColumn("_rcell", F.floor((F.col("_rp") - F.col("_lo")) / F.col("_w")).cast("bigint"))
-            .drop("_lo", "_w", "_cmax", "_rp"))
-
-    # distinct query points
-    Q0 = query.select(g.alias("_g"), F.struct(*[F.col(c) for c in qkey]).alias("_qk"),
-                      *[_feat(f, vector).alias("q_" + f) for f in features])
-    QP = (Q0.select("_g", *fq).distinct().withColumn("_p", _proj_col("q_", features, vector, u)).join(gs, "_g")
-            .withColumn("_cell", F.floor((F.col("_p") - F.col("_lo")) / F.col("_w")).cast("bigint")))
-    QP = QP.withColumn("_cell", F.least(F.greatest(F.col("_cell"), F.lit(0)), F.col("_cmax")))
-    qp_cols = ["_g", *fq]
-
-    def pairs(qq: DataFrame, lo: Column, hi: Column) -> DataFrame:
-        e = qq.withColumn("_c", F.explode(F.sequence(F.greatest(lo, F.lit(0)), F.least(hi, F.col("_cmax")))))
-        j = e.join(RP, (F.col("_g") == F.col("_rg")) & (F.col("_c") == F.col("_rcell"))).drop("_rg", "_rcell")
-        j = j.withColumn("dist", _dist(features, vector, metric))
-        # rows available at this point: the query row itself is one of its own point's members
-        avail = F.col("_m") - F.when(F.lit(exclude_self) & (F.col("dist") == 0), 1).otherwise(0)
-        return j.withColumn("_avail", avail)
-
-    # 1. candidate radius per query point, widening for points still short of k rows
-    wq = Window.partitionBy(*qp_cols).orderBy("dist").rowsBetween(Window.unboundedPreceding, 0)
-    radius = None
-    todo = QP
-    span = 1
-    for it in range(MAX_WIDEN + 1):
-        last = it == MAX_WIDEN
-        lo = F.lit(0) if last else F.col("_cell") - span
-        hi = F.col("_cmax") if last else F.col("_cell") + span
-        c = (pairs(todo, lo, hi).withColumn("_cum", F.sum("_avail").over(wq))
-             .groupBy(*qp_cols).agg(F.sum("_avail").alias("_tot"),
-                                    F.min(F.when(F.col("_cum") >= k, F.col("dist"))).alias("_R")))
-        c = todo.select(*qp_cols, "_p", "_lo", "_w", "_cmax", "_cell").join(c, qp_cols, "left")
-        # one row per query point; cut the lineage so later steps do not re-run the chain
-        c = c.checkpoint(eager=True)
-        ok = F.col("_R").isNotNull() | F.lit(last)
-        done = c.where(ok)
-        radius = done if radius is None else radius.unionByName(done)
-        todo = c.where(~ok).drop("_tot", "_R")
-        if last or todo.limit(1).count() == 0:
-            break
-        span *= 4
-    # a point with fewer than k rows in reach keeps all of them
-    radius = radius.withColumn("_R", F.coalesce("_R", F.lit(float("inf")))).where(F.col("_tot") > 0)
-    # 2. exact pass over the band [p - R, p + R]
-    blo = F.when(F.col("_R") == float("inf"), F.lit(0)).otherwise(
-        F.floor((F.col("_p") - F.col("_R") - F.col("_lo")) / F.col("_w"))).cast("bigint")
-    bhi = F.when(F.col("_R") == float("inf"), F.col("_cmax")).otherwise(
-        F.floor((F.col("_p") + F.col("_R") - F.col("_lo")) / F.col("_w"))).cast("bigint")
-    cand = (pairs(radius.drop("_tot"), blo, bhi).where(F.col("dist") <= F.col("_R"))
-            .select(*qp_cols, "dist", F.explode("_keys").alias("_rk")))
-    rows = Q0.join(cand, qp_cols)
+    def vec(df: DataFrame) -> Column:
+        if not vector:
+            return F.array(*[F.col(f).cast("double") for f in features])
+        x = F.col(features[0])
+        return x if df.schema[features[0]].dataType.elementType.typeName() == "float" else x.cast("array<double>")
+
+    def usable(df: DataFrame) -> DataFrame:
+        return df.where(F.col("_g").isNotNull() & F.col("_v").isNotNull() & ~F.exists("_v", lambda x: x.isNull() | F.isnan(x)))
+
+    R0 = usable(ref.select(g.alias("_g"), F.struct(*[F.col(c) for c in rkey]).alias("_rk"), vec(ref).alias("_v")))
+    Q0 = usable(query.select(g.alias("_g"), F.struct(*[F.col(c) for c in qkey]).alias("_qk"), vec(query).alias("_v")))
+
+    # distinct reference points: the k+1 smallest keys
+    salts = int(min(4096, max(1, R0.count() // 200_000)))
+    w1 = Window.partitionBy("_g", "_v", "_salt").orderBy("_rk")
+    s1 = R0.withColumn("_salt", F.abs(F.xxhash64("_rk")) % salts).withColumn("_rn", F.row_number().over(w1)).where(F.col("_rn") <= top)
+    RP = s1.groupBy("_g", "_v").agg(F.slice(F.array_sort(F.collect_list("_rk")), 1, top).alias("_keys"))
+    # written once: ids stay what they are
+    RP.withColumn("_pid", F.monotonically_increasing_id()).write.parquet(f"{path}/points")
+    Q0.select("_g", "_v").distinct().withColumn("_qid", F.monotonically_increasing_id()).write.parquet(f"{path}/queries")
+    RP, QP = spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/queries")
+    u = _projection(RP)
+    proj = F.aggregate(F.zip_with("_v", F.slice(F.array(*[F.lit(x) for x in u]) if u else F.array(F.lit(0.0)), F.lit(1), F.greatest(F.size("_v"), F.lit(1))),
+                                  lambda a, b: F.coalesce(a.cast("double") * b, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+
+    # groups (classes or folds, and lengths of vectors: bounded) and the cuts between their cells
+    sizes = RP.groupBy("_g", F.size("_v").alias("_len")).agg(F.count(F.lit(1)).alias("_n")).collect()
+    gids = {(r["_g"], r["_len"]): i for i, r in enumerate(sizes)}
+    named = spark.createDataFrame([(*key, i) for key, i in gids.items()], RP.select("_g", F.lit(0).alias("_len"), F.lit(0).alias("_gid")).schema)
+
+    def numbered(df: DataFrame) -> DataFrame:
+        return df.withColumn("_len", F.size("_v")).join(F.broadcast(named), ["_g", "_len"]).drop("_len")
+
+    RP, QP = numbered(RP).withColumn("_p", proj), numbered(QP).withColumn("_p", proj)
+    n_cells = min(MAX_CELLS, max((math.ceil(r["_n"] / CELL_POINTS) for r in sizes), default=1))
+    cuts = {i: np.zeros(0) for i in gids.values()}
+    if n_cells > 1:
+        marks = F.percentile_approx("_p", F.array(*[F.lit(c / n_cells) for c in range(1, n_cells)]), F.lit(20 * n_cells))
+        cells = {i: min(MAX_CELLS, math.ceil(r["_n"] / CELL_POINTS)) for i, r in enumerate(sizes)}
+        for r in RP.groupBy("_gid").agg(marks.alias("c")).collect():
+            own = cells[r["_gid"]]
+            cuts[r["_gid"]] = np.unique([r["c"][round(j * n_cells / own) - 1] for j in range(1, own)])
+    cell = _cell_of(cuts)
+    RP, QP = RP.withColumn("_cell", cell("_gid", "_p")), QP.withColumn("_cell", cell("_gid", "_p"))
+
+    def blocks(df: DataFrame, ident: str, size: int, out: str) -> tuple[DataFrame, DataFrame]:
+        """Rows with the number of their block in their cell, and the blocks of each cell."""
+        n = df.groupBy("_gid", "_cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_blocks"))
+        return df.join(n, ["_gid", "_cell"]).withColumn(out, F.pmod(F.xxhash64(ident), F.col("_blocks")).cast("int")).drop("_blocks"), n
+
+    RB, r_blocks = blocks(RP.select("_pid", "_gid", "_cell", "_v", F.col("_keys")[0].alias("_first")), "_pid", REF_BLOCK, "_rb")
+    QB, q_blocks = blocks(QP.select("_qid", "_gid", "_cell", "_v", "_p"), "_qid", QUERY_BLOCK, "_qb")
+    RB.write.parquet(f"{path}/ref-blocks")
+    QB.write.parquet(f"{path}/query-blocks")
+    RB, QB = spark.read.parquet(f"{path}/ref-blocks"), spark.read.parquet(f"{path}/query-blocks")
+
+    # 1. an upper bound of the distance of the k+1-th nearest point, from a block of the query's own cell
+    if n_cells > 1:
+        own = RB.where(F.col("_rb") == 0).join(q_blocks, ["_gid", "_cell"]).withColumn("_qb", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        by, n = ["_gid", "_cell", "_qb"], min(MAX_TASKS, max(1, len(gids) * n_cells))
+        (QB.repartition(n, *by).groupBy(*by).cogroup(own.drop("_blocks").repartition(n, *by).groupBy(*by))
+         .applyInArrow(_radius(top, metric), "_qid bigint, _R double").write.parquet(f"{path}/radius"))
+        QB = QB.join(spark.read.parquet(f"{path}/radius"), "_qid")
+    else:
+        QB = QB.withColumn("_R", F.lit(float("inf")))
+
+    # 2. exact pass over the cells that meet [p - R, p + R]; a margin covers the rounding of p
+    reach = F.col("_R") + (F.abs("_p") + F.col("_R")) * 1e-9
+    units = (QB.withColumnRenamed("_cell", "_qc").withColumn("_lo", cell("_gid", F.col("_p") - reach)).withColumn("_hi", cell("_gid", F.col("_p") + reach))
+             .withColumn("_cell", F.explode(F.sequence("_lo", "_hi"))).join(r_blocks, ["_gid", "_cell"])
+             .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select("_qid", "_v", "_R", "_gid", "_qc", "_qb", "_cell", "_rb"))
+    by = ["_gid", "_qc", "_qb", "_cell", "_rb"]
+    met = units.select(*by).distinct()
+    met.write.parquet(f"{path}/units")
+    met = spark.read.parquet(f"{path}/units")
+    n = min(MAX_TASKS, max(1, met.count()))
+    refs = RB.join(met, ["_gid", "_cell", "_rb"])
+    cand = (units.repartition(n, *by).groupBy(*by).cogroup(refs.select(*by, "_pid", "_v", "_first").repartition(n, *by).groupBy(*by))
+            .applyInArrow(_nearest(top, metric), "_qid bigint, _pid bigint, dist double"))
+
+    # rows of the k+1 nearest points
+    wp = Window.partitionBy("_qid").orderBy("dist", F.col("_keys")[0])
+    found = (cand.join(RP.select("_pid", "_keys"), "_pid").withColumn("_rn", F.row_number().over(wp)).where(F.col("_rn") <= top)
+             .select("_qid", "dist", F.explode("_keys").alias("_rk")))
+    if not exclude_self:
+        found = found.withColumn("_rn", F.row_number().over(Window.partitionBy("_qid").orderBy("dist", "_rk"))).where(F.col("_rn") <= k).drop("_rn")
+    rows = Q0.join(QP.select(F.col("_g"), "_v", "_qid"), ["_g", "_v"]).join(found, "_qid")
     if exclude_self:
         rows = rows.where(F.to_json("_qk") != F.to_json("_rk"))
     wr = Window.partitionBy("_qk").orderBy("dist", "_rk")

@@ -213,3 +213,34 @@ def test_permutations_broadcast_no_rows(spark):
     importance.permutation_importance(m, df, ["a"], ["k"], "classification", n_repeats=2).collect()
     plan = m.frames[-1]._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "BroadcastExchange" not in plan
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_knn_over_many_cells_and_blocks(spark, monkeypatch, metric):
+    # equal numbers of points a cell, several blocks a cell, ties, copies, a null and a NaN that take no part
+    monkeypatch.setattr(neighbors, "CELL_POINTS", 16)
+    monkeypatch.setattr(neighbors, "REF_BLOCK", 7)
+    monkeypatch.setattr(neighbors, "QUERY_BLOCK", 5)
+    pts = [(i, i % 2, float(int(1.05 ** (i % 110))), float(i % 3)) for i in range(240)]
+    df = spark.createDataFrame([*pts, (900, 0, None, 1.0), (901, 0, float("nan"), 1.0)], "k long, g int, x double, y double")
+    got = neighbors.knn(df, df, ["x", "y"], 4, ["k"], ["k"], group="g", exclude_self=True, metric=metric)
+    have = {}
+    for r in got.orderBy("q_k", "nn_rank").collect():
+        have.setdefault(r["q_k"], []).append((r["dist"], r["r_k"]))
+    dist = (lambda a, b: sum(abs(x - y) for x, y in zip(a, b))) if metric == "manhattan" else math.dist
+    for k, g, *v in pts:
+        assert have.pop(k) == sorted((dist(v, w), j) for j, h, *w in pts if h == g and j != k)[:4]
+    assert not have
+
+
+def test_knn_blocks_give_few_candidates():
+    """At most k + 1 candidates of a query leave a block, however many points lie equally near; the smallest keys win."""
+    out = neighbors._nearest(3, "euclidean")(*_blocks(50, 400))
+    assert out.num_rows == 150 and set(out.column("_pid").to_pylist()) == {0, 1, 2} and set(out.column("dist").to_pylist()) == {1.0}
+
+
+def _blocks(n_q, n_r):
+    import pyarrow as pa
+    first = pa.StructArray.from_arrays([pa.array(range(n_r))], ["k"])
+    q = pa.table({"_qid": range(n_q), "_v": [[0.0, 0.0]] * n_q, "_R": [float("inf")] * n_q})
+    return q, pa.table({"_pid": range(n_r), "_v": [[1.0, 0.0]] * n_r, "_first": first})
