@@ -153,10 +153,13 @@ def _naive_bayes(folds, members, features, problem_type, metric, label, n_classe
                     others[m["cls"]].append(m)
             own[f] = [_merged(others[c], len(features)) for c in sorted(others)]
     preds = []
-    for (ci, p), f in itertools.product(members, folds.train):
-        m = learners.gnb_from_moments(own[f], features, float(p.get("var_smoothing", 1e-9)), n_classes)
-        pred = m.transform(folds.rows.where(F.col("fold") == f))
-        preds.append(pred.select(F.lit(ci).alias("candidate"), "fold", label, "prediction"))
+    for f in folds.train:  # one pass over a fold's rows for all candidates
+        rows = folds.rows.where(F.col("fold") == f)
+        for ci, p in members:
+            m = learners.gnb_from_moments(own[f], features, float(p.get("var_smoothing", 1e-9)), n_classes)
+            rows = m.transform(rows).withColumnRenamed("prediction", f"_p{ci}").drop("probability", "score")
+        each = F.array(*[F.struct(F.lit(ci).alias("candidate"), F.col(f"_p{ci}").alias("prediction")) for ci, _ in members])
+        preds.append(rows.select("fold", label, F.explode(each).alias("_c")).select("_c.candidate", "fold", label, "_c.prediction"))
     return _measured(reduce(DataFrame.unionByName, preds), metric, problem_type, label)
 
 

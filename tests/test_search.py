@@ -74,3 +74,13 @@ def test_solvers_differ_by_the_intercept(table):
 def test_partitions_by_bytes(spark):
     assert search.by_bytes(spark.range(1000).repartition(50), 1000).rdd.getNumPartitions() == 1
     assert search.by_bytes(spark.range(1000).repartition(50), 10 ** 9).rdd.getNumPartitions() == 50
+
+
+def test_naive_bayes_reads_each_fold_once(table, monkeypatch):
+    """All candidates are scored in one pass over a fold's rows."""
+    seen, plain = [], search._measured
+    monkeypatch.setattr(search, "_measured", lambda pred, *a: (seen.append(pred), plain(pred, *a))[1])
+    got = cv.fold_scores(table, ["a", "b"], "classification", "f1_macro", CANDIDATES[:2], n_classes=2)
+    assert len(got) == 6
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 3
