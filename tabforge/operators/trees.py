@@ -3,7 +3,8 @@
 A level of all trees is a grouped table: the rows of the nodes that may still be split are counted per (tree, node, feature, value)
 with map-side combine, running sums over a feature's values give both sides of every split, and the best split of a node is a
 maximum over its candidates.  Rows then carry their new node.  Rows, splits and nodes are written under ``spark.checkpoint.dir``
-level by level, so a lost executor costs one level at most and plans stay short.
+level by level, so a lost executor costs one level at most and plans stay short.  The training rows are read once, into a table of
+keys, labels and features; the deepest level a ``max_depth`` allows is only counted, its rows are not written.
 
 * Depth has no ceiling: a node's id is its path from the root (``0`` left, ``1`` right).
 * Every midpoint between neighbouring values of a node is tried.  ``max_bins`` groups a feature's values by exact quantiles first;
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -185,27 +187,31 @@ def fit(train: DataFrame, features: list[str], key: list[str], problem_type: str
     """
     spark, base = train.sparkSession, scratch_path(train.sparkSession, "trees")
     cls = problem_type == "classification"
-    a = train.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.isnan(F.col(label).cast("double")), None).otherwise(F.col(label))).alias("labelled"),
-                  F.min(F.col(label).cast("double")).alias("lo"), F.max(F.col(label).cast("double")).alias("hi"),
-                  *[F.count(k).alias(f"k{i}") for i, k in enumerate(key)]).first()
+    names = [f"_x{i}" for i in range(len(features))]
+    table = _written(train.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(key)], F.col(label).cast("double").alias("y"),
+                                  *[_checked(f).alias(x) for f, x in zip(features, names)]), f"{base}/table")
+    a = table.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.isnan("y"), None).otherwise(F.col("y"))).alias("labelled"), F.min("y").alias("lo"),
+                  F.max("y").alias("hi"), *[F.count(f"k{i}").alias(f"k{i}") for i in range(len(key))]).first()
     if not a["n"]:
         raise ValueError("no rows to grow a tree on")
     if a["labelled"] < a["n"] or any(a[f"k{i}"] < a["n"] for i in range(len(key))):
         raise ValueError("null label or key")
     lo, span = a["lo"], a["hi"] - a["lo"]
     imp = _Impurity(criterion, max(n_classes or 0, int(a["hi"]) + 1)) if cls else _Impurity("squared_error")
-    y = F.col(label).cast("int") if cls else F.round((F.col(label).cast("double") - lo) / (span or 1.0) * GRID).cast("long")
+    y = F.col("y").cast("int") if cls else F.round((F.col("y") - lo) / (span or 1.0) * GRID).cast("long")
     m = max(1, int(math.sqrt(len(features)))) if max_features == "sqrt" else int(max_features or len(features))
-    grow = _Grower(spark, base, len(features), imp, m, max_depth, min_samples_split, seed, max_bins, _edges(train, features, a["n"], max_bins))
+    edges = _edges(table, names, a["n"], max_bins)
+    grow = _Grower(spark, base, len(features), imp, m, max_depth, min_samples_split, seed, max_bins, any(edges))
     bootstrap = n_trees > 1 if bootstrap is None else bootstrap
-    x = F.array(*[_checked(f) for f in features])
+    placed = table.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(key)], y.alias("_y"), *names)
+    placed = _bucketed(placed, names, edges).select(*key, F.col("_y").alias("y"), F.array(*names).alias("x"), "_b")
     n_levels: list[int] = []
     for first in range(0, n_trees, TREES_AT_ONCE):
         trees = F.array(*[F.lit(t) for t in range(first, min(first + TREES_AT_ONCE, n_trees))])
-        rows = train.select(*key, y.alias("y"), x.alias("x")).withColumn("tree", F.explode(trees))
+        rows = placed.withColumn("tree", F.explode(trees))
         rows = rows.coalesce(max(1, math.ceil(a["n"] * min(n_trees, TREES_AT_ONCE) * (len(features) + 4) * 8 / PARTITION_BYTES)))
         rows = rows.withColumn("w", bootstrap_weight(key, seed) if bootstrap else F.lit(1).cast("long")).where("w > 0")
-        for depth, n in enumerate(grow.run(rows.select("tree", F.lit("").alias("node"), "w", "y", "x"), first)):
+        for depth, n in enumerate(grow.run(rows.select("tree", F.lit("").alias("node"), "w", "y", "x", "_b"), first)):
             n_levels[depth:depth + 1] = [(n_levels[depth] if depth < len(n_levels) else 0) + n]
     nodes = _written(grow.nodes(), f"{base}/nodes")
     s = _named(imp.names)
@@ -224,10 +230,24 @@ def _edges(train: DataFrame, features: list[str], n: int, max_bins: int | None)
     if parts == 1:
         return [[] for _ in features]
     parts = min(parts, 1000)
-    found = train.select(*[F.col(f).cast("double").alias(f) for f in features]).approxQuantile(list(features), [i / parts for i in range(1, parts)], 0.25 / parts)
+    found = train.approxQuantile(list(features), [i / parts for i in range(1, parts)], 0.25 / parts)
     return [sorted(set(q)) for q in found]
 
 
+def _bucketed(df: DataFrame, features: list[str], edges: list[list[float]]) -> DataFrame:
+    """Adds ``_b``: of each feature, how many of its cuts lie below the value.  A binary search a value, whatever the number of cuts."""
+    finite = [[e for e in es if not math.isinf(e)] for es in edges]
+    cut = [i for i, es in enumerate(finite) if es]
+    if cut:
+        # buckets hold their lower end, so the turned value's bucket counts the cuts at or above the value; 0.0 - 0.0 has no sign
+        df = df.withColumns({f"_t{i}": F.lit(0.0) - F.col(features[i]) for i in cut})
+        df = Bucketizer(splitsArray=[[-math.inf, *sorted(0.0 - e for e in finite[i]), math.inf] for i in cut], inputCols=[f"_t{i}" for i in cut],
+                        outputCols=[f"_b{i}" for i in cut]).transform(df)
+    below = [F.lit(len(finite[i])) - F.col(f"_b{i}").cast("int") if i in cut else F.lit(0) for i in range(len(features))]
+    lowest = [F.when(F.col(f) > -math.inf, 1).otherwise(0) if -math.inf in es else F.lit(0) for f, es in zip(features, edges)]
+    return df.withColumn("_b", F.array(*[(n + o).cast("int") for n, o in zip(below, lowest)]))
+
+
 @dataclass
 class _Grower:
     spark: SparkSession
@@ -239,7 +259,7 @@ class _Grower:
     min_samples_split: int
     seed: int
     max_bins: int | None
-    edges: list[list[float]]
+    cut: bool                          # whether a feature's values lie in more than one bucket
     stats_schema: object = None
     split_once: bool = False
 
@@ -248,7 +268,8 @@ class _Grower:
         counts: list[int] = []
         keep = [*AT, "n_rows", *self.imp.names]
         path = f"{self.base}/rows/{batch}-0"
-        rows = _written(rows, path)
+        if self.max_depth is None or self.max_depth > 0:
+            rows = _written(rows, path)
         while True:
             depth = len(counts)
             at = f"{batch}-{depth}"
@@ -263,8 +284,11 @@ class _Grower:
             side = F.when(F.element_at("x", F.col("feature") + 1) <= F.col("threshold"), "0").otherwise("1")
             self.split_once = True
             where = F.broadcast(splits) if _small(seen["active"], 64 + depth) else splits
+            rows = rows.join(where, AT).select("tree", F.concat("node", side).alias("node"), "w", "y", "x", "_b")
+            if depth + 1 == self.max_depth:
+                continue                   # no split below: these rows are read once, for their nodes' sums
             after = f"{self.base}/rows/{batch}-{depth + 1}"
-            rows = _written(rows.join(where, AT).select("tree", F.concat("node", side).alias("node"), "w", "y", "x"), after)
+            rows = _written(rows, after)
             _remove(self.spark, path)
             path = after
 
@@ -302,17 +326,14 @@ class _Grower:
     def splits(self, rows: DataFrame, active: DataFrame, n_nodes: int, depth: int) -> DataFrame:
         """The best split of every active node: feature, threshold, score."""
         s, totals = self.imp.names, [f"t{i}" for i in range(len(self.imp.names))]
-        nodes = active.select(*AT, self.drawn().alias("drawn"), *[F.col(c).alias(t) for c, t in zip(s, totals)])
-        nodes = F.broadcast(nodes) if _small(n_nodes, 64 + depth + 4 * self.m + 16 * len(s)) else nodes
-        long = rows.join(nodes, AT).select(*AT, *totals, "w", "y", "x", F.explode("drawn").alias("feature"))
-        long = long.withColumn("v", F.element_at("x", F.col("feature") + 1)).drop("x")
-        cut = any(self.edges)
-        if cut:
-            edges = F.array(*[F.array(*[F.lit(e) for e in es]).cast("array<double>") for es in self.edges])
-            long = long.withColumn("b", F.size(F.filter(F.element_at(edges, F.col("feature") + 1), lambda e: e < F.col("v"))))
-        else:
-            long = long.withColumn("b", F.lit(0))
-        by = [*AT, *totals, "feature", "b"]
+        small = _small(n_nodes, 64 + depth + 4 * self.m + 16 * len(s))
+        nodes = active.select(*AT, self.drawn().alias("drawn"))
+        sums = active.select(*AT, *[F.col(c).alias(t) for c, t in zip(s, totals)])
+        nodes, sums = (F.broadcast(nodes), F.broadcast(sums)) if small else (nodes, sums)
+        long = rows.join(nodes, AT).select(*AT, "w", "y", "x", "_b", F.explode("drawn").alias("feature"))
+        at = F.col("feature") + 1
+        long = long.select(*AT, "w", "y", "feature", F.element_at("x", at).alias("v"), F.element_at("_b", at).alias("b"))
+        cut, by = self.cut, [*AT, "feature", "b"]
         if self.max_bins:
             h = long.groupBy(*by).agg(*self.imp.sums(), F.min("v").alias("lo"), F.max("v").alias("hi"))
             cut = False
@@ -328,12 +349,12 @@ class _Grower:
             ob = Window.partitionBy(*group).orderBy("b")
             before = ob.rowsBetween(Window.unboundedPreceding, -1)
             of = of.select(*group, "b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"o_{c}") for c in s], F.lead("lo").over(ob).alias("after"))
-            left = left.join(of, [*group, "b"]).select(*AT, *totals, "feature", "hi", F.coalesce("next", "after").alias("next"),
+            left = left.join(of, [*group, "b"]).select(*AT, "feature", "hi", F.coalesce("next", "after").alias("next"),
                                                        *[(F.col(c) + F.col(f"o_{c}")).alias(c) for c in s])
         mid = F.col("hi") / 2 + F.col("next") / 2
         threshold = F.when(mid < F.col("next"), mid).otherwise(F.col("hi"))
         right = [F.col(t) - F.col(c) for c, t in zip(s, totals)]
         score = self.imp.score(_named(s)) + self.imp.score(right)
-        best = (left.where("next IS NOT NULL").select(*AT, score.alias("score"), (-F.col("feature")).alias("f"), (-threshold).alias("th"))
+        best = (left.where("next IS NOT NULL").join(sums, AT).select(*AT, score.alias("score"), (-F.col("feature")).alias("f"), (-threshold).alias("th"))
                 .groupBy(*AT).agg(F.max(F.struct("score", "f", "th")).alias("best")))
         return best.select(*AT, (-F.col("best.f")).alias("feature"), (-F.col("best.th")).alias("threshold"), F.col("best.score").alias("score"))

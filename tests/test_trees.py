@@ -171,3 +171,25 @@ def test_edges(spark):
         trees.fit(same.withColumn("b", F.when(F.col("id") != 3, 1.0)), X, ["id"], "classification").nodes.collect()
     extra = same.withColumn("node", F.lit("x")).withColumn("value", F.lit(1)).withColumn("x", F.lit(2))
     assert set(extra.columns) < set(model.transform(extra).columns)
+
+
+def test_place_among_cuts_is_exact(spark):
+    values = [float("-inf"), -2.5, -0.0, 0.0, 1.0, 1.5, 7.0, float("inf")]
+    edges = [[float("-inf"), -2.5, -0.0, 1.0, 1.5, float("inf")], [], [0.0, 7.0]]
+    t = spark.createDataFrame([(v, v, v) for v in values], "a double, b double, c double")
+    for r in trees._bucketed(t, X, edges).collect():
+        assert list(r["_b"]) == [sum(e < r["a"] for e in es) for es in edges], r
+
+
+def test_deepest_level_is_counted_and_not_written(spark, monkeypatch):
+    rows, paths, written = rows_of(200, 2), [], trees._written
+    monkeypatch.setattr(trees, "_written", lambda df, path: (paths.append((path, df.columns)), written(df, path))[1])
+    model = trees.fit(table(spark, rows), X, ["id"], "classification", max_depth=2)
+    assert len(model.level_nodes) == 3
+    levels = [p.split("/rows/")[1] for p, _ in paths if "/rows/" in p]
+    assert levels == ["0-0", "0-1"]
+    # the table is read once, into what all later passes read
+    assert paths[0][0].endswith("/table")
+    got = found(model)
+    for node, v in plain(rows, 2, 0, 3, 2, False).items():
+        assert got[0, node][:4] == v[:4]
