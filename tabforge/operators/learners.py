@@ -13,11 +13,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
                                        OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
 from pyspark import StorageLevel
@@ -64,12 +65,10 @@ class Fitted:
     def transform(self, df: DataFrame) -> DataFrame:
         if self.kind == "mllib":
             rff = self.params.get("rff")
-            src = df.withColumns(rff_columns(self.features, rff)) if rff else df
+            src = df.withColumn("features", rff_vector(self.features, rff)) if rff else df
             if self.params.get("solver") == "liblinear":
                 src = src.withColumn(CONSTANT, F.lit(1.0))
             out = self.model.transform(src)
-            if rff:
-                out = out.drop(*[f"_rff{j}" for j in range(rff["dim"])])
             out = out.drop(CONSTANT)
             drop = [c for c in ("features", "rawPrediction") if c in out.columns]
             if self.problem_type == "classification":
@@ -119,15 +118,25 @@ def rff_params(features: list[str], gamma: float, dim: int = RFF_DIM, seed: int
     return {"w": w.tolist(), "b": b.tolist(), "dim": dim}
 
 
-def rff_columns(features: list[str], rff: dict) -> dict:
-    scale = math.sqrt(2.0 / rff["dim"])
-    cols = {}
-    for j in range(rff["dim"]):
-        lin = F.lit(rff["b"][j])
-        for i, f in enumerate(features):
-            lin = lin + F.lit(rff["w"][j][i]) * F.col(f).cast("double")
-        cols[f"_rff{j}"] = F.lit(scale) * F.cos(lin)
-    return cols
+def rff_vector(features: list[str], rff: dict) -> Column:
+    """The row's map as one vector.  A batch of rows is mapped at once: as 64 projected columns it is a method too long to be compiled."""
+    import numpy as np
+    w, b, scale = np.array(rff["w"]), np.array(rff["b"]), math.sqrt(2.0 / rff["dim"])
+
+    @F.pandas_udf("array<double>")
+    def mapped(x: pd.DataFrame) -> pd.Series:
+        lin = np.tile(b, (len(x), 1))
+        for i in range(x.shape[1]):
+            lin += x.iloc[:, i].to_numpy(np.float64, na_value=np.nan)[:, None] * w[:, i]
+        return pd.Series(list(scale * np.cos(lin)))
+
+    values = [_known(f) for f in features]
+    return array_to_vector(mapped(F.struct(*[v.alias(f"x{i}") for i, v in enumerate(values)])))
+
+
+def _known(name: str) -> Column:
+    v = F.col(name).cast("double")
+    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == math.inf), F.raise_error(F.lit(f"null, NaN or infinity in {name}"))).otherwise(v)
 
 
 def _gamma(train: DataFrame, features: list[str], how) -> float:
@@ -211,20 +220,19 @@ def fit(name: str, train: DataFrame, features: list[str], problem_type: str, lab
                  .unionAll(train.select(1 - F.col(label), *[-c for c in x], F.lit(-1.0))))
     if name == "SVM" and (params or {}).get("kernel", "rbf") == "rbf":
         # the RBF kernel through an explicit random feature map, then a linear model
-        rff = rff_params(features, _gamma(train, features, (params or {}).get("gamma", "scale")))
+        held = train.select(label, *features).persist(StorageLevel.MEMORY_AND_DISK)
+        rff = rff_params(features, _gamma(held, features, (params or {}).get("gamma", "scale")))
         fitted_params["rff"] = rff
-        in_cols = [f"_rff{j}" for j in range(rff["dim"])]
-        # the mapped rows are read by every optimizer pass: build them once
-        train = train.select(F.col(label), *[c.alias(n) for n, c in rff_columns(features, rff).items()])
-        train = train.persist(StorageLevel.MEMORY_AND_DISK)
-    stages = [_assembler(in_cols), est.setFeaturesCol("features").setLabelCol(label)
-              if hasattr(est, "setLabelCol") else est]
+        # the optimizer keeps the mapped rows in blocks of its own, so only the rows they are made of are held here
+        train = held.withColumn("features", rff_vector(features, rff))
+    est = est.setFeaturesCol("features").setLabelCol(label) if hasattr(est, "setLabelCol") else est
+    stages = [est] if "rff" in fitted_params else [_assembler(in_cols), est]
     pm = Pipeline(stages=stages).fit(train)
     fitted = Fitted(name, problem_type, list(features), "mllib", pm, fitted_params, n_classes)
     if name == "SVM" and problem_type == "classification" and n_classes == 2:
         fitted.params["platt"] = _platt(pm, train, label)
     if "rff" in fitted_params:
-        train.unpersist()
+        held.unpersist()
     return fitted
 
 

@@ -1,5 +1,7 @@
 """The registered support-vector regressor uses every feature of its table, encoded by the library."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -21,3 +23,17 @@ def test_svm_regressor_fits_on_all_features(spark, monkeypatch):
     mean = table.agg(F.mean("net")).first()[0]
     error, spread = (sum((r.label - x(r)) ** 2 for r in rows) for x in (lambda r: r.prediction, lambda r: mean))
     assert error < 0.5 * spread
+
+
+def test_mapped_rows_are_not_held_beside_the_optimizers_blocks(spark, monkeypatch):
+    table = spark.range(200).select(F.col("id").cast("double").alias("a"), F.sin("id").alias("b"), F.lit(2).alias("c"), (F.col("id") * 3 + 1).cast("double").alias("label"))
+    widths, persist = [], type(table).persist
+    monkeypatch.setattr(type(table), "persist", lambda df, *a, **k: (widths.append(len(df.columns)), persist(df, *a, **k))[1])
+    m = learners.fit("SVM", table, ["a", "b", "c"], "regression")
+    assert widths and max(widths) <= 4
+    rff = m.params["rff"]
+    for r in table.select("*", learners.rff_vector(["a", "b", "c"], rff).alias("z")).limit(20).collect():
+        for z, w, b in zip(r["z"], rff["w"], rff["b"]):
+            assert abs(z - math.sqrt(2 / rff["dim"]) * math.cos(b + w[0] * r["a"] + w[1] * r["b"] + w[2] * r["c"])) < 1e-12
+    out = m.transform(table)
+    assert out.columns == [*table.columns, "prediction"] and out.count() == 200
