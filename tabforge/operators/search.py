@@ -5,7 +5,7 @@ Work that candidates have in common is done once:
 * folds and their (resampled) training rows are written once, in as many partitions as their bytes ask for;
 * naive Bayes: one table of moments per fold and class; a training set is the other folds' moments merged, for every smoothing;
 * nearest neighbours: one search over all folds at the largest k per metric; each k and weighting is a prefix of its list;
-* boosting: one fit at the largest number of rounds; fewer rounds are the first trees of that fit.
+* boosting: models of one depth grow in step over all folds, a job a level (``boosting``); fewer rounds are the first trees of the most.
 
 Every candidate keeps its own score, the one a fit of its own would get; the other families are fitted one by one.
 """
@@ -19,13 +19,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark import SparkContext, StorageLevel
-from pyspark.ml import PipelineModel
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import learners, metrics
+from . import boosting, learners, metrics
 from .neighbors import knn
 
 #: Bytes of a training partition, at every size of table.
@@ -97,10 +96,12 @@ def scores(folds: Folds, features: list[str], problem_type: str, metric: str, ca
         if name == "KNN":
             near[p.get("metric", "euclidean")].append((ci, p))
         elif name == "Gradient Boosting" and (problem_type != "classification" or n_classes <= 2):
-            boosted[tuple(sorted((k, v) for k, v in p.items() if k != "n_estimators"))].append((ci, p))
+            boosted[int(p.get("max_depth", 3))].append((ci, p))
+    if boosted:
+        ends = _boosting_cuts(folds, features, label, parallelism)
     # longest first, so that the pool ends evenly
-    for members, f in itertools.product(boosted.values(), folds.train):
-        jobs.append(lambda members=members, f=f: _boosting(folds, f, members, *args))
+    for _, members in sorted(boosted.items(), reverse=True):
+        jobs.append(lambda members=members: _boosting(folds, ends, members, *args))
     for how, members in near.items():
         jobs.append(lambda how=how, members=members: _neighbors(folds, how, members, key, *args))
     done = {ci for group in (bayes, *near.values(), *boosted.values()) for ci, _ in group}
@@ -191,29 +192,23 @@ def _neighbors(folds, how, members, key, features, problem_type, metric, label,
     return _measured(neighbor_predictions(folds, how, members, key, features, problem_type, label), metric, problem_type, label)
 
 
-def first_trees(model, n: int):
-    """The boosted model of the first n rounds, through MLlib's public constructor from trees and weights."""
-    sc = SparkContext.getOrCreate()
-    java, cls = model._java_obj, type(model)
-    name = java.getClass().getName()
-    trees = sc._gateway.new_array(sc._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
-    weights = sc._gateway.new_array(sc._jvm.double, n)
-    all_trees, all_weights = java.trees(), java.treeWeights()
-    for i in range(n):
-        trees[i], weights[i] = all_trees[i], all_weights[i]
-    part = cls(getattr(sc._jvm.org.apache.spark.ml, name.split(".")[-2]).__getattr__(name.split(".")[-1])(f"{model.uid}-{n}", trees, weights))
-    part._resetUid(part._java_obj.uid())
-    part._java_obj.setFeaturesCol("features")
-    return part
+def _boosting_cuts(folds, features, label, parallelism):
+    def of(f):
+        return boosting.cuts(boosting.points(folds.train[f], features, label), folds.n_train[f], len(features))
+
+    with ThreadPoolExecutor(max(1, parallelism)) as ex:
+        return dict(zip(folds.train, ex.map(of, folds.train)))
 
 
-def _boosting(folds, f, members, features, problem_type, metric, label, n_classes):
+def _boosting(folds, ends, members, features, problem_type, metric, label, n_classes):
     rounds = {ci: int(p.get("n_estimators", 100)) for ci, p in members}
-    whole = learners.fit("Gradient Boosting", folds.train[f], features, problem_type, label,
-                         {**members[0][1], "n_estimators": max(rounds.values())}, n_rows=folds.n_train[f], n_classes=n_classes)
-    rows, preds = folds.rows.where(F.col("fold") == f), []
-    for ci, n in rounds.items():
-        stages = whole.model.stages
-        part = replace(whole, model=PipelineModel([*stages[:-1], first_trees(stages[-1], n)]))
-        preds.append(part.transform(rows).select(F.lit(ci).alias("candidate"), "fold", label, "prediction"))
-    return _measured(reduce(DataFrame.unionByName, preds), metric, problem_type, label)
+    alike = defaultdict(list)  # candidates that differ in rounds only are prefixes of one model
+    for ci, p in members:
+        alike[boosting.Spec.of(p, 0)].append(ci)
+    specs = [replace(s, rounds=max(rounds[ci] for ci in of)) for s, of in alike.items()]
+    train = {f: boosting.points(t, features, label) for f, t in folds.train.items()}
+    trees = boosting.fit(train, folds.n_train, ends, problem_type, specs)
+    models = {f: {ci: (s.step, trees[f, i], rounds[ci]) for i, (s, of) in enumerate(zip(specs, alike.values())) for ci in sorted(of, key=rounds.get)}
+              for f in folds.train}
+    rows = boosting.points(folds.rows, features, label, "fold").repartition(folds.rows.sparkSession.sparkContext.defaultParallelism)
+    return _measured(boosting.predictions(rows, label, ends, problem_type, models), metric, problem_type, label)
