@@ -195,8 +195,11 @@ def mllib_estimator(name: str, problem_type: str, n_rows: int, n_classes: int, p
 
 
 def fit(name: str, train: DataFrame, features: list[str], problem_type: str, label: str = "label",
-        params: dict | None = None, n_rows: int | None = None, n_classes: int | None = None) -> Fitted:
-    """Fit one zoo entry on ``train`` (feature columns + ``label``)."""
+        params: dict | None = None, n_rows: int | None = None, n_classes: int | None = None, probabilities: bool = True) -> Fitted:
+    """Fit one zoo entry on ``train`` (feature columns + ``label``).
+
+    Without ``probabilities`` the SVM's are null and their own fit is left out; predictions do not depend on them.
+    """
     if n_rows is None or (problem_type == "classification" and n_classes is None):
         a = train.agg(F.count(F.lit(1)).alias("n"), F.max(label).alias("m")).first()
         n_rows = n_rows if n_rows is not None else a["n"]
@@ -229,7 +232,7 @@ def fit(name: str, train: DataFrame, features: list[str], problem_type: str, lab
     stages = [est] if "rff" in fitted_params else [_assembler(in_cols), est]
     pm = Pipeline(stages=stages).fit(train)
     fitted = Fitted(name, problem_type, list(features), "mllib", pm, fitted_params, n_classes)
-    if name == "SVM" and problem_type == "classification" and n_classes == 2:
+    if name == "SVM" and problem_type == "classification" and n_classes == 2 and probabilities:
         fitted.params["platt"] = _platt(pm, train, label)
     if "rff" in fitted_params:
         held.unpersist()

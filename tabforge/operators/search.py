@@ -6,6 +6,7 @@ Work that candidates have in common is done once:
 * naive Bayes: one table of moments per fold and class; a training set is the other folds' moments merged, for every smoothing;
 * nearest neighbours: one search over all folds at the largest k per metric; each k and weighting is a prefix of its list;
 * boosting: models of one depth grow in step over all folds, a job a level (``boosting``); fewer rounds are the first trees of the most.
+* candidates that differ only in what their model does not use (the linear SVM's gamma) share a fit; nothing here reads probabilities, so none are fitted.
 
 Every candidate keeps its own score, the one a fit of its own would get; the other families are fitted one by one.
 """
@@ -105,9 +106,12 @@ def scores(folds: Folds, features: list[str], problem_type: str, metric: str, ca
     for how, members in near.items():
         jobs.append(lambda how=how, members=members: _neighbors(folds, how, members, key, *args))
     done = {ci for group in (bayes, *near.values(), *boosted.values()) for ci, _ in group}
-    for (ci, name, p), f in itertools.product(numbered, folds.train):
+    alike = defaultdict(list)
+    for ci, name, p in numbered:
         if ci not in done:
-            jobs.append(lambda ci=ci, name=name, p=p, f=f: _single(folds, f, ci, name, p, *args))
+            alike[name, tuple(sorted((k, str(v)) for k, v in p.items() if k in _used(name, p)))].append((ci, p))
+    for ((name, _), members), f in itertools.product(alike.items(), folds.train):
+        jobs.append(lambda name=name, members=members, f=f: _single(folds, f, [ci for ci, _ in members], name, members[0][1], *args))
     try:
         with ThreadPoolExecutor(max(1, parallelism)) as ex:
             return sorted(row for found in ex.map(lambda job: job(), jobs) for row in found)
@@ -126,10 +130,16 @@ def _measured(pred: DataFrame, metric: str, problem_type: str, label: str) -> li
     return [(r["candidate"], r["fold"], float(r[column])) for r in m.select(*by, column).collect()]  # candidates times folds rows
 
 
-def _single(folds, f, ci, name, params, features, problem_type, metric, label, n_classes):
-    m = learners.fit(name, folds.train[f], features, problem_type, label, params, n_rows=folds.n_train[f], n_classes=n_classes)
-    pred = m.transform(folds.rows.where(F.col("fold") == f)).select(F.lit(ci).alias("candidate"), F.lit(f).alias("fold"), label, "prediction")
-    return _measured(pred, metric, problem_type, label)
+def _used(name: str, params: dict) -> list[str]:
+    """The parameters that the model depends on."""
+    return [k for k in params if not (name == "SVM" and k == "gamma" and params.get("kernel", "rbf") != "rbf")]
+
+
+def _single(folds, f, cis, name, params, features, problem_type, metric, label, n_classes):
+    """One fit, and its score for every candidate it stands for."""
+    m = learners.fit(name, folds.train[f], features, problem_type, label, params, n_rows=folds.n_train[f], n_classes=n_classes, probabilities=False)
+    pred = m.transform(folds.rows.where(F.col("fold") == f)).select(F.lit(cis[0]).alias("candidate"), F.lit(f).alias("fold"), label, "prediction")
+    return [(ci, f, score) for _, _, score in _measured(pred, metric, problem_type, label) for ci in cis]
 
 
 def _merged(moments: list[dict], n_features: int) -> dict:

@@ -119,6 +119,12 @@ def _resampler(prep: Prepared):
     return rs
 
 
+def _final_train(prep: Prepared, tr: DataFrame) -> DataFrame:
+    """All training rows, resampled where needed; those are held, since the refits of training and tuning read them again and again."""
+    rows = _resampler(prep)(tr) if prep.problem_type == "classification" else tr
+    return rows if rows is tr else rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def train_models(prep: Prepared, names: list[str] | None = None, parallelism: int = 4):
     """Metric choice, 5-fold CV, leaderboard, refit of the best, hold-out metrics."""
     tr = prep.data.where(~F.col("is_test")).drop("is_test")
@@ -131,12 +137,12 @@ def train_models(prep: Prepared, names: list[str] | None = None, parallelism: in
                             parallelism=parallelism, n_classes=prep.n_classes)
     board = cv.leaderboard(run.summary)
     best = cv.top_models(board, 1)[0]
-    final_train = _resampler(prep)(tr) if prep.problem_type == "classification" else tr
+    final_train = _final_train(prep, tr)
     model = learners.fit(best, final_train, prep.features, prep.problem_type, "label", {"key": [KEY]},
                          n_classes=prep.n_classes)
     test_metrics = cv.holdout_metrics(model.transform(te), prep.problem_type)
     return {"metric": metric, "cv": run, "leaderboard": board, "best": best, "model": model,
-            "test_metrics": test_metrics, "folds": folds}
+            "test_metrics": test_metrics, "folds": folds, "final_train": final_train}
 
 
 def tune_top(prep: Prepared, trained: dict, top_n: int = 3, parallelism: int = 4):
@@ -147,8 +153,9 @@ def tune_top(prep: Prepared, trained: dict, top_n: int = 3, parallelism: int = 4
     best, results, table = tuning.run_tuning(trained["folds"], prep.features, prep.problem_type, trained["metric"],
                                              top, key=[KEY], parallelism=parallelism, n_classes=prep.n_classes,
                                              cv_means=means)
-    tr = prep.data.where(~F.col("is_test")).drop("is_test")
-    final_train = _resampler(prep)(tr) if prep.problem_type == "classification" else tr
+    final_train = trained.get("final_train")
+    if final_train is None:
+        final_train = _final_train(prep, prep.data.where(~F.col("is_test")).drop("is_test"))
     params = dict(results[best]["best_params"])
     params["key"] = [KEY]
     model = learners.fit(best, final_train, prep.features, prep.problem_type, "label", params,

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabforge.operators import boosting, learners, search
+from tabforge.operators import boosting, learners, metrics, search
 
 FEATURES = ["a", "b", "c"]
 
@@ -74,3 +74,19 @@ def test_search_does_not_fit_boosting_one_by_one(spark, monkeypatch):
     candidates = [("Gradient Boosting", {"n_estimators": n, "max_depth": d}) for n in (1, 3) for d in (1, 2)]
     got = search.scores(folds, FEATURES, "classification", "accuracy", candidates, n_classes=2)
     assert [(c, f) for c, f, _ in got] == [(c, f) for c in range(4) for f in range(2)]
+
+
+def test_linear_svm_is_fitted_once_for_all_gammas(spark, monkeypatch):
+    df = table(spark, 150, 1).withColumn("fold", (F.monotonically_increasing_id() % 2).cast("int"))
+    seen, plain = [], learners.fit
+    monkeypatch.setattr(learners, "fit", lambda *a, **k: (seen.append(a[5]), plain(*a, **k))[1])
+    folds = search.build_folds(df, FEATURES)
+    candidates = [("SVM", {"C": c, "kernel": "linear", "gamma": g}) for c in (0.001,) for g in ("scale", "auto")]
+    got = search.scores(folds, FEATURES, "classification", "f1", candidates, n_classes=2)
+    assert [(c, f) for c, f, _ in got] == [(c, f) for c in range(2) for f in range(2)]
+    assert len(seen) == 2
+    m = plain("SVM", folds.train[0], FEATURES, "classification", "label", candidates[1][1], n_classes=2)
+    pred = m.transform(folds.rows.where("fold = 0"))
+    assert pred.where("score is null").count() == 0
+    own = metrics.classification_metrics(pred).first()["f1_binary"]
+    assert all(abs(own - s) < 1e-12 for _, f, s in got if f == 0)
