@@ -27,6 +27,8 @@ from .common import gather
 
 #: Distinct pieces whose ids a Python worker remembers between batches; beyond that only those of the batch at hand stay.
 CACHE_PIECES = 400_000
+#: Texts or pieces that go to the library at once; what it returns takes a hundred times the room of the ids.
+AT_ONCE = 1024
 _ODD_SPACE = "[\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Letters in every Unicode version that keep one character in lower case.
 _LETTERS = "^[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{24f}\\x{400}-\\x{481}]+$"
@@ -76,8 +78,8 @@ class ColumnEncoder:
         self.shown = [(chr(b), c) for b, c in enumerate(byte_table()) if c != chr(b) and (b == 32 or b > 127)]
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for i in range(0, len(texts), AT_ONCE)
+                for e in self.tok.encode_batch_fast(texts[i:i + AT_ONCE], add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """Ids of single pre-tokens."""

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tabforge.session import scratch_path
 
 from . import bpe
-from .common import documents, keyed_text, slices
+from .common import SMALL_SLICE_BYTES, documents, keyed_text, slices
 
 CAPACITY = 2048
 PIECES_PER_BUCKET = 200_000
@@ -44,7 +44,7 @@ def cut(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = bpe.encoder(path, spaces=False)
-        for b in slices(batches):
+        for b in slices(batches, size=SMALL_SLICE_BYTES):
             ids, offsets = enc.encode(b.column("text"))
             ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
             offsets = offsets + np.arange(len(offsets))

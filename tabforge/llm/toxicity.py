@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tabforge.session import scratch_path
 
-from .common import documents, keyed_text, slices
+from .common import SMALL_SLICE_BYTES, documents, keyed_text, slices
 
 TRAIN_PER_CLASS = 2000
 #: Bytes of training text of a class.
@@ -216,7 +216,7 @@ def with_scores(df: DataFrame, model: Model, text_col: str = "text", score_col:
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_col, SMALL_SLICE_BYTES):
             scores = shared.value.score([t or "" for t in b.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, score_col])
 

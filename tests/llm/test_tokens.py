@@ -12,7 +12,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tabforge.llm import bpe, byte_bpe, packing, sharding, wavelet
+from tabforge.llm import bpe, byte_bpe, common, packing, sharding, wavelet
 from tabforge.session import scratch_path
 
 from llm.fixtures import TEXTS
@@ -44,6 +44,43 @@ def test_column_encoder_equals_the_libraries_on_odd_text():
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [*want, []]
 
 
+def test_the_library_gets_few_pieces_at_once():
+    """What it returns takes far more room than the ids, so it never holds a whole slice's pieces."""
+    class Counting:
+        sizes = []
+
+        def __init__(self, tok):
+            self.tok = tok
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+        def encode_batch_fast(self, texts, **how):
+            self.sizes.append(len(texts))
+            return self.tok.encode_batch_fast(texts, **how)
+
+    path = vocab.path("word_bpe_49k.json")
+    text = " ".join(f"{i}x{i}" for i in range(3 * bpe.AT_ONCE))
+    counting = Counting(Tokenizer.from_file(path))
+    ids, offsets = bpe.ColumnEncoder(counting, spaces=False).encode(pa.array([text]))
+    assert ids.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids and offsets.tolist() == [0, len(ids)]
+    assert max(Counting.sizes) <= bpe.AT_ONCE < sum(Counting.sizes)
+
+
+def test_slices_give_freed_memory_back(monkeypatch):
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            self.released += 1
+
+    pool = Pool()
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab", "c", None, "defg", "h"])], ["text"])
+    found = [s.column("text").to_pylist() for s in common.slices(iter([batch]), size=3)]
+    assert found == [["ab", "c", None], ["defg"], ["h"]] and pool.released == 3
+
+
 def test_byte_bpe_round_trip_and_offsets(edge_docs, no_docs):
     enc = reference()
     rows = byte_bpe.digests(edge_docs, RANKS, vocab.PATTERN).collect()
