@@ -97,6 +97,12 @@ def _spelled(vocabulary: DataFrame) -> DataFrame:
     return both.withColumn("spelt", F.concat(F.when(F.col("dir") == 0, F.col("word")).otherwise(F.reverse("word")), F.lit(END)))
 
 
+def _word() -> Column:
+    """The word of a state: a state carries its word once, as it spells it, through every shuffle and file."""
+    spelt = F.substring("spelt", F.lit(1), F.length("spelt") - 1)
+    return F.when(F.col("dir") == 0, spelt).otherwise(F.reverse(spelt))
+
+
 def _bit(letter: Column) -> Column:
     """One of 64 bits for a letter's number; two letters may share a bit, so a set of bits never lacks a letter."""
     return F.call_function("shiftleft", F.lit(1).cast("long"), (letter % 64).cast("int"))
@@ -158,8 +164,8 @@ def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(equal, F.struct((pos + q).alias("pos"), F.col("edits").alias("edits"))),
         F.when(replaced, F.struct((pos + q).alias("pos"), F.lit(1).alias("edits"))),
         F.when(skipped, F.struct((pos + q + 1).alias("pos"), F.lit(1).alias("edits")))))
-    s = s.select("word", "n", "spelt", "child", "child_firsts", "leaf", "leaf_n", F.explode(moves).alias("to"))
-    s = s.select("word", "n", "spelt", F.col("to.pos").alias("pos"), F.col("child").alias("node"), F.col("to.edits").alias("edits"),
+    s = s.select("dir", "n", "spelt", "child", "child_firsts", "leaf", "leaf_n", F.explode(moves).alias("to"))
+    s = s.select("dir", "n", "spelt", F.col("to.pos").alias("pos"), F.col("child").alias("node"), F.col("to.edits").alias("edits"),
                  "leaf", "leaf_n", "child_firsts")
     goes_on = F.col("node").isNotNull() & ((F.col("edits") == 0) | (F.col("child_firsts").bitwiseAND(_bit(_code(spelt, F.col("pos")))) != 0))
     return s.where(goes_on | (F.col("edits") == 1) & F.col("leaf").isNotNull()).drop("child_firsts")
@@ -168,7 +174,7 @@ def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
 def near_pairs(spark: SparkSession, vocabulary: DataFrame, edges: DataFrame) -> DataFrame:
     """word, n, other, other_n: every two words one edit apart, from either side."""
     found, level = [], 0
-    states = _spelled(vocabulary).select("word", "n", "spelt", F.lit(0).alias("pos"), "node", F.lit(0).alias("edits"))
+    states = _spelled(vocabulary).select("dir", "n", "spelt", F.lit(0).alias("pos"), "node", F.lit(0).alias("edits"))
     while True:
         ways = edges.where(F.col("level") == level)
         path = scratch_path(spark, f"variants-frontier-{level}")
@@ -179,7 +185,7 @@ def near_pairs(spark: SparkSession, vocabulary: DataFrame, edges: DataFrame) ->
         if states.isEmpty():
             break
         level += 1
-    pairs = reduce(DataFrame.unionAll, found).select("word", "n", F.col("leaf").alias("other"), F.col("leaf_n").alias("other_n"))
+    pairs = reduce(DataFrame.unionAll, found).select(_word().alias("word"), "n", F.col("leaf").alias("other"), F.col("leaf_n").alias("other_n"))
     pairs = pairs.where(F.levenshtein("word", "other", 1) == 1).distinct()
     return pairs.unionAll(pairs.select(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"),
                                        F.col("n").alias("other_n")))
