@@ -25,6 +25,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import huber
+
 SEED = 42
 CONSTANT = "_one"       # a feature that is 1 in every row
 MAX_DEPTH = 30          # MLlib's ceiling; stands in for "unlimited"
@@ -57,7 +59,7 @@ class Fitted:
     name: str
     problem_type: str
     features: list[str]
-    kind: str                                  # "mllib" | "gnb" | "knn"
+    kind: str                                  # "mllib" | "huber" | "gnb" | "knn"
     model: object = None                       # PipelineModel for mllib
     params: dict = field(default_factory=dict)
     n_classes: int = 0
@@ -85,6 +87,8 @@ class Fitted:
             else:
                 out = out.drop(*drop)
             return out
+        if self.kind == "huber":
+            return df.withColumn("prediction", rff_prediction(self.features, self.params["rff"], self.params["huber"]))
         if self.kind == "gnb":
             return gnb_transform(df, self)
         if self.kind == "knn":
@@ -134,6 +138,19 @@ def rff_vector(features: list[str], rff: dict) -> Column:
     return array_to_vector(mapped(F.struct(*[v.alias(f"x{i}") for i, v in enumerate(values)])))
 
 
+def rff_prediction(features: list[str], rff: dict, model: dict) -> Column:
+    """The linear model's value on the row's map, which stays in the worker."""
+    import numpy as np
+    coef = np.array(model["coef"])
+
+    @F.pandas_udf("double")
+    def predicted(x: pd.DataFrame) -> pd.Series:
+        mapped, rows = huber.Map(rff), x.to_numpy(np.float64)
+        return pd.Series(np.concatenate([mapped(rows[i:i + huber.SLICE]) @ coef + model["intercept"] for i in range(0, max(len(rows), 1), huber.SLICE)]))
+
+    return predicted(F.struct(*[_known(f).alias(f"x{i}") for i, f in enumerate(features)]))
+
+
 def _known(name: str) -> Column:
     v = F.col(name).cast("double")
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == math.inf), F.raise_error(F.lit(f"null, NaN or infinity in {name}"))).otherwise(v)
@@ -226,6 +243,11 @@ def fit(name: str, train: DataFrame, features: list[str], problem_type: str, lab
         held = train.select(label, *features).persist(StorageLevel.MEMORY_AND_DISK)
         rff = rff_params(features, _gamma(held, features, (params or {}).get("gamma", "scale")))
         fitted_params["rff"] = rff
+        if problem_type == "regression":
+            rows = held.select(*[_known(f).alias(f"x{i}") for i, f in enumerate(features)], _known(label).alias("y"))
+            fitted_params["huber"] = huber.fit(rows, rff, 1.0 / (float((params or {}).get("C", 1.0)) * max(n_rows, 1)))
+            held.unpersist()
+            return Fitted(name, problem_type, list(features), "huber", params=fitted_params, n_classes=n_classes)
         # the optimizer keeps the mapped rows in blocks of its own, so only the rows they are made of are held here
         train = held.withColumn("features", rff_vector(features, rff))
     est = est.setFeaturesCol("features").setLabelCol(label) if hasattr(est, "setLabelCol") else est

@@ -3,7 +3,7 @@
 A saved model is a folder: ``metadata.json`` (model name, kind, features,
 problem type, fitted preprocessing: imputation values, encodings, class
 labels) plus the MLlib ``PipelineModel`` (``mllib/``) or, for KNN, the
-reference rows as Parquet (``reference/``).
+reference rows as Parquet (``reference/``).  A Huber regressor is all metadata.
 """
 
 from __future__ import annotations
